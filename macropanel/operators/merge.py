@@ -51,7 +51,7 @@ def merge_panel(
     )
     clash = F.concat(F.lit("column in more than one table: "), F.col(METRIC))
     checked = F.when(F.col("__first") != F.col("__last"), F.raise_error(clash).cast("map<date,double>")).otherwise(
-        F.map_from_entries("__months")
+        F.map_from_entries(F.filter("__months", lambda m: m[DATE].isNotNull()))  # a row without a date marks an empty column
     )
     grid = attach(series, axis, keys).select(
         *keys, METRIC, *order, "__several", checked.alias("__map"), F.explode("__axis").alias(DATE)

@@ -127,12 +127,16 @@ def resample_state(
     *,
     missing_threshold: float | None = None,
     check_after_cast: bool = False,
+    keep_empty: bool = False,
     table: bool = True,
 ) -> DataFrame:
     """Monthly states to a gap-free monthly series, by the `freq` of each series.
 
     daily: drop a last partial month; quarterly: interpolate; other: plain mean. Series with
     too many missing cells are dropped. All steps share one exchange.
+
+    A series whose only month is partial has no month left. With `keep_empty` it keeps one row
+    without a date, so that a merge still knows its column.
     """
     if missing_threshold is not None:
         share = sparse_share(keys, after_cast=check_after_cast, table=table)
@@ -140,12 +144,21 @@ def resample_state(
     whole = Window.partitionBy(*series_cols(keys, table))
     last = F.col("__last")
     keep = (F.col(FREQ) != "daily") | (last == F.last_day(last)) | (F.col(DATE) < F.last_day(last))
+    only = F.col("__first") == F.last_day(last)
     carried = [c for c in (FREQ, POS, "table_pos") if c in state.columns]
     # The spine is laid before the trim: the month before a trimmed one may itself be a gap.
-    monthly = state.withColumn("__last", F.max("last_date").over(whole)).select(
-        *series_cols(keys, table), *carried, "__last", DATE, _mean().alias(VALUE)
+    monthly = state.select(
+        *series_cols(keys, table), *carried, F.max("last_date").over(whole).alias("__last"),
+        F.min(DATE).over(whole).alias("__first"), DATE, _mean().alias(VALUE),
     )
-    spined = month_spine(monthly, keys, table=table).filter(keep).drop("__last")
+    spined = month_spine(monthly, keys, table=table)
+    if keep_empty:
+        spined = spined.filter(keep | only).withColumns(
+            {DATE: F.when(keep, F.col(DATE)), VALUE: F.when(keep, F.col(VALUE))}
+        )
+    else:
+        spined = spined.filter(keep)
+    spined = spined.drop("__last", "__first")
     return interpolate(spined, keys, where=F.col(FREQ) == "quarterly", table=table)
 
 
@@ -156,6 +169,7 @@ def resample_monthly(
     missing_threshold: float | None = None,
     check_after_cast: bool = False,
     exact_scale: int | None = None,
+    keep_empty: bool = False,
     table: bool = True,
 ) -> DataFrame:
     """Long rows with a `freq` column to month-end series."""
@@ -164,5 +178,6 @@ def resample_monthly(
         df, carry = df.withColumn(FREQ, F.lit("unknown")), [*carry, FREQ]
     state = monthly_state(df, keys, carry=carry, exact_scale=exact_scale, table=table)
     return resample_state(
-        state, keys, missing_threshold=missing_threshold, check_after_cast=check_after_cast, table=table
+        state, keys, missing_threshold=missing_threshold, check_after_cast=check_after_cast,
+        keep_empty=keep_empty, table=table,
     )

@@ -85,7 +85,8 @@ def merge_catalog(
         numeric = F.col("not_number") == 0
         state = choose_columns(state, catalog, id_col=TABLE, numeric=numeric)
     monthly = resample_state(
-        prefix_metrics(state), missing_threshold=cfg.missing_threshold, check_after_cast=cfg.check_after_cast
+        prefix_metrics(state), missing_threshold=cfg.missing_threshold, check_after_cast=cfg.check_after_cast,
+        keep_empty=True,
     )
     panel = merge_panel(suffix_metrics(cut_lineage(monthly)), fill_single=cfg.fill_single, strict_past=cfg.strict_past)
     fetched = series.select("id").distinct()

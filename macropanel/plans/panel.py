@@ -29,6 +29,7 @@ def monthly_panel(tables: DataFrame | Sequence[DataFrame], cfg: PanelConfig = Pa
         missing_threshold=cfg.missing_threshold,
         check_after_cast=cfg.check_after_cast,
         exact_scale=cfg.exact_scale,
+        keep_empty=True,
     )
     return merge_panel(
         suffix_metrics(cut_lineage(monthly)), cfg.keys, fill_single=cfg.fill_single, strict_past=cfg.strict_past
