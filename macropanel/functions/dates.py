@@ -36,8 +36,10 @@ def parse_cn_day(text: Column) -> Column:
 
 
 def parse_dd_mon(text: Column) -> Column:
-    """`23-Jan`: two-digit year and month name."""
-    return F.when(text.rlike(r"^\d{2}-[A-Za-z]{3}$"), F.try_to_date(F.initcap(text), "yy-MMM"))
+    """`23-Jan`: two-digit year (69 to 99 lie in the last century) and month name."""
+    century = F.when(F.substring(text, 1, 2) >= "69", F.lit("19")).otherwise(F.lit("20"))
+    full = F.concat(century, F.substring(text, 1, 3), F.initcap(F.substring(text, 4, 3)))
+    return F.when(text.rlike(r"^\d{2}-[A-Za-z]{3}$"), F.try_to_date(full, "yyyy-MMM"))
 
 
 def parse_quarter(text: Column) -> Column:
@@ -111,9 +113,6 @@ def parse_coded(text: Column, code: Column) -> Column:
 
 # --- one style per column -------------------------------------------------------------
 
-STYLES = ("dd_mon", "iso", "ymd", "cn", "generic")
-
-
 def column_style(text: Column) -> Column:
     """Aggregate: the parse style a whole date column gets, decided once per group.
 
@@ -142,6 +141,7 @@ def parse_by_style(text: Column, style: Column) -> Column:
     return (
         F.when(style == "dd_mon", parse_dd_mon(text))
         .when(style == "ymd", F.when(text == F.trim(text), parse_ymd(text)))
+        .when(style == "padded_ymd", parse_ymd(text))
         .when(style == "cn", cn)
         .otherwise(parse_generic(text))
     )

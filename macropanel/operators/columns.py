@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..config import DATE, METRIC, POS, VALUE
@@ -116,3 +117,10 @@ def standardise(columns: DataFrame) -> DataFrame:
         .withColumn("xs", F.transform("__d", lambda d: d / F.col("__k")))
     )
     return scaled.drop("__m", "__d", "__s", "__k")
+
+
+def matrix(arrays) -> np.ndarray:
+    """Arrays of one task as the rows of a matrix."""
+    if len({len(a) for a in arrays}) > 1:
+        raise ValueError("features of one entity must share their dates; merge and fill the panel first")
+    return np.stack(list(arrays))

@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
 from ..config import DATE
-from .columns import standardise, sum_of
+from .columns import matrix, standardise, sum_of
 from .longform import attach
 
 
@@ -30,7 +30,7 @@ def gram(columns: DataFrame, keys: Sequence[str] = (), *, salts: int = 16) -> Da
     salted = columns.select(*keys, "xs", F.pmod(F.xxhash64("feature"), F.lit(salts)).alias("__salt"))
 
     def add_up(pdf: pd.DataFrame) -> pd.DataFrame:
-        z = np.stack(pdf["xs"].to_list())
+        z = matrix(pdf["xs"])
         g = z.T @ z
         out = pd.DataFrame({"i": np.arange(len(g)), "row": list(g)})
         for k in keys:

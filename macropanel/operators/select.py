@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..config import CORRELATION_CUT
 from ..functions.association import association_p
-from .columns import with_stats
+from .columns import matrix, with_stats
 from .longform import attach
 
 ORDER = ("table_pos", "pos", "fpos", "feature")
@@ -102,7 +102,7 @@ def drop_correlated(
         a, b = np.flatnonzero(pdf["block"] == left), np.flatnonzero(pdf["block"] == right)
         hit = np.zeros(len(pdf), bool)
         if len(a) and len(b):
-            z = np.stack(pdf["z"].to_list())
+            z = matrix(pdf["z"])
             near = np.abs(z[a] @ z[b].T) > cut
             earlier = a[:, None] < b[None, :]
             hit[b[(near & earlier).any(axis=0)]] = True

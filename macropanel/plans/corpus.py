@@ -1,4 +1,10 @@
-"""From a corpus of sheets to long rows: automatic and declared detection."""
+"""From a corpus of sheets to long rows: automatic and declared detection.
+
+Detection works on landed rows in few passes: the first rows of each sheet, the cells of
+sheets whose date column has no known name, one pass that counts per column, one over the
+dates of sheets without a stated frequency, and the final one. What a pass finds is one row
+per sheet and is written down, so that no later step repeats it.
+"""
 
 from __future__ import annotations
 
@@ -7,11 +13,12 @@ from typing import NamedTuple
 
 from pyspark.sql import DataFrame, functions as F
 
-from ..config import DATE, DECLARED_DATE_KEYWORDS, DATE_KEYWORDS, FREQ, METRIC, POS, TABLE, VALUE
+from ..config import DATE, DATE_KEYWORDS, DECLARED_DATE_KEYWORDS, FREQ, METRIC, POS, TABLE, VALUE
 from ..functions import dates
 from ..functions.values import num
 from ..operators import profile
 from ..operators.frequency import detect_frequency
+from ..session import cut_lineage
 
 
 class Corpus(NamedTuple):
@@ -28,6 +35,7 @@ def auto_parse(
     fix_headers: bool = True,
     free_dates: bool = True,
     require_numeric: bool = True,
+    numeric_share: float = 0.5,
 ) -> Corpus:
     """Find header, date column, metadata, numeric columns and frequency of every sheet.
 
@@ -36,27 +44,42 @@ def auto_parse(
     sheets without a numeric column.
     """
     headers = profile.fixed_headers(rows) if fix_headers else profile.plain_headers(rows)
+    headers = cut_lineage(headers)
     metadata = profile.sheet_metadata(rows, headers)
-    found = (
+    found = cut_lineage(
         headers.join(metadata, "path", "left")
-        .fillna({"metadata_rows": 0, "freq": "unknown"})
+        .fillna({"metadata_rows": 0, FREQ: "unknown"})
         .join(profile.date_column(rows, headers, metadata), "path", "left")
     )
-    known = found.filter("date_idx is not null")
-    below = profile.data_rows(rows, known).withColumn("__text", F.get("cells", F.col("date_idx")))
-    if free_dates:
-        # One style per sheet: free parsing only where no cell at all is YYYYMMDD.
-        style = below.groupBy("path").agg(
-            F.when(F.count(dates.parse_ymd(F.col("__text"))) > 0, "ymd").otherwise("generic").alias("__style")
+    # Free parsing only in sheets in which no cell at all is YYYYMMDD, so both are counted.
+    ymd = dates.parse_ymd(F.col("__text"))
+    free = dates.parse_generic(F.col("__text")) if free_dates else F.lit(None).cast("date")
+    stats = (
+        profile.data_rows(rows, found.filter("date_idx is not null"))
+        .withColumn("__text", F.get("cells", F.col("date_idx")))
+        .select("path", ymd.isNotNull().alias("a"), free.isNotNull().alias("b"), F.posexplode("cells").alias("col", "cell"))
+        .withColumn("number", num(F.col("cell")).isNotNull())
+        .groupBy("path", "col")
+        .agg(
+            F.count_if("a").alias("rows_a"), F.count_if("b").alias("rows_b"),
+            F.count_if(F.col("a") & F.col("number")).alias("num_a"),
+            F.count_if(F.col("b") & F.col("number")).alias("num_b"),
         )
-        below = below.join(style, "path")
-        date = F.when(F.col("__style") == "ymd", dates.parse_ymd(F.col("__text"))).otherwise(
-            dates.parse_generic(F.col("__text"))
+        .groupBy("path")
+        .agg(
+            F.max("rows_a").alias("rows_a"), F.max("rows_b").alias("rows_b"),
+            F.array_sort(F.collect_list(F.struct("col", "num_a", "num_b"))).alias("counts"),
         )
-    else:
-        date = dates.parse_ymd(F.col("__text"))
-    dated = below.withColumn(DATE, date).filter(F.col(DATE).isNotNull())
-    return _finish(rows, found, dated, profile.numeric_columns(dated), require_numeric=require_numeric)
+        .withColumn("style", F.when(F.col("rows_a") > 0, "padded_ymd").otherwise("generic"))
+        .withColumn("rows", F.when(F.col("rows_a") > 0, F.col("rows_a")).otherwise(F.col("rows_b")))
+    )
+    hits = lambda c: F.when(F.col("style") == "padded_ymd", c["num_a"]).otherwise(c["num_b"])
+    numeric = F.transform(
+        F.filter("counts", lambda c: hits(c) >= numeric_share * F.greatest("rows", F.lit(1))), lambda c: c["col"]
+    )
+    described = found.join(stats.select("path", "style", "rows", numeric.alias("numeric")), "path", "left")
+    wanted = F.col("numeric")
+    return _finish(rows, described, wanted, require_numeric=require_numeric)
 
 
 def declared_parse(
@@ -66,25 +89,21 @@ def declared_parse(
 ) -> Corpus:
     """Sheets with a plain header: date column by keyword, one date style per column, all other
     columns kept. Without `freq` the frequency comes from the dates."""
-    headers = profile.plain_headers(rows)
     named = profile.date_column_by_keyword(profile.header_cells(rows), keywords)
-    found = headers.join(named, "path", "left").select(
-        "*", F.lit(0).alias("metadata_rows"), F.lit(freq or "unknown").alias(FREQ),
-        F.lit(None).cast("string").alias("unit"),
-    )
-    below = profile.data_rows(rows, found.filter("date_idx is not null")).withColumn(
-        "__text", F.get("cells", F.col("date_idx"))
+    found = cut_lineage(
+        profile.plain_headers(rows).join(named, "path", "left").select(
+            "*", F.lit(0).alias("metadata_rows"), F.lit(freq or "unknown").alias(FREQ),
+            F.lit(None).cast("string").alias("unit"),
+        )
     )
-    style = below.groupBy("path").agg(dates.column_style(F.col("__text")).alias("__style"))
-    dated = (
-        below.join(style, "path")
-        .withColumn(DATE, dates.parse_by_style(F.col("__text"), F.col("__style")))
-        .filter(F.col(DATE).isNotNull())
+    style = (
+        profile.data_rows(rows, found.filter("date_idx is not null"))
+        .select("path", F.get("cells", F.col("date_idx")).alias("__text"))
+        .groupBy("path")
+        .agg(dates.column_style(F.col("__text")).alias("style"), F.count(F.lit(1)).alias("rows"))
     )
-    columns = found.filter("date_idx is not null").select(
-        "path", "date_idx", F.posexplode("names").alias("col", "name")
-    ).filter("col != date_idx").select("path", "col")
-    return _finish(rows, found, dated, columns, require_numeric=False)
+    every = F.sequence(F.lit(0), F.size("names") - 1)
+    return _finish(rows, found.join(style, "path", "left"), every, require_numeric=False)
 
 
 def load_parse(rows: DataFrame, keywords: Sequence[str] = DATE_KEYWORDS) -> Corpus:
@@ -92,41 +111,47 @@ def load_parse(rows: DataFrame, keywords: Sequence[str] = DATE_KEYWORDS) -> Corp
     return declared_parse(rows, None, keywords)
 
 
-def _finish(rows, found, dated, columns, *, require_numeric):
-    names = found.select("path", F.posexplode("names").alias("col", "name"))
-    kept = profile.first_of_duplicates(names).join(columns, ["path", "col"], "left_semi")
-    per_path = kept.groupBy("path").agg(
-        F.array_sort(F.collect_list(F.struct("col", "name"))).alias("data_cols")
-    )
-    detected = detect_frequency(dated, ["path"]).withColumnRenamed(FREQ, "__detected")
-    size = dated.groupBy("path").agg(F.count(F.lit(1)).alias("rows"))
-    profiles = (
-        found.join(per_path, "path", "left")
-        .join(detected, "path", "left")
-        .join(size, "path", "left")
-        .withColumn(FREQ, F.coalesce(F.nullif(FREQ, F.lit("unknown")), "__detected", F.lit("unknown")))
+def dated_rows(rows: DataFrame, described: DataFrame) -> DataFrame:
+    """Data rows with a date that parses in the style of their sheet; `(path, date, cells, ...)`."""
+    below = profile.data_rows(rows, described.filter("date_idx is not null"))
+    date = dates.parse_by_style(F.get("cells", F.col("date_idx")), F.col("style"))
+    return below.withColumn(DATE, date).filter(F.col(DATE).isNotNull())
+
+
+def _finish(rows, described, wanted, *, require_numeric):
+    # Of equal names the first one counts.
+    is_first = lambda i: F.array_position("names", F.get("names", i)) == i + 1
+    kept = F.filter(wanted, lambda i: (i != F.col("date_idx")) & is_first(i))
+    described = described.withColumn("data_idx", F.coalesce(kept, F.array().cast("array<int>")))
+    open_sheets = described.filter(F.col(FREQ) == "unknown")
+    seen = detect_frequency(dated_rows(rows, open_sheets).select("path", DATE), ["path"])
+    enough = F.size("data_idx") > 0 if require_numeric else F.lit(True)
+    profiles = cut_lineage(
+        described.join(seen.withColumnRenamed(FREQ, "seen"), "path", "left")
+        .withColumn(FREQ, F.coalesce(F.nullif(FREQ, F.lit("unknown")), "seen", F.lit("unknown")))
         .withColumn("rows", F.coalesce("rows", F.lit(0)))
-        .withColumn("__ok", F.col("date_idx").isNotNull() & (
-            F.coalesce(F.size("data_cols"), F.lit(0)) > 0 if require_numeric else F.lit(True)
-        ))
-    )
-    good = profiles.filter("__ok").select(
-        "path", F.get("names", F.col("date_idx")).alias("date_col"), "date_idx",
-        "data_cols", FREQ, "unit", "metadata_rows", "rows",
+        .withColumn("ok", F.col("date_idx").isNotNull() & enough)
     )
+    good = profiles.filter("ok")
     reason = F.when(F.col("date_idx").isNull(), "no date column found").otherwise("no numeric data columns found")
-    rejects = profiles.filter("not __ok").select("path", reason.alias("reason"))
     long = (
-        dated.select("path", DATE, "cells")
-        .join(good.filter("data_cols is not null").select("path", "data_cols", FREQ), "path")
-        .select("path", DATE, "cells", FREQ, F.explode("data_cols").alias("c"))
+        dated_rows(rows, good)
+        .select("path", DATE, "cells", "names", FREQ, F.explode("data_idx").alias(POS))
         .select(
-            F.col("path").alias(TABLE), F.col("c.name").alias(METRIC), F.col("c.col").alias(POS), DATE,
-            F.get("cells", F.col("c.col")).alias("__text"), FREQ,
+            F.col("path").alias(TABLE), F.get("names", F.col(POS)).alias(METRIC), POS, DATE,
+            F.get("cells", F.col(POS)).alias("__text"), FREQ,
         )
         .select(
             TABLE, METRIC, POS, DATE, num(F.col("__text")).alias(VALUE),
             F.col("__text").isNull().alias("raw_null"), FREQ,
         )
     )
-    return Corpus(good.withColumn("data_cols", F.transform("data_cols", lambda c: c["name"])), long, rejects)
+    return Corpus(
+        good.select(
+            "path", F.get("names", F.col("date_idx")).alias("date_col"), "date_idx",
+            F.transform("data_idx", lambda i: F.get("names", i)).alias("data_cols"),
+            FREQ, "unit", "metadata_rows", "rows",
+        ),
+        long,
+        profiles.filter("not ok").select("path", reason.alias("reason")),
+    )

@@ -95,7 +95,7 @@ def train_variance(panel: DataFrame, target: DataFrame, cfg: PanelConfig = Panel
     """The lagged panel joined to the target, features limited by variance; long rows
     `(keys, feature, rank, date, value, y)` and one row of counts per entity."""
     keys = list(cfg.keys)
-    columns = lagged_columns(panel, target, cfg)
+    columns = cut_lineage(lagged_columns(panel, target, cfg))
     chosen = top_variance(columns, keys, max_feature_ratio=cfg.max_feature_ratio)
     table = chosen.select(*keys, "feature", "rank", F.explode(F.arrays_zip("dates", "xs", "ys")).alias("p")).select(
         *keys, "feature", "rank", F.col("p.dates").alias(DATE), F.col("p.xs").alias(VALUE), F.col("p.ys").alias("y")
