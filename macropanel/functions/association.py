@@ -7,6 +7,7 @@ import math
 import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 # Exact two-sample distribution up to this many pairs, limit law beyond.
 EXACT_PAIRS = 10_000
@@ -102,16 +103,16 @@ def _column(function):
     return run
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def association_p(xs: pd.Series, ys: pd.Series) -> pd.Series:
     return _column(association)(xs, ys)
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def kendall_tau(xs: pd.Series, ys: pd.Series) -> pd.Series:
     return _column(lambda x, y: kendall(x, y)[0])(xs, ys)
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def kendall_p(xs: pd.Series, ys: pd.Series) -> pd.Series:
     return _column(lambda x, y: kendall(x, y)[1])(xs, ys)
