@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 # `%Y%m%d` as a strptime pattern reads it: month and day may have one digit.
 YMD = r"^(\d{4})(1[0-2]|0[1-9]|[1-9])(3[01]|[12]\d|0[1-9]|[1-9])$"
@@ -14,6 +14,15 @@ CN_MONTH_PREFIX = r"^\d{4}年\d{1,2}月"
 DATE_LIKE = r"[-/年月]"
 
 
+def with_date(df: DataFrame, date: Column, name: str) -> DataFrame:
+    """Add a parsed date and drop the rows without one.
+
+    The date is handed over by a generator, which runs the parser once per row; a filter on a
+    plain column would be rewritten to run it again for every condition on the date.
+    """
+    return df.select("*", F.explode(F.array_compact(F.array(date))).alias(name))
+
+
 def _ymd(year: Column, month: Column, day: Column) -> Column:
     text = F.concat_ws("-", year, month, day)
     return F.when((year != "") & (month != "") & (day != ""), F.try_to_date(text, "yyyy-M-d"))

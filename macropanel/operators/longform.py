@@ -27,6 +27,17 @@ def series_window(keys: Sequence[str] = (), table: bool = True):
     return Window.partitionBy(*series_cols(keys, table)).orderBy(DATE)
 
 
+def spread(df: DataFrame, *cols: str) -> DataFrame:
+    """Hash-partition by `cols` into the session's number of shuffle partitions.
+
+    For heavy work on few bytes, such as window features: the adaptive planner joins small
+    partitions into one task, but leaves a stated number alone. Windows and groups over the
+    same columns need no further exchange.
+    """
+    count = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartition(count, *cols)
+
+
 def to_long(
     df: DataFrame,
     date_col: str,

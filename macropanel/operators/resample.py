@@ -26,6 +26,7 @@ def monthly_state(
     *,
     carry: Sequence[str] = (),
     exact_scale: int | None = None,
+    first_days: bool = False,
     table: bool = True,
 ) -> DataFrame:
     """Everything later stages need to know about a month of a series, in one aggregation.
@@ -33,9 +34,16 @@ def monthly_state(
     Sums and counts combine before the shuffle, so a series that holds most of the rows
     costs no more than its number of months. `carry` columns must be constant per series; they
     are grouped by, because a text column among the aggregates would force a sort of all rows.
+    `first_days` adds the value and the number of rows of the first day of each month.
     """
     by = series_cols(keys, table)
     raw_null = F.col("raw_null") if "raw_null" in df.columns else F.col(VALUE).isNull()
+    on_first = F.dayofmonth(DATE) == 1
+    first = [
+        F.count_if(on_first).alias("first_rows"),
+        F.max(F.when(on_first, F.col(VALUE))).alias("first_value"),
+        F.count_if(on_first & raw_null).alias("first_empty"),
+    ] if first_days else []
     return (
         df.groupBy(*by, *carry, F.last_day(DATE).alias(DATE))
         .agg(
@@ -45,6 +53,7 @@ def monthly_state(
             F.count_if(raw_null).alias("empty"),
             F.count_if(~raw_null & F.col(VALUE).isNull()).alias("not_number"),
             F.max(DATE).alias("last_date"),
+            *first,
         )
     )
 
@@ -121,6 +130,45 @@ def sparse_share(keys: Sequence[str] = (), *, after_cast: bool = False, table: b
     return F.sum(missing).over(whole) * 100.0 / F.sum("rows").over(whole)
 
 
+def split_states(
+    state: DataFrame,
+    keys: Sequence[str] = (),
+    *,
+    mode: str = "exact_first_day",
+    where: Column | None = None,
+    table: bool = True,
+) -> DataFrame:
+    """`jan_feb_split` on monthly states made with `first_days`.
+
+    The split moves half of February's value to January, so it can be booked on the sums of
+    the two months; the source rows are then read once, and only states are shuffled.
+    """
+    by_day = mode == "exact_first_day"
+    month = F.month(DATE)
+    w = Window.partitionBy(*series_cols(keys, table), F.year(DATE))
+    of = lambda m, c: F.max(F.when(month == m, c)).over(w)
+    rows = F.col("first_rows") if by_day else F.col("rows")
+    single = F.col("first_value") if by_day else F.col("total")
+    jan, feb = of(1, single), of(2, single)
+    fires = (of(1, rows) == 1) & (of(2, rows) == 1) & (jan.isNull() | (jan == 0)) & feb.isNotNull() & (feb != 0)
+    if where is not None:
+        fires = fires & where
+    was_empty = F.col("first_empty") if by_day else F.col("empty")
+    half, in_jan = F.col("__half"), F.col("__half").isNotNull() & (month == 1)
+    gained = (in_jan & single.isNull()).cast("long")
+    return (
+        state.withColumn("__half", F.when(month.isin(1, 2) & fires, feb / 2))
+        .withColumns({
+            "total": F.when(in_jan, F.coalesce("total", F.lit(0.0)) + half)
+            .when(half.isNotNull(), F.col("total") - half).otherwise(F.col("total")),
+            "known": F.col("known") + gained,
+            "empty": F.col("empty") - F.when(in_jan, was_empty).otherwise(F.lit(0)),
+            "not_number": F.col("not_number") - F.when(in_jan, gained - was_empty).otherwise(F.lit(0)),
+        })
+        .drop("__half", "first_rows", "first_value", "first_empty")
+    )
+
+
 def resample_state(
     state: DataFrame,
     keys: Sequence[str] = (),

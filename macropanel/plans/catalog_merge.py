@@ -12,8 +12,7 @@ from ..config import DATE, FREQ, METRIC, PanelConfig, POS, TABLE
 from ..operators import catalog as cat
 from ..operators.clean import choose_columns, in_date_range
 from ..operators.merge import merge_panel, prefix_metrics, suffix_metrics
-from ..operators.resample import monthly_state, resample_state
-from ..operators.sequence import jan_feb_split
+from ..operators.resample import monthly_state, resample_state, split_states
 from ..session import cut_lineage
 from ..sources.landed import normalise_landed
 
@@ -52,10 +51,11 @@ def landed_series(
 ) -> DataFrame:
     """Landed rows of the selected ids with parsed dates, in the date range, with `table`, `name`,
     `freq` and `table_pos` of their catalog entry."""
-    entries = cat.lookup(selected, catalog).select("id", "name", FREQ, "table_pos")
-    wanted = landed.join(entries.select("id"), "id", "left_semi")
-    dated = in_date_range(normalise_landed(wanted, policy.dates, catalog=catalog), start, end)
-    return dated.join(entries, "id").withColumn(TABLE, F.col("id"))
+    dated_by = ["date_col"] if policy.dates == "coded" else []
+    entries = cat.lookup(selected, catalog).select("id", "name", FREQ, "table_pos", *dated_by)
+    carried = ["name", FREQ, "table_pos"]
+    dated = normalise_landed(landed.join(entries, "id"), policy.dates, carry=carried)
+    return in_date_range(dated, start, end).withColumn(TABLE, F.col("id"))
 
 
 def merge_catalog(
@@ -71,26 +71,26 @@ def merge_catalog(
     """All selected indicators as one monthly panel, in one plan.
 
     `selected` is `(id, table_pos)`, `landed` is `(id, raw_date, metric, pos, text)`. The
-    declared frequency of the catalog is used. Columns are chosen on monthly states, after
-    the aggregation, so the landed rows are read once.
+    declared frequency of the catalog is used. The landed rows are read once, to monthly
+    states; the January-February split and the choice of columns work on those.
     """
     series = landed_series(selected, catalog, landed, policy, start=start, end=end)
-    rows = series
+    state = cut_lineage(monthly_state(
+        series, carry=[FREQ, POS, "table_pos", "name"], exact_scale=cfg.exact_scale, first_days=policy.jan_feb
+    ))
+    served = state.select(F.col(TABLE).alias("id")).distinct()
     if policy.jan_feb:
-        rows = jan_feb_split(series, where=F.col(FREQ).isin("daily", "monthly"))
-    state = monthly_state(
-        rows, carry=[FREQ, POS, "table_pos", "name"], exact_scale=cfg.exact_scale
-    )
+        state = split_states(state, where=F.col(FREQ).isin("daily", "monthly"))
     if policy.listed_only:
-        numeric = F.col("not_number") == 0
-        state = choose_columns(state, catalog, id_col=TABLE, numeric=numeric)
+        state = choose_columns(state, catalog, id_col=TABLE, numeric=F.col("not_number") == 0)
     monthly = resample_state(
         prefix_metrics(state), missing_threshold=cfg.missing_threshold, check_after_cast=cfg.check_after_cast,
         keep_empty=True,
     )
-    panel = merge_panel(suffix_metrics(cut_lineage(monthly)), fill_single=cfg.fill_single, strict_past=cfg.strict_past)
-    fetched = series.select("id").distinct()
-    return CatalogPanel(panel, fetched, cat.failed_ids(selected, catalog, series).select("id"))
+    panel = merge_panel(
+        suffix_metrics(cut_lineage(monthly)), fill_single=cfg.fill_single, strict_past=cfg.strict_past
+    )
+    return CatalogPanel(panel, served, cat.failed_ids(selected, catalog, served).select("id"))
 
 
 def merge_selected(

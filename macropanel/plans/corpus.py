@@ -115,7 +115,7 @@ def dated_rows(rows: DataFrame, described: DataFrame) -> DataFrame:
     """Data rows with a date that parses in the style of their sheet; `(path, date, cells, ...)`."""
     below = profile.data_rows(rows, described.filter("date_idx is not null"))
     date = dates.parse_by_style(F.get("cells", F.col("date_idx")), F.col("style"))
-    return below.withColumn(DATE, date).filter(F.col(DATE).isNotNull())
+    return dates.with_date(below, date, DATE)
 
 
 def _finish(rows, described, wanted, *, require_numeric):

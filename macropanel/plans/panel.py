@@ -6,11 +6,10 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
 
-from ..config import PanelConfig
+from ..config import FREQ, PanelConfig, POS
 from ..operators.longform import to_wide, union_long
 from ..operators.merge import merge_panel, suffix_metrics
-from ..operators.resample import resample_monthly
-from ..operators.sequence import jan_feb_split
+from ..operators.resample import monthly_state, resample_state, split_states
 from ..session import cut_lineage
 
 
@@ -22,14 +21,14 @@ def monthly_panel(tables: DataFrame | Sequence[DataFrame], cfg: PanelConfig = Pa
     frequency of each series is in its `freq` column.
     """
     long = tables if isinstance(tables, DataFrame) else union_long(tables)
+    carry = [c for c in (FREQ, POS, "table_pos") if c in long.columns]
+    state = monthly_state(
+        long, cfg.keys, carry=carry, exact_scale=cfg.exact_scale, first_days=cfg.jan_feb is not None
+    )
     if cfg.jan_feb:
-        long = jan_feb_split(long, cfg.keys, mode=cfg.jan_feb)
-    monthly = resample_monthly(
-        long, cfg.keys,
-        missing_threshold=cfg.missing_threshold,
-        check_after_cast=cfg.check_after_cast,
-        exact_scale=cfg.exact_scale,
-        keep_empty=True,
+        state = split_states(state, cfg.keys, mode=cfg.jan_feb)
+    monthly = resample_state(
+        state, cfg.keys, missing_threshold=cfg.missing_threshold, check_after_cast=cfg.check_after_cast, keep_empty=True
     )
     return merge_panel(
         suffix_metrics(cut_lineage(monthly)), cfg.keys, fill_single=cfg.fill_single, strict_past=cfg.strict_past

@@ -11,7 +11,7 @@ from ..functions.windows import GROUPS, with_features
 from ..operators import columns as cols
 from ..operators.clean import drop_all_null, target_series
 from ..operators.frequency import detect_target_frequency
-from ..operators.longform import attach, to_wide
+from ..operators.longform import attach, spread, to_wide
 from ..operators.reduce import Components, pca
 from ..operators.resample import resample_monthly
 from ..operators.select import drop_correlated, p_values, select_by_fdr, top_variance
@@ -45,7 +45,8 @@ def window_vectors(
     panel: DataFrame, cfg: PanelConfig = PanelConfig(), groups=GROUPS, *, prune_infeasible: bool = True
 ) -> tuple[DataFrame, list[str]]:
     """Fill, lag, roll and describe each window by its features."""
-    known = fill_zero(fill_both(drop_all_null(panel, cfg.keys, table=False), cfg.keys, table=False))
+    panel = spread(drop_all_null(panel, cfg.keys, table=False), *cfg.keys, METRIC)
+    known = fill_zero(fill_both(panel, cfg.keys, table=False))
     rolled = rolling_windows(
         lagged_panel(known, cfg), cfg.keys,
         max_timeshift=cfg.max_timeshift, min_timeshift=cfg.min_timeshift, table=False,

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, functions as F
@@ -53,11 +54,9 @@ def flatten_answers(landed: DataFrame, *, id_col: str = "id", payload: str = "pa
     cells = (
         tagged.filter("reason is null")
         .select(id_col, "header", F.explode("rows").alias("line"))
-        .select(
-            id_col, dates.parse_generic(F.get("line", F.lit(0))).alias(DATE),
-            F.posexplode(F.arrays_zip("header", "line")).alias(POS, "c"),
-        )
-        .filter((F.col(POS) > 0) & F.col(DATE).isNotNull())
+        .transform(dates.with_date, dates.parse_generic(F.get("line", F.lit(0))), DATE)
+        .select(id_col, DATE, F.posexplode(F.arrays_zip("header", "line")).alias(POS, "c"))
+        .filter(F.col(POS) > 0)
         .select(
             id_col, DATE, F.col("c.header").alias(METRIC), F.col(POS),
             num(F.col("c.line")).alias(VALUE), num(F.col("c.line")).isNull().alias("raw_null"),
@@ -85,27 +84,20 @@ def normalise_table(df: DataFrame, date_col: str, policy: str) -> DataFrame:
     if date_col not in df.columns:
         raise ValueError(f"date column {date_col!r} not found; columns are {df.columns}")
     parse = date_parser(policy, F.lit(date_col))
-    return (
-        df.withColumnRenamed(date_col, VENDOR_DATE_COL)
-        .withColumn(VENDOR_DATE_COL, parse(F.col(VENDOR_DATE_COL).cast("string")))
-        .filter(F.col(VENDOR_DATE_COL).isNotNull())
-    )
+    renamed = [F.col(f"`{c}`") for c in df.columns if c != date_col]
+    dated = dates.with_date(df, parse(F.col(f"`{date_col}`").cast("string")), "__date")
+    return dated.select(F.col("__date").alias(VENDOR_DATE_COL), *renamed)
 
 
-def normalise_landed(landed: DataFrame, policy: str, *, catalog: DataFrame | None = None) -> DataFrame:
+def normalise_landed(landed: DataFrame, policy: str, *, carry: Sequence[str] = ()) -> DataFrame:
     """All landed tables at once: `(id, raw_date, metric, pos, text)` to `(id, date, ..., value)`.
 
-    `coded` dates need the catalog, which says what kind of date column each id has.
+    `coded` dates need a `date_col` column that says what kind of date column the id has.
     """
     if policy == "coded":
-        landed = landed.join(catalog.select("id", "date_col").distinct(), "id")
         date = dates.parse_coded(F.col("raw_date"), F.col("date_col"))
     else:
         date = date_parser(policy)(F.col("raw_date"))
-    return (
-        landed.withColumn(DATE, date)
-        .filter(F.col(DATE).isNotNull())
-        .select(
-            "id", DATE, METRIC, POS, num(F.col("text")).alias(VALUE), F.col("text").isNull().alias("raw_null")
-        )
+    return dates.with_date(landed, date, DATE).select(
+        "id", *carry, DATE, METRIC, POS, num(F.col("text")).alias(VALUE), F.col("text").isNull().alias("raw_null")
     )

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from macropanel.functions import windows
 from macropanel.operators import columns
+from macropanel.operators.longform import spread
 from macropanel.operators.sequence import rolling_windows
 
 from .base import q, q_sql, query, table
@@ -26,7 +27,8 @@ def supplier_months(spark, sf_dir):
 
 
 def rolled(spark, sf_dir):
-    return rolling_windows(supplier_months(spark, sf_dir), ["supplier"], table=False)
+    months = spread(supplier_months(spark, sf_dir), "supplier")
+    return rolling_windows(months, ["supplier"], table=False)
 
 
 MONTHS = f"""months as (
