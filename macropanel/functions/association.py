@@ -60,22 +60,23 @@ def two_sample_ks(a: np.ndarray, b: np.ndarray) -> float:
     if reach == 0:
         return 1.0
     if n * m <= EXACT_PAIRS:
-        return min(max(1.0 - _inside_share(n, m, reach), 0.0), 1.0)
+        return _outside_share(n, m, reach)
     z = reach / (n * m) * math.sqrt(n * m / (n + m))
     terms = [(-1) ** (k - 1) * math.exp(-2 * k * k * z * z) for k in range(1, 101)]
     return min(max(2 * sum(terms), 0.0), 1.0)
 
 
-def _inside_share(n: int, m: int, reach: int) -> float:
-    """Share of the monotone lattice paths from (0, 0) to (n, m) on which |i*m - j*n| < reach."""
+def _outside_share(n: int, m: int, reach: int) -> float:
+    """Share of the monotone lattice paths from (0, 0) to (n, m) that touch |i*m - j*n| >= reach.
+
+    Built up from the points on the border, so that a tiny share keeps its digits.
+    """
     share = np.zeros(m + 1)
     for i in range(n + 1):
         for j in range(m + 1):
             if abs(i * m - j * n) >= reach:
-                share[j] = 0.0
-            elif i == 0 and j == 0:
                 share[j] = 1.0
-            else:
+            elif i or j:
                 from_left = share[j] * i if i else 0.0
                 from_below = share[j - 1] * j if j else 0.0
                 share[j] = (from_left + from_below) / (i + j)

@@ -23,9 +23,10 @@ def _series_gaps(df: DataFrame, by: list[str], date: str) -> DataFrame:
     is_date = isinstance(df.schema[date].dataType, DateType)
     stamp = F.unix_micros(F.col(date).cast("timestamp"))
     points = (
-        df.filter(F.col(date).isNotNull())
-        .groupBy(*by, stamp.alias("lo"))
+        df.groupBy(*by, stamp.alias("lo"))
         .agg(F.count(F.lit(1)).alias("n"))
+        # missing dates make no gap, but keep a series without any date in the result
+        .withColumn("n", F.when(F.col("lo").isNull(), F.lit(1)).otherwise(F.col("n")))
         .withColumn("hi", F.col("lo"))
         # zero gaps come from equal dates
         .withColumn("g_min", F.when(F.col("n") > 1, F.lit(0)).cast("long"))
@@ -35,17 +36,17 @@ def _series_gaps(df: DataFrame, by: list[str], date: str) -> DataFrame:
         points = _coarsen(_coarsen(points, by, DAY // 86_400), by, DAY)
     ordered = Window.partitionBy(*by).orderBy("lo")
     days = points.withColumn("gap", F.col("lo") - F.lag("hi").over(ordered))
+    # A point without a gap adds nothing to the counts; its series shows up all the same.
     within = F.struct(
-        F.lit(0).cast("long").alias("days"), (F.col("n") - 1).alias("n"),
+        F.when(F.col("n") > 1, F.lit(0)).cast("long").alias("days"), (F.col("n") - 1).alias("n"),
         F.col("g_min").alias("least"), F.col("g_max").alias("largest"),
     )
     between = F.struct(
-        F.floor(F.col("gap") / DAY).alias("days"), F.lit(1).cast("long").alias("n"),
+        F.floor(F.col("gap") / DAY).alias("days"), F.col("gap").isNotNull().cast("long").alias("n"),
         F.col("gap").alias("least"), F.col("gap").alias("largest"),
     )
     return (
         days.select(*by, F.explode(F.array(within, between)).alias("g"))
-        .filter((F.col("g.n") > 0) & F.col("g.days").isNotNull())
         .groupBy(*by, F.col("g.days").alias("days"))
         .agg(F.sum("g.n").alias("n"), F.min("g.least").alias("least"), F.max("g.largest").alias("largest"))
     )
@@ -73,7 +74,7 @@ def median_gap_days(df: DataFrame, by: Sequence[str], date: str) -> DataFrame:
 
     Both middle ranks are found in the histogram. If they fall into the same whole day, so
     does their mean; if not, the lower one is the largest gap of its slot and the upper
-    one the least of its slot.
+    one the least of its slot. A series with fewer than two dates has no median.
     """
     by = list(by)
     hist = _series_gaps(df, by, date)
@@ -128,13 +129,10 @@ def _detect(df, by, date, label, default):
     by = list(by) or ["__all"]
     if by == ["__all"]:
         df = df.withColumn("__all", F.lit(0))
-    # A series with fewer than two dates has no gap, hence no row among the gaps.
-    every = df.groupBy(*by).agg(F.lit(default).alias("__default"))
     if date not in df.columns:
-        out = every.withColumnRenamed("__default", FREQ)
+        out = df.groupBy(*by).agg(F.lit(default).alias(FREQ))
     else:
-        known = median_gap_days(df, by, date).select(*by, label(F.col("median_days")).alias(FREQ))
-        out = every.join(known, by, "left").select(*by, F.coalesce(FREQ, "__default").alias(FREQ))
+        out = median_gap_days(df, by, date).select(*by, label(F.col("median_days")).alias(FREQ))
     return out.drop("__all")
 
 

@@ -6,14 +6,14 @@ from typing import NamedTuple
 
 from pyspark.sql import DataFrame, functions as F
 
-from ..config import DATE, FREQ, METRIC, PanelConfig, VALUE
+from ..config import DATE, FREQ, METRIC, PanelConfig, POS, VALUE
 from ..functions.windows import GROUPS, with_features
 from ..operators import columns as cols
 from ..operators.clean import drop_all_null, target_series
 from ..operators.frequency import detect_target_frequency
 from ..operators.longform import attach, spread, to_wide
 from ..operators.reduce import Components, pca
-from ..operators.resample import resample_monthly
+from ..operators.resample import monthly_state, resample_state
 from ..operators.select import drop_correlated, p_values, select_by_fdr, top_variance
 from ..operators.sequence import fill_both, fill_zero, leak_safe_lag, rolling_windows
 from ..operators.target import attach_target, join_target, outer_concat
@@ -27,12 +27,11 @@ class Trained(NamedTuple):
 
 def monthly_target(long: DataFrame, target_col: str = "y", cfg: PanelConfig = PanelConfig()) -> DataFrame:
     """A target table in long form to `(keys, date, y)` at month ends, by its own frequency."""
-    entity = [*cfg.keys, "table"]
-    freq = detect_target_frequency(long.select(*entity, DATE).distinct(), entity)
-    dated = long.drop(FREQ).join(freq, entity)
-    monthly = resample_monthly(
-        dated, cfg.keys, missing_threshold=cfg.missing_threshold, exact_scale=cfg.exact_scale
-    )
+    series = [*cfg.keys, "table", METRIC]
+    freq = detect_target_frequency(long, series)
+    # The frequency is joined to the months of a series, not to its rows.
+    state = monthly_state(long.drop(FREQ), cfg.keys, carry=[POS], exact_scale=cfg.exact_scale).join(freq, series)
+    monthly = resample_state(cut_lineage(state), cfg.keys, missing_threshold=cfg.missing_threshold)
     return target_series(monthly, target_col, cfg.keys)
 
 
@@ -57,8 +56,12 @@ def window_vectors(
 def feature_columns(
     panel: DataFrame, target: DataFrame, cfg: PanelConfig = PanelConfig(), groups=GROUPS
 ) -> DataFrame:
-    """Imputed window features as feature columns over the dates of the target, with p-values."""
-    vectors, names = window_vectors(panel, cfg, groups)
+    """Imputed window features as feature columns over the dates of the target, with p-values.
+
+    The panel is small next to its features and is written down first, which also lets the
+    window stage choose its own number of tasks.
+    """
+    vectors, names = window_vectors(cut_lineage(panel), cfg, groups)
     columns = cols.transpose(attach_target(vectors, target, cfg.keys), names, cfg.keys)
     return p_values(cols.restrict_to_target(cols.impute(columns)))
 
