@@ -29,18 +29,20 @@ def three_tables(spark, sf_dir):
     return [orders_by_priority(spark, sf_dir), lineitem_long(spark, sf_dir), events_long(spark, sf_dir)]
 
 
-def _daily(name: str) -> str:
-    return f"""{name}_month as (
-  select metric, pos, last_day(date) as date, {MEAN} as value
-  from {name}_long, (select max(date) as last_date from {name}_long)
-  where last_day(date) < last_day(last_date) or last_date = last_day(last_date) group by metric, pos, last_day(date))"""
+def _months(name: str, trim: bool) -> str:
+    """Months of each series from its first to its last, gaps included, maybe without a partial last one."""
+    kept = "where date < last_day(last_date) or last_date = last_day(last_date)" if trim else ""
+    return f"""{name}_all as (select metric, pos, last_day(date) as date, {MEAN} as value from {name}_long group by metric, pos, last_day(date)),
+{name}_spine as (select metric, pos, last_day(cast(unnest(generate_series(date_trunc('month', min(date)),
+    date_trunc('month', max(date)), interval 1 month)) as date)) as date from {name}_all group by metric, pos),
+{name}_month as (select s.metric, s.pos, s.date, a.value from {name}_spine s left join {name}_all a using (metric, pos, date)
+  join (select metric, max(date) as last_date from {name}_long group by metric) using (metric) {kept})"""
 
 
-# Long monthly rows of the three tables; no month of a series is missing in between.
+# Long monthly rows of the three tables.
 MONTHLY = f"""{ORDERS_BY_PRIORITY}, {LINEITEM_LONG},
 events_long as (select 'event_value' as metric, 0 as pos, cast(ts as date) as date, value from events),
-{_daily('orders')}, {_daily('events')},
-lineitem_month as (select metric, pos, last_day(date) as date, {MEAN} as value from lineitem_long group by all),
+{_months('orders', True)}, {_months('events', True)}, {_months('lineitem', False)},
 monthly as (select 0 as t, * from orders_month union all select 1, * from lineitem_month union all select 2, * from events_month),
 metrics as (select distinct 0 as t, pos, metric from orders_long union select 1, pos, metric from lineitem_long
   union select 2, pos, metric from events_long)"""
@@ -79,7 +81,9 @@ def run_merge_only(spark, sf_dir):
 
 
 @query("single_table_unfilled", f"""
-with {ORDERS_BY_PRIORITY}, {_daily('orders')} select metric, date, value from orders_month""")
+with {ORDERS_BY_PRIORITY}, {_months('orders', True)}
+select metric, date, value from (select distinct metric from orders_month), (select distinct date from orders_month)
+left join orders_month using (metric, date)""")
 def single_table_unfilled(spark, sf_dir):
     panel = monthly_panel([orders_by_priority(spark, sf_dir)], CFG)
     return panel.select(F.substring_index("metric", "_", 2).alias("metric"), "date", "value")

@@ -42,11 +42,12 @@ def month_spine_gaps(spark, sf_dir):
 
 @query("daily_trim_partial", f"""
 with {ORDERS_BY_PRIORITY},
-last as (select metric, max(date) as last_date from orders_long group by metric)
-select metric, last_day(date) as date, {MEAN} as value
-from orders_long join last using (metric)
-where last_day(date) < last_day(last_date) or last_date = last_day(last_date)
-group by metric, last_day(date)""")
+all_ as (select metric, last_day(date) as date, {MEAN} as value from orders_long group by metric, last_day(date)),
+last as (select metric, max(date) as last_date from orders_long group by metric),
+spine as (select metric, last_day(cast(unnest(generate_series(date_trunc('month', min(date)), date_trunc('month', max(date)),
+  interval 1 month)) as date)) as date from all_ group by metric)
+select s.metric, s.date, a.value from spine s left join all_ a using (metric, date) join last using (metric)
+where s.date < last_day(last_date) or last_date = last_day(last_date)""")
 def daily_trim_partial(spark, sf_dir):
     return resample.resample_monthly(orders_by_priority(spark, sf_dir), exact_scale=2).select("metric", "date", "value")
 
