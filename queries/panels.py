@@ -82,7 +82,8 @@ def run_merge_only(spark, sf_dir):
 
 @query("single_table_unfilled", f"""
 with {ORDERS_BY_PRIORITY}, {_months('orders', True)}
-select metric, date, value from (select distinct metric from orders_month), (select distinct date from orders_month)
+select metric, date, value
+from (select metric, date from (select distinct metric from orders_month), (select distinct date from orders_month))
 left join orders_month using (metric, date)""")
 def single_table_unfilled(spark, sf_dir):
     panel = monthly_panel([orders_by_priority(spark, sf_dir)], CFG)
