@@ -14,6 +14,7 @@ from macropanel.operators.resample import resample_monthly
 from macropanel.plans import catalog_merge as cm
 from macropanel.plans.panel import merge_only, monthly_panel
 from macropanel.plans.training import lagged_panel, monthly_target, train_simple, train_variance, wide_training
+from macropanel.session import cut_lineage
 from macropanel.sources import landed as vendor
 
 from .base import (
@@ -65,7 +66,7 @@ def _pivot(source: str, having: str = "") -> str:
 @query("outer_merge_panel", f"with {PANEL} {_pivot('panel')}")
 def outer_merge_panel(spark, sf_dir):
     monthly = resample_monthly(union_long(three_tables(spark, sf_dir)), exact_scale=2)
-    return to_wide(merge_panel(suffix_metrics(monthly), fill=False), METRICS, aliases=ALIASES)
+    return to_wide(merge_panel(suffix_metrics(cut_lineage(monthly)), fill=False), METRICS, aliases=ALIASES)
 
 
 @query("merge_fill", f"with {PANEL} {_pivot('filled')}")
