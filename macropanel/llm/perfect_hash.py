@@ -55,3 +55,17 @@ class PerfectHash:
             left = left[~hit]
             base += size
         return out
+
+    def to_bytes(self) -> bytes:
+        sizes = np.array([len(self.sizes), *self.sizes], "<i8")
+        return sizes.tobytes() + np.packbits(self.bits).tobytes()
+
+    @classmethod
+    def from_bytes(cls, data: bytes) -> PerfectHash:
+        made = cls(np.zeros(0, np.uint64))
+        levels = int(np.frombuffer(data, "<i8", 1)[0])
+        made.sizes = np.frombuffer(data, "<i8", levels, 8).tolist()
+        packed = np.frombuffer(data, np.uint8, offset=8 + 8 * levels)
+        made.bits = np.unpackbits(packed, count=sum(made.sizes)).astype(bool)
+        made.rank = np.cumsum(made.bits, dtype=np.int64) - 1
+        return made
