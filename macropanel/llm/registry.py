@@ -3,6 +3,16 @@
 from __future__ import annotations
 
 from .bpe import op1_byte_bpe
+from .chat import OP10_SQL, op10_chat
+from .exact_dedup import OP4_SQL, op4_exact_dedup
+from .line_dedup import OP8_SQL, op8_line_dedup
+from .mixing import op9_mixing
 
-QUERIES = {"op1_byte_bpe": op1_byte_bpe}
-ORACLE: dict[str, str] = {}
+QUERIES = {
+    "op1_byte_bpe": op1_byte_bpe,
+    "op4_exact_dedup": op4_exact_dedup,
+    "op8_line_dedup": op8_line_dedup,
+    "op9_mixing": op9_mixing,
+    "op10_chat": op10_chat,
+}
+ORACLE = {"op4_exact_dedup": OP4_SQL, "op8_line_dedup": OP8_SQL, "op10_chat": OP10_SQL}
