@@ -7,9 +7,11 @@ from .chat import OP10_SQL, op10_chat
 from .exact_dedup import OP4_SQL, op4_exact_dedup
 from .line_dedup import OP8_SQL, op8_line_dedup
 from .mixing import op9_mixing
+from .toxicity import op2_toxicity
 
 QUERIES = {
     "op1_byte_bpe": op1_byte_bpe,
+    "op2_toxicity": op2_toxicity,
     "op4_exact_dedup": op4_exact_dedup,
     "op8_line_dedup": op8_line_dedup,
     "op9_mixing": op9_mixing,
