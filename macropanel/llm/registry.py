@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from .bpe import op1_byte_bpe
 from .chat import OP10_SQL, op10_chat
+from .embedding_dedup import op7_embedding_dedup
 from .exact_dedup import OP4_SQL, op4_exact_dedup
 from .line_dedup import OP8_SQL, op8_line_dedup
 from .mixing import op9_mixing
@@ -13,6 +14,7 @@ QUERIES = {
     "op1_byte_bpe": op1_byte_bpe,
     "op2_toxicity": op2_toxicity,
     "op4_exact_dedup": op4_exact_dedup,
+    "op7_embedding_dedup": op7_embedding_dedup,
     "op8_line_dedup": op8_line_dedup,
     "op9_mixing": op9_mixing,
     "op10_chat": op10_chat,
