@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterable, Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from macropanel.session import cut_lineage
+
 #: White space of the contracts: space and the five controls from tab to carriage return.
 SPACE = b" \t\n\x0b\x0c\r"
 SPACE_RUN = r"[\x20\x09-\x0D]+"
@@ -71,3 +75,60 @@ def texts_of(batch: pa.RecordBatch, column: str = "text") -> list[bytes]:
 
 def hex_sha256(column: Column) -> Column:
     return F.sha2(column.cast("binary"), 256)
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """A new folder below the checkpoint folder, which all executors share."""
+    cut_lineage(spark.range(0))  # sets the folder where none is named
+    return f"{spark.sparkContext.getCheckpointDir()}/landed-{uuid.uuid4().hex}"
+
+
+def land(df: DataFrame) -> DataFrame:
+    """Write `df` as Parquet in the shared folder and read it again: lineage ends, columns stay prunable."""
+    folder = shared_folder(df.sparkSession)
+    df.write.parquet(folder)
+    return df.sparkSession.read.schema(df.schema).parquet(folder)
+
+
+class Bloom:
+    """Which longs a set may hold. Of fixed size: with more members it passes more, but never loses one."""
+
+    BITS = 23
+
+    @classmethod
+    def of(cls, ids: DataFrame, column: str) -> Column:
+        """A condition on `column` that is true for all values of the one column of `ids`."""
+        shift = np.uint64(64 - cls.BITS)
+
+        def marks(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            bits = np.zeros(1 << cls.BITS, bool)
+            for batch in batches:
+                x = batch.column(0).to_numpy().astype(np.uint64)
+                for salt in (1, 2):
+                    bits[mix(x + np.uint64(salt)) >> shift] = True
+            # One row a 64 KB part, so that parts are united by groups.
+            for at, part in enumerate(np.split(np.packbits(bits), 16)):
+                if part.any():
+                    yield pa.RecordBatch.from_arrays([pa.array([at], pa.int32()), pa.array([part.tobytes()], pa.binary())], names=["at", "bits"])
+
+        def united(rows: pa.Table) -> pa.Table:
+            both = np.bitwise_or.reduce([np.frombuffer(b, np.uint8) for b in rows["bits"].to_pylist()])
+            return pa.table({"at": rows["at"].slice(0, 1), "bits": pa.array([both.tobytes()], pa.binary())})
+
+        parts = ids.mapInArrow(marks, "at int, bits binary").groupBy("at").applyInArrow(united, "at int, bits binary").collect()
+        whole = np.zeros((16, (1 << cls.BITS) // 128), np.uint8)
+        for r in parts:
+            whole[r["at"]] = np.frombuffer(r["bits"], np.uint8)
+        packed = ids.sparkSession.sparkContext.broadcast(whole.tobytes())  # 1 MB
+
+        @F.pandas_udf("boolean")
+        def maybe(x: pd.Series) -> pd.Series:
+            bits = np.frombuffer(packed.value, np.uint8)
+            x = x.fillna(0).to_numpy().astype(np.int64).astype(np.uint64)
+            hit = np.ones(len(x), bool)
+            for salt in (1, 2):
+                at = mix(x + np.uint64(salt)) >> shift
+                hit &= (bits[(at >> np.uint64(3)).astype(np.int64)] >> (np.uint8(7) - (at & np.uint64(7)).astype(np.uint8)) & 1).astype(bool)
+            return pd.Series(hit)
+
+        return maybe(F.col(column))

@@ -8,11 +8,13 @@ from .embedding_dedup import op7_embedding_dedup
 from .exact_dedup import OP4_SQL, op4_exact_dedup
 from .line_dedup import OP8_SQL, op8_line_dedup
 from .mixing import op9_mixing
+from .ngram_join import op3_ngram_join
 from .toxicity import op2_toxicity
 
 QUERIES = {
     "op1_byte_bpe": op1_byte_bpe,
     "op2_toxicity": op2_toxicity,
+    "op3_ngram_join": op3_ngram_join,
     "op4_exact_dedup": op4_exact_dedup,
     "op7_embedding_dedup": op7_embedding_dedup,
     "op8_line_dedup": op8_line_dedup,
