@@ -9,6 +9,7 @@ from .exact_dedup import OP4_SQL, op4_exact_dedup
 from .line_dedup import OP8_SQL, op8_line_dedup
 from .mixing import op9_mixing
 from .ngram_join import op3_ngram_join
+from .substring_dedup import op5_suffix_array_dedup
 from .toxicity import op2_toxicity
 
 QUERIES = {
@@ -16,6 +17,7 @@ QUERIES = {
     "op2_toxicity": op2_toxicity,
     "op3_ngram_join": op3_ngram_join,
     "op4_exact_dedup": op4_exact_dedup,
+    "op5_suffix_array_dedup": op5_suffix_array_dedup,
     "op7_embedding_dedup": op7_embedding_dedup,
     "op8_line_dedup": op8_line_dedup,
     "op9_mixing": op9_mixing,
