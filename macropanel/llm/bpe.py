@@ -25,7 +25,7 @@ import regex
 import xxhash
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from .common import sliced, table
+from .common import sliced, table, unused
 from .perfect_hash import PerfectHash
 
 BLOCK = 500_000  # chunks of a text that are in memory at once
@@ -198,14 +198,15 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, text: str = "
     """
     shared = Shared(docs.sparkSession, ranks, pattern)
     docs = docs.drop("ids")
-    source = docs.withColumn("__text", F.coalesce(F.col(text), F.lit("")))
+    whole = unused(docs, "whole_text")
+    source = docs.withColumn(whole, F.coalesce(F.col(text), F.lit("")))
     names = docs.columns
     schema = docs.withColumn("ids", F.lit(b"")).schema
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocabulary = shared.load()
-        for batch in sliced(batches, PIECE, "__text"):
-            ids = [b"".join(b.astype("<u4").tobytes() for b in blocks) for blocks in vocabulary.encode(batch.column("__text").to_pylist())]
+        for batch in sliced(batches, PIECE, whole):
+            ids = [b"".join(b.astype("<u4").tobytes() for b in blocks) for blocks in vocabulary.encode(batch.column(whole).to_pylist())]
             yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in names), pa.array(ids, pa.binary())], names=[*names, "ids"])
 
     return source.mapInArrow(run, schema)
@@ -215,16 +216,16 @@ def decode(encoded: DataFrame, ranks: dict[bytes, int], pattern: str, column: st
     """`encoded` with the bytes that the ids of `column` stand for (null ids: no bytes)."""
     shared = Shared(encoded.sparkSession, ranks, pattern)
     encoded = encoded.drop(to)
-    names = encoded.columns
+    names, packed = encoded.columns, unused(encoded, "packed_ids")
     schema = encoded.withColumn(to, F.lit(b"")).schema
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocabulary = shared.load()
-        for batch in sliced(batches, PIECE, "__ids"):
-            texts = [vocabulary.decode(np.frombuffer(b, "<u4")) for b in batch.column("__ids").to_pylist()]
+        for batch in sliced(batches, PIECE, packed):
+            texts = [vocabulary.decode(np.frombuffer(b, "<u4")) for b in batch.column(packed).to_pylist()]
             yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in names), pa.array(texts, pa.binary())], names=[*names, to])
 
-    return encoded.withColumn("__ids", F.coalesce(F.col(column), F.lit(b""))).mapInArrow(run, schema)
+    return encoded.withColumn(packed, F.coalesce(F.col(column), F.lit(b""))).mapInArrow(run, schema)
 
 
 def token_report(docs: DataFrame, ranks: dict[bytes, int], pattern: str) -> DataFrame:

@@ -32,6 +32,14 @@ def keyed_texts(docs: DataFrame) -> DataFrame:
     return docs.select(F.xxhash64(F.col("doc_id"), text).alias("row_key"), F.col("doc_id").cast("long"), text.alias("text"))
 
 
+def unused(df: DataFrame, name: str) -> str:
+    """`name`, with underscores in front until `df` has no column of that name."""
+    have = {c.lower() for c in df.columns}
+    while name.lower() in have:
+        name = f"_{name}"
+    return name
+
+
 def shard_count(spark: SparkSession) -> int:
     """As many shards as a shuffle has partitions: the cluster sizes them to its input."""
     return max(8, int(spark.conf.get("spark.sql.shuffle.partitions")))

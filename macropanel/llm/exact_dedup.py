@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from macropanel.session import cut_lineage
 
-from .common import SPACE_RUN, shard_count, table
+from .common import SPACE_RUN, hex_sha256, shard_count, table, unused
 from .perfect_hash import PerfectHash
 
 INDEX = "shard int, hash binary, digests binary, winners binary, copies binary"
@@ -139,14 +139,13 @@ def drop_exact_duplicates(docs: DataFrame) -> DataFrame:
 
     The rows that stay are looked for by id and digest, so a text moves once.
     """
-    kept = exact_duplicates(docs).where("kept").select(
-        F.col("doc_id").alias("__id"), F.col("text_sha256").alias("__sha")
-    )
+    sha, key, nth = (unused(docs, n) for n in ("kept_sha", "kept_id", "kept_nth"))
+    kept = exact_duplicates(docs).where("kept").select(F.col("doc_id").alias("__id"), F.col("text_sha256").alias("__sha"))
     text = F.regexp_replace(F.coalesce(F.col("text"), F.lit("")), SPACE_RUN, " ")
-    keyed = docs.withColumn("__digest", F.sha2(text.cast("binary"), 256)).withColumn("__long", F.col("doc_id").cast("long"))
-    alike = Window.partitionBy("__digest", "__long").orderBy(F.lit(1))
-    joined = keyed.join(kept, (F.col("__digest") == F.col("__sha")) & F.col("__long").eqNullSafe(F.col("__id")))
-    return joined.withColumn("__nth", F.row_number().over(alike)).where("__nth = 1").select(*docs.columns)
+    keyed = docs.withColumns({sha: hex_sha256(text), key: F.col("doc_id").cast("long")})
+    alike = Window.partitionBy(sha, key).orderBy(F.lit(1))
+    joined = keyed.alias("l").join(kept.alias("r"), (F.col(f"l.{sha}") == F.col("r.__sha")) & F.col(f"l.{key}").eqNullSafe(F.col("r.__id"))).select("l.*")
+    return joined.withColumn(nth, F.row_number().over(alike)).where(F.col(nth) == 1).select(*docs.columns)
 
 
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from macropanel.session import cut_lineage
 
-from .common import WORD, table
+from .common import WORD, table, unused
 
 SLICES = 1024  # parts of the documents of one source and length
 TABLE = 1 << 14  # words that the knapsack table spans
@@ -163,15 +163,15 @@ def _planned(rows: DataFrame, weights: tuple[float, ...], most: int) -> DataFram
 def mixed_documents(docs: DataFrame, *, weights: tuple[float, ...] = (1, 2, 3), most: int = 3, seed: int = 0) -> DataFrame:
     """`docs` with each row as often as the mix takes it; its columns and their values are untouched."""
     # Rows alike in id, source and size may stand for each other: they are numbered on both sides.
-    names = ["__id", "__source", "__size", "__nth"]
+    names = [unused(docs, n) for n in ("mix_id", "mix_source", "mix_size", "mix_nth")]
+    times, copy = unused(docs, "mix_times"), unused(docs, "mix_copy")
     nth = F.row_number().over(Window.partitionBy(*names[:3]).orderBy(F.lit(1)))
-    left = docs.withColumns({"__id": F.col("doc_id"), "__source": F.col("source").cast("string"), "__size": _size()}).withColumn("__nth", nth)
+    left = docs.withColumns(dict(zip(names, (F.col("doc_id"), F.col("source").cast("string"), _size())))).withColumn(names[3], nth)
     taken = _planned(_rows(docs, seed), weights, most).where("copies > 0")
-    taken = taken.select(F.col("doc_id").alias("__id"), F.col("source").alias("__source"), F.col("size").alias("__size"), "copies")
-    right = taken.withColumn("__nth", nth)
+    right = taken.select(*(F.col(c).alias(n) for c, n in zip(("doc_id", "source", "size"), names)), "copies").withColumn(names[3], nth)
     same = reduce(lambda a, b: a & b, (F.col(f"l.{n}").eqNullSafe(F.col(f"r.{n}")) for n in names))
-    joined = left.alias("l").join(right.alias("r"), same).select("l.*", F.col("r.copies").alias("__copies"))
-    return joined.withColumn("__copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("__copies")))).select(*docs.columns)
+    joined = left.alias("l").join(right.alias("r"), same).select("l.*", F.col("r.copies").alias(times))
+    return joined.withColumn(copy, F.explode(F.sequence(F.lit(1).cast("long"), F.col(times)))).select(*docs.columns)
 
 
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -252,7 +252,7 @@ def similar_texts(docs: DataFrame, *, width: int = 5, num: int = 4, den: int = 5
     ))
     postings = _postings(classes)
     first = postings.groupBy("gram").agg(F.min("node").alias("pivot"), F.max("node").alias("other"), F.count("*").alias("size")).where("pivot <> other")
-    shared = land(postings.join(first.drop("other"), "gram").distinct())
+    shared = land(postings.join(first.drop("other"), "gram").distinct().withColumn("component", F.col("node")))
     ids = shared.select("node").distinct()
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     links = spark.createDataFrame([], "a long, b long")
@@ -291,8 +291,8 @@ def similar_texts(docs: DataFrame, *, width: int = 5, num: int = 4, den: int = 5
 def drop_similar(docs: DataFrame, **options) -> DataFrame:
     """`docs` with the smallest id of each component; rows without an id stay. Columns and values are untouched."""
     found = similar_texts(docs.select("doc_id", "text"), **options)
-    gone = found.where("doc_id <> component_id").select(F.col("doc_id").alias("__gone")).distinct()
-    return docs.join(gone, F.col("doc_id").cast("long") == F.col("__gone"), "left_anti")
+    gone = found.where("doc_id <> component_id").select("doc_id").distinct()
+    return docs.alias("l").join(gone.alias("r"), F.col("l.doc_id").cast("long") == F.col("r.doc_id"), "left_anti").select(*docs.columns)
 
 
 def op3_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -21,7 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from .common import sliced, table
+from .common import sliced, table, unused
 
 PIECE = 8_000_000
 STARTS = range(4, 9)  # lengths of the beginnings that are features
@@ -212,20 +212,20 @@ def _maximise(model: Model, sample: pa.Table, weight: dict[int, float], steps: i
     return Model(model.features, x[:k].copy(), float(x[k]), float(1 / (1 + np.exp(-x[k + 1]))))
 
 
-def score(docs: DataFrame, model: Model, *, threshold: float = 0.3, to: str = "score") -> DataFrame:
+def score(docs: DataFrame, model: Model, *, to: str = "score") -> DataFrame:
     """`docs` with its score (null and empty texts: the leak). Every other column passes unchanged; one named `to` is replaced."""
     shared = docs.sparkSession.sparkContext.broadcast(model)  # at most max_features entries
     docs = docs.drop(to)
-    names = docs.columns
+    names, whole = docs.columns, unused(docs.withColumn(to, F.lit(0.0)), "whole_text")
     schema = docs.withColumn(to, F.lit(0.0)).schema
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = shared.value
-        for batch in sliced(batches, PIECE, "__text"):
-            found = [own.score(t) for t in batch.column("__text").to_pylist()]
+        for batch in sliced(batches, PIECE, whole):
+            found = [own.score(t) for t in batch.column(whole).to_pylist()]
             yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in names), pa.array(found, pa.float64())], names=[*names, to])
 
-    return docs.withColumn("__text", F.coalesce("text", F.lit(""))).mapInArrow(run, schema)
+    return docs.withColumn(whole, F.coalesce("text", F.lit(""))).mapInArrow(run, schema)
 
 
 def offending_sentences(docs: DataFrame, model: Model, threshold: float = 0.3) -> DataFrame:
@@ -263,8 +263,8 @@ def toxicity_report(docs: DataFrame, labels: DataFrame, *, threshold: float = 0.
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, *, threshold: float = 0.3, **options) -> DataFrame:
     """The rows of `docs` that score below the threshold, unchanged."""
-    names = docs.columns
-    return score(docs, fit(docs, labels, **options), to="__score").where(F.col("__score") < threshold).select(*names)
+    names, to = docs.columns, unused(docs, "toxicity")
+    return score(docs, fit(docs, labels, **options), to=to).where(F.col(to) < threshold).select(*names)
 
 
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
