@@ -33,6 +33,11 @@ def measure(col: Column, dtype) -> Column:
     return col.cast("double")
 
 
+def missing(col: Column, dtype) -> Column:
+    """Whether a cell is empty; NaN is, too."""
+    return col.isNull() | F.isnan(col) if isinstance(dtype, (DoubleType, FloatType)) else col.isNull()
+
+
 def na_to_null(text: Column) -> Column:
     """NULL for the texts a CSV reader takes as missing."""
     return F.when(~text.isin(*NA_TOKENS), text)
@@ -61,7 +66,8 @@ def mean_of(value: Column, exact_scale: int | None = None) -> Column:
     """Aggregate mean of the non-missing values.
 
     With `exact_scale` the sum is taken in decimals of that many digits, so the result
-    does not depend on the order in which partitions are added up.
+    does not depend on the order in which partitions are added up. A value that does not fit
+    into such a decimal, or loses digits in it, is an error.
     """
     return total_of(value, exact_scale) / F.nullif(F.count(value), F.lit(0))
 
@@ -69,4 +75,7 @@ def mean_of(value: Column, exact_scale: int | None = None) -> Column:
 def total_of(value: Column, exact_scale: int | None = None) -> Column:
     if exact_scale is None:
         return F.sum(value)
-    return F.sum(value.try_cast(f"decimal(18,{exact_scale})")).cast("double")
+    exact = value.try_cast(f"decimal(38,{exact_scale})")
+    lost = value.isNotNull() & ~exact.cast("double").eqNullSafe(value.cast("double"))
+    message = F.concat(F.lit(f"no exact sum with {exact_scale} digits of "), value.cast("string"))
+    return F.sum(F.when(lost, F.raise_error(message)).otherwise(exact)).cast("double")

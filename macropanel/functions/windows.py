@@ -314,7 +314,7 @@ FEATURES: tuple[Feature, ...] = tuple(_define())
 
 
 def feature_specs(
-    groups=GROUPS, *, max_timeshift: int = 6, prune_infeasible: bool = True
+    groups=GROUPS, *, max_timeshift: int = 6, prune_infeasible: bool = False
 ) -> tuple[list[Feature], list]:
     """The native features and the spectral ones that a run computes.
 
@@ -334,7 +334,7 @@ def with_features(
     groups=GROUPS,
     *,
     max_timeshift: int = 6,
-    prune_infeasible: bool = True,
+    prune_infeasible: bool = False,
     xs: str = "xs",
 ) -> tuple[DataFrame, list[str]]:
     """Add `fv array<double>` with the features of each window; their names are returned in order."""

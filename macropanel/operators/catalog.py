@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
@@ -10,12 +11,18 @@ CATALOG_SCHEMA = (
     "id string, name string, freq string, source string, date_col string, "
     "columns array<string>, indicator string"
 )
+POSITION = "entry"
 REQUIRED = ("id", "name", "freq", "indicator")
 
 
 def read_catalog(spark: SparkSession, path: str) -> DataFrame:
-    """A catalog file: a JSON list of objects."""
-    return spark.read.schema(CATALOG_SCHEMA).json(path, multiLine=True)
+    """A catalog file, a JSON list of objects; `entry` is an entry's place in the list.
+
+    The list is read as one text and unpacked by place, so the order does not depend on the reader.
+    """
+    kind = f"array<struct<{re.sub(r'(\w+) (\S+)', r'\1:\2', CATALOG_SCHEMA)}>>"
+    text = spark.read.text(path, wholetext=True)
+    return text.select(F.posexplode(F.from_json("value", kind)).alias(POSITION, "e")).select("e.*", POSITION)
 
 
 def search(catalog: DataFrame, keyword: str = "", fields: Sequence[str] = ("id", "name")) -> DataFrame:
@@ -35,10 +42,12 @@ def selection(spark: SparkSession, ids: Sequence[str]) -> DataFrame:
 
 
 def first_by_id(catalog: DataFrame, order: str | None = None) -> DataFrame:
-    """One entry per id, the first one in catalog order."""
-    if order is None:
-        return catalog.dropDuplicates(["id"])
-    w = Window.partitionBy("id").orderBy(order)
+    """One entry per id: the first by `order`, which is the place in the file where that is known.
+
+    Without either, all other columns decide, so that reruns agree.
+    """
+    by = [order] if order else [POSITION] if POSITION in catalog.columns else [c for c in catalog.columns if c != "id"]
+    w = Window.partitionBy("id").orderBy(*by)
     return catalog.withColumn("__n", F.row_number().over(w)).filter("__n = 1").drop("__n")
 
 

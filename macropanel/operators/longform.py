@@ -13,7 +13,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, Window, functions as F
 
 from ..config import DATE, FREQ, METRIC, POS, TABLE, VALUE
-from ..functions.values import measure
+from ..functions.values import measure, missing
 
 
 def series_cols(keys: Sequence[str] = (), table: bool = True) -> list[str]:
@@ -56,7 +56,7 @@ def to_long(
             F.lit(i).alias(POS),
             F.lit(name).alias(METRIC),
             measure(F.col(f"`{name}`"), types[name]).alias(VALUE),
-            F.col(f"`{name}`").isNull().alias("raw_null"),
+            missing(F.col(f"`{name}`"), types[name]).alias("raw_null"),
         )
         for i, name in enumerate(measures)
     ])

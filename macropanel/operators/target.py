@@ -4,25 +4,19 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame
 
 from ..config import DATE
 
 
-def _sized(target: DataFrame, keys: Sequence[str]) -> DataFrame:
-    # Without keys the target has one row per month, so it is bounded by the calendar.
-    # With keys its size is not known here and the join is left to the adaptive planner.
-    return target if keys else F.broadcast(target)
-
-
 def join_target(long: DataFrame, target: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     """Inner join on entity and date: only periods known on both sides stay."""
-    return long.join(_sized(target, keys), [*keys, DATE], "inner")
+    return long.join(target, [*keys, DATE], "inner")
 
 
 def attach_target(long: DataFrame, target: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     """Left join: `y` is NULL where the target has no such period."""
-    return long.join(_sized(target, keys), [*keys, DATE], "left")
+    return long.join(target, [*keys, DATE], "left")
 
 
 def outer_concat(wide: DataFrame, target: DataFrame, keys: Sequence[str] = ()) -> DataFrame:

@@ -41,7 +41,7 @@ def lagged_panel(panel: DataFrame, cfg: PanelConfig = PanelConfig()) -> DataFram
 
 
 def window_vectors(
-    panel: DataFrame, cfg: PanelConfig = PanelConfig(), groups=GROUPS, *, prune_infeasible: bool = True
+    panel: DataFrame, cfg: PanelConfig = PanelConfig(), groups=GROUPS, *, prune_infeasible: bool = False
 ) -> tuple[DataFrame, list[str]]:
     """Fill, lag, roll and describe each window by its features."""
     panel = spread(drop_all_null(panel, cfg.keys, table=False), *cfg.keys, METRIC)
@@ -123,8 +123,12 @@ def train_simple(
 
 def wide_training(trained: Trained, cfg: PanelConfig = PanelConfig()) -> DataFrame:
     """Training rows in wide form, features in rank order."""
-    ranked = trained.table.groupBy("feature").agg(F.min("rank").alias("rank")).orderBy("rank", "feature").collect()
-    long = trained.table.withColumnRenamed("feature", METRIC)
-    wide = to_wide(long, [r["feature"] for r in ranked], keys=cfg.keys)
-    y = trained.table.groupBy(*cfg.keys, DATE).agg(F.max("y").alias("y"))
-    return wide.join(y, [*cfg.keys, DATE])
+    table = cut_lineage(trained.table)
+    # One name for each column of the result, which has one column per feature by its nature.
+    ranked = table.groupBy("feature").agg(F.min("rank").alias("rank")).orderBy("rank", "feature").collect()
+    names = [r["feature"] for r in ranked]
+    pivoted = table.groupBy(*cfg.keys, DATE).pivot("feature", names).agg(F.first(VALUE, ignorenulls=True).alias("v"), F.max("y").alias("y"))
+    if not names:
+        return pivoted.withColumn("y", F.lit(None).cast("double"))
+    y = F.coalesce(*[F.col(f"`{n}_y`") for n in names]).alias("y")
+    return pivoted.select(*cfg.keys, DATE, *[F.col(f"`{n}_v`").alias(n) for n in names], y)

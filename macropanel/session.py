@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import os
+import re
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -34,11 +34,14 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     """Write `df` to the checkpoint folder and go on from there.
 
     The folder is the one the cluster names in `spark.checkpoint.dir`, so that a lost
-    executor does not lose the data. Only where none is named (tests) a local one is set.
+    executor does not lose the data. A session within one process (`local[...]`, as in tests)
+    may go without and gets a new temporary folder; on a cluster a missing setting is an error.
     """
     spark = df.sparkSession
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
         shared = spark.conf.get("spark.checkpoint.dir", None)
-        context.setCheckpointDir(shared or os.path.join(tempfile.gettempdir(), "macropanel-checkpoints"))
+        if not shared and not re.fullmatch(r"local(\[.*\])?", context.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        context.setCheckpointDir(shared or tempfile.mkdtemp(prefix="macropanel-checkpoints-"))
     return df.checkpoint(eager=True)

@@ -87,15 +87,39 @@ def decode_text(content: bytes) -> str:
         return content.decode("gbk")
 
 
+def distinct_names(names: list[str | None]) -> list[str | None]:
+    """Later ones of equal names as `name.1`, `name.2`, as table readers number them; empty ones stay."""
+    taken, out = {n for n in names if n}, []
+    seen: dict[str, int] = {}
+    for name in names:
+        if not name:
+            out.append(name)
+            continue
+        number = seen.get(name, -1) + 1
+        fresh = name
+        while number and (fresh := f"{name}.{number}") in taken:
+            number += 1
+        seen[name] = number
+        taken.add(fresh)
+        out.append(fresh)
+    return out
+
+
 def decode_csv(content: bytes) -> list[list[str | None]]:
-    """Header and data rows, all of the header's width; blank lines are skipped."""
+    """Header and data rows, all of the header's width; blank lines are skipped.
+
+    A line with more cells than the header is an error: which of them belong to which name is not known.
+    Lines are counted without the blank ones.
+    """
     lines = [line for line in csv.reader(io.StringIO(decode_text(content))) if line]
     if not lines:
         return []
     width = len(lines[0])
-    grid: list[list[str | None]] = [list(lines[0])]
-    for line in lines[1:]:
-        cells = [None if c in _MISSING else c for c in line[:width]]
+    grid: list[list[str | None]] = [distinct_names(lines[0])]
+    for number, line in enumerate(lines[1:], 2):
+        if len(line) > width:
+            raise ValueError(f"line {number} has {len(line)} cells, the header {width}")
+        cells = [None if c in _MISSING else c for c in line]
         grid.append(cells + [None] * (width - len(cells)))
     return grid
 
@@ -127,6 +151,10 @@ def _optional_part(book: zipfile.ZipFile, name: str):
         return None
 
 
+def _damaged(book: zipfile.ZipFile, name: str) -> bool:
+    return name in book.namelist() and _optional_part(book, name) is None
+
+
 def _first_sheet(book: zipfile.ZipFile) -> str:
     workbook = _optional_part(book, "xl/workbook.xml")
     links = _optional_part(book, "xl/_rels/workbook.xml.rels")
@@ -177,6 +205,8 @@ def decode_xlsx(content: bytes) -> list[list[str | None]]:
             table = ElementTree.fromstring(book.read("xl/sharedStrings.xml"))
             strings = ["".join(t.text or "" for t in _all(si, "t")) for si in _children(table, "si")]
         dated = _date_styles(book)
+        # A workbook whose styles cannot be read keeps equal names, of which the first one counts later.
+        renamed = not _damaged(book, "xl/styles.xml")
         sheet = ElementTree.fromstring(book.read(_first_sheet(book)))
     cells: dict[tuple[int, int], str | None] = {}
     for row in _all(sheet, "row"):
@@ -202,4 +232,5 @@ def decode_xlsx(content: bytes) -> list[list[str | None]]:
     height = max(r for r, _ in cells)
     width = max(c for _, c in cells) + 1
     grid = [[cells.get((r, c)) for c in range(width)] for r in range(1, height + 1)]
-    return [grid[0]] + [[None if v in _MISSING else v for v in line] for line in grid[1:]]
+    names = distinct_names(grid[0]) if renamed else grid[0]
+    return [names] + [[None if v in _MISSING else v for v in line] for line in grid[1:]]

@@ -63,7 +63,8 @@ def _flag(cond: str) -> str:
 
 
 def _slug(name: str) -> str:
-    return re.sub(r"_+", "_", re.sub(r"[^A-Za-z0-9]+", "_", name)).strip("_").lower()
+    signed = re.sub(r"(?<=_)-(?=\d)", "neg_", name)
+    return re.sub(r"_+", "_", re.sub(r"[^A-Za-z0-9]+", "_", signed)).strip("_").lower()
 
 
 def _moments():
@@ -71,6 +72,7 @@ def _moments():
         "sum_values": "s1", "mean": "mean", "median": "med", "length": "n::double", "minimum": "mn", "maximum": "mx",
         "absolute_maximum": "greatest(abs(mn), abs(mx))", "variance": "m2", "standard_deviation": "sd",
         "variation_coefficient": "sd / nullif(mean, 0)", "root_mean_square": "sqrt(ss / n)", "abs_energy": "ss",
+        "mean_n_absolute_max__number_of_maxima_7": "case when n > 7 then list_avg(list_reverse_sort(list_transform(xs, lambda x: abs(x)))[1:7]) end",
     }
 
 
@@ -125,10 +127,10 @@ def _counts():
     }
     for m in (0, -1, 1):
         out[f"number_crossing_m__m_{m}"] = f"len(list_filter(range(2, n + 1), lambda i: (xs[i] > {m}) <> (xs[i - 1] > {m})))::double"
-    for r in (0.5, 1, 1.5, 2):
+    for r in (0.5, 1, 1.5, 2, 2.5, 3, 5, 6, 7, 10):
         out[f"ratio_beyond_r_sigma__r_{r}"] = _count(f"abs(x - mean) > {float(r)!r}::double * sd") + " / n"
     peak = lambda k: " and ".join(f"xs[i] > xs[i - {j}] and xs[i] > xs[i + {j}]" for j in range(1, k + 1))
-    for k in (1, 3):
+    for k in (1, 3, 5, 10, 50):
         out[f"number_peaks__n_{k}"] = f"len(list_filter(range({k + 1}, n - {k} + 1), lambda i: {peak(k)}))::double"
     return out
 
@@ -169,7 +171,8 @@ def _quantile():
 def _lags():
     acf = lambda l: f"list_sum(list_transform(range(1, n - {l} + 1), lambda i: dv[i] * dv[i + {l}])) / ((n - {l}) * m2)"
     every = "list_transform(range(1, n), lambda l: list_sum(list_transform(range(1, n - l + 1), lambda i: dv[i] * dv[i + l])) / ((n - l) * m2))"
-    out = {f"autocorrelation__lag_{l}": f"case when n <= {l} or m2 = 0 then null else {acf(l)} end" for l in range(1, 7)}
+    out = {f"autocorrelation__lag_{l}": f"case when n <= {l} or m2 = 0 then null else {acf(l)} end" for l in range(1, 10)}
+    out["autocorrelation__lag_0"] = "case when m2 = 0 then null else 1::double end"
     for f, agg in (("mean", "avg"), ("median", "median"), ("var", "var_pop")):
         out[f'agg_autocorrelation__f_agg_"{f}"__maxlag_40'] = f"case when m2 = 0 then 0 else list_aggregate({every}, '{agg}') end"
     for l in (1, 2, 3):
@@ -192,14 +195,16 @@ def _line(points: str, attr: str) -> str:
 def _trend():
     out = {f'linear_trend__attr_"{a}"': _line("xs", a) for a in ("slope", "intercept", "rvalue", "stderr")}
     for f, agg in (("max", "max"), ("min", "min"), ("mean", "avg"), ("var", "var_pop")):
-        parts = f"[list_aggregate(xs[1:5], '{agg}')::double, list_aggregate(xs[6:n], '{agg}')::double]"
-        for a in ("slope", "intercept", "rvalue"):
-            out[f'agg_linear_trend__attr_"{a}"__chunk_len_5__f_agg_"{f}"'] = f"case when n > 5 then {_line(parts, a)} end"
+        for c in (5, 10, 50):
+            parts = f"list_transform(range(0, cast(ceil(n / {c}.0) as bigint)), lambda k: list_aggregate(xs[k * {c} + 1:least((k + 1) * {c}, n)], '{agg}')::double)"
+            for a in ("slope", "intercept", "rvalue", "stderr"):
+                out[f'agg_linear_trend__attr_"{a}"__chunk_len_{c}__f_agg_"{f}"'] = f"case when n > {c} then {_line(parts, a)} end"
     return out
 
 
 def _other():
-    out = {f"energy_ratio_by_chunks__num_segments_10__segment_focus_{i}": f"coalesce(xs[{i + 1}] * xs[{i + 1}], 0) / nullif(ss, 0)" for i in range(7)}
+    out = {f"energy_ratio_by_chunks__num_segments_10__segment_focus_{i}": f"coalesce(xs[{i + 1}] * xs[{i + 1}], 0) / nullif(ss, 0)" for i in range(10)}
+    out["query_similarity_count__query_None__threshold_0.0"] = "null::double"
     bins = "list_transform(xs, lambda x: case when mx = mn then 5 else least(9, cast(floor((x - mn) / (mx - mn) * 10) as int)) end)"
     share = f"list_transform(range(0, 10), lambda k: len(list_filter({bins}, lambda y: y = k)) / n::double)"
     out["binned_entropy__max_bins_10"] = f"-list_sum(list_transform({share}, lambda p: case when p = 0 then 0 else p * ln(p) end))"
@@ -235,7 +240,7 @@ for _group in _SQL:
 @query("feat_spectral")
 def feat_spectral(spark, sf_dir):
     """Transforms, spectra and complexities, which SQL cannot say; checked against numpy in the tests."""
-    vectors, names = windows.with_features(rolled(spark, sf_dir), ("spectral",))
+    vectors, names = windows.with_features(rolled(spark, sf_dir), ("spectral",), prune_infeasible=True)
     return windows.explode_features(vectors, names).select("supplier", "date", "feature", q(F.col("value")).alias("value"))
 
 

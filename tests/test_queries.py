@@ -35,6 +35,7 @@ def ordered(rows):
 def test_query(spark, duck, name):
     df = entry.queries()[name](spark, SF)
     names = sorted(df.columns)
+    assert len({n.lower() for n in names}) == len(names)
     got = ordered([r[c] for c in names] for r in df.collect())
     sql = entry.oracle_sql().get(name)
     if sql is None:

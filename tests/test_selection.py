@@ -63,17 +63,31 @@ def test_two_sample_is_exact(seed, n, m):
     assert two_sample_ks(a, b) == pytest.approx(exact_ks(a, b))
 
 
-def test_two_sample_limit_law_joins_the_exact_one():
+def test_two_sample_is_exact_at_any_size():
+    """Against the path counts in whole numbers, beyond the size at which others switch to a limit law."""
     rng = np.random.default_rng(5)
-    a, b = rng.normal(size=90), rng.normal(0.2, 1, 100)
-    import macropanel.functions.association as module
-
-    exact = two_sample_ks(a, b)
-    old, module.EXACT_PAIRS = module.EXACT_PAIRS, 0
-    try:
-        assert two_sample_ks(a, b) == pytest.approx(exact, abs=0.05)
-    finally:
-        module.EXACT_PAIRS = old
+    a, b = rng.normal(size=100), rng.normal(0.2, 1, 101)
+    every = np.concatenate([a, b])
+    gaps = np.searchsorted(np.sort(a), every, side="right") * 101 - np.searchsorted(np.sort(b), every, side="right") * 100
+    reach = int(np.abs(gaps).max())
+    paths = [0] * 102
+    for i in range(101):
+        for j in range(102):
+            if abs(i * 101 - j * 100) >= reach:
+                paths[j] = 0
+            elif i or j:
+                paths[j] = (paths[j] if i else 0) + (paths[j - 1] if j else 0)
+            else:
+                paths[0] = 1
+    assert two_sample_ks(a, b) == pytest.approx(1 - paths[101] / math.comb(201, 100), rel=1e-9)
+
+
+def test_concordance_with_ties():
+    rng = np.random.default_rng(6)
+    for n in (1, 2, 3, 17, 64, 65):
+        x, y = rng.integers(0, 6, n).astype(float), rng.integers(0, 5, n).astype(float)
+        pairs = sum(np.sign(x[i] - x[j]) * np.sign(y[i] - y[j]) for i in range(n) for j in range(i))
+        assert concordance(x, y) == pairs
 
 
 def test_association_by_kind(spark):

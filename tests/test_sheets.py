@@ -151,7 +151,7 @@ DATED = '<cellXfs><xf numFmtId="0"/><xf numFmtId="14"/></cellXfs>'
 
 def test_workbook_cells():
     grid = sheets.decode_xlsx(workbook(CELLS, DATED, ["日期", "v"]))
-    assert grid[0][:3] == ["日期", "v", "v"] and len(grid[0]) == 28
+    assert grid[0][:3] == ["日期", "v", "v.1"] and len(grid[0]) == 28
     assert grid[1][:3] == ["2024-01-01", "1.5", None]
     assert (grid[2][0], grid[2][1], grid[2][2], grid[2][27]) == ("2024-02-01", "2", "x", "7")
 
