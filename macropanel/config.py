@@ -72,3 +72,5 @@ class PanelConfig:
     exact_scale: int | None = None
     # "exact_first_day", "by_month" or None.
     jan_feb: str | None = None
+    # Leave out window features that no window of the configured length can tell from a constant.
+    prune_infeasible: bool = False

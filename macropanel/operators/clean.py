@@ -95,14 +95,6 @@ def drop_null_dates(df: DataFrame, *, date: str = DATE) -> DataFrame:
     return df.filter(F.col(date).isNotNull())
 
 
-def rename_date(df: DataFrame, date_col: str, to: str = DATE) -> DataFrame:
-    return df.withColumnRenamed(date_col, to)
-
-
-def head_rows(df: DataFrame, n: int = 5) -> DataFrame:
-    return df.limit(n)
-
-
 def tail_rows(df: DataFrame, n: int = 10, *, date: str = DATE, ties: Sequence[str] = ()) -> DataFrame:
     """The `n` latest rows; `ties` decides among rows of one date."""
     return df.orderBy(F.col(date).desc(), *[F.col(c).desc() for c in ties]).limit(n)

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import math
 from collections.abc import Sequence
 
 import numpy as np
@@ -30,7 +29,8 @@ def p_values(columns: DataFrame) -> DataFrame:
 
 
 def harmonic(m: Column) -> Column:
-    """1 + 1/2 + ... + 1/m: summed up to 1000, by its expansion beyond (error below 1e-12)."""
+    """1 + 1/2 + ... + 1/m. Beyond 1000 the sum's own expansion is used, which differs from it by less
+    than 1e-12: the order in which doubles are added matters more."""
     summed = F.aggregate(F.sequence(F.lit(1), F.least(m, F.lit(1000)).cast("int")), F.lit(0.0), lambda a, i: a + 1.0 / i)
     limit = F.log(m) + 0.57721566490153286 + 1 / (2 * m) - 1 / (12 * m * m)
     return F.when(m <= 1000, summed).otherwise(limit)
@@ -80,17 +80,17 @@ def drop_correlated(
     """
     entity = list(keys) or ["__all"]
     base = columns if keys else columns.withColumn("__all", F.lit(0))
-    if blocks is None:
-        most = base.groupBy(*entity).count().agg(F.max("count")).first()[0] or 0
-        blocks = max(1, math.ceil(most / BLOCK))
+    # Each entity gets the blocks that its own number of features needs.
+    size = F.ceil(F.count(F.lit(1)) / BLOCK) if blocks is None else F.first(F.lit(blocks))
+    blocked = base.join(base.groupBy(*entity).agg(size.cast("int").alias("__blocks")), entity)
     names = [c for c in ORDER if c in columns.columns]
-    scaled = with_stats(base).filter("__s > 0").select(
-        *entity, *names,
+    scaled = with_stats(blocked).filter("__s > 0").select(
+        *entity, *names, "__blocks",
         F.transform("__d", lambda d: d / F.sqrt(F.col("__s"))).alias("z"),
-        F.pmod(F.xxhash64("feature"), F.lit(blocks)).cast("int").alias("block"),
+        F.pmod(F.xxhash64("feature"), F.col("__blocks")).cast("int").alias("block"),
     )
     # Block b takes part in the tasks (b, 0..b) and (b+1.., b).
-    others = F.sequence(F.lit(0), F.lit(blocks - 1))
+    others = F.sequence(F.lit(0), F.col("__blocks") - 1)
     spread = scaled.select("*", F.explode(others).alias("other")).select(
         *entity, *names, "z", "block",
         F.greatest("block", "other").alias("left"), F.least("block", "other").alias("right"),

@@ -15,6 +15,7 @@ from ..operators.merge import merge_panel, prefix_metrics, suffix_metrics
 from ..operators.resample import monthly_state, resample_state, split_states
 from ..session import cut_lineage
 from ..sources.landed import normalise_landed
+from ..sources.sinks import write_parquet
 
 
 @dataclass(frozen=True)
@@ -38,6 +39,20 @@ class CatalogPanel(NamedTuple):
     panel: DataFrame    # (metric, table_pos, pos, date, value)
     fetched: DataFrame  # (id)
     failed: DataFrame   # (id)
+    selected: DataFrame  # (id, table_pos)
+
+    def counts(self) -> DataFrame:
+        """One row: selected, fetched and failed ids, months and metrics of the panel."""
+        number = lambda df, name: df.agg(F.count(F.lit(1)).alias(name))
+        shape = self.panel.agg(F.count_distinct(DATE).alias("months"), F.count_distinct(METRIC).alias("metrics"))
+        return number(self.selected, "selected").join(number(self.fetched, "fetched")).join(number(self.failed, "failed")).join(shape)
+
+    def write(self, folder: str) -> dict:
+        """The panel and the lists of ids as Parquet under `folder`; the counts."""
+        write_parquet(self.panel, f"{folder}/panel.parquet")
+        self.fetched.write.mode("overwrite").parquet(f"{folder}/fetched.parquet")
+        self.failed.write.mode("overwrite").parquet(f"{folder}/failed.parquet")
+        return {**self.counts().first().asDict(), "output_files": [f"{folder}/{n}.parquet" for n in ("panel", "fetched", "failed")]}
 
 
 def landed_series(
@@ -90,7 +105,7 @@ def merge_catalog(
     panel = merge_panel(
         suffix_metrics(cut_lineage(monthly)), fill_single=cfg.fill_single, strict_past=cfg.strict_past
     )
-    return CatalogPanel(panel, served, cat.failed_ids(selected, catalog, served).select("id"))
+    return CatalogPanel(panel, served, cat.failed_ids(selected, catalog, served).select("id"), selected)
 
 
 def merge_selected(

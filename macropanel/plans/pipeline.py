@@ -11,8 +11,8 @@ from ..config import FREQ, PanelConfig
 from ..operators.longform import to_wide, union_long
 from ..operators.reduce import scores_wide
 from ..session import cut_lineage
-from ..sources.sheets import quarantine, readable, scan_sheets
-from ..sources.sinks import write_csv
+from ..sources.sheets import quarantine, readable, scan_files
+from ..sources.sinks import write_csv, write_parquet
 from .corpus import Corpus, auto_parse, declared_parse, load_parse
 from .panel import monthly_panel
 from .training import monthly_target, train_components, train_variance, wide_training
@@ -22,11 +22,12 @@ class Run(NamedTuple):
     table: DataFrame
     metadata: dict
     rejects: DataFrame | None
+    report: DataFrame | None = None  # counts of the training, a row per entity
 
 
 def ingest(spark: SparkSession, path: str | Sequence[str], *, landing: str | None = None, recursive: bool = True) -> DataFrame:
     """Decode files once; profiling reads the decoded rows, not the files, again and again."""
-    rows = scan_sheets(spark, path, recursive=recursive)
+    rows = scan_files(spark, path, recursive=recursive)
     if landing:
         rows.write.mode("overwrite").parquet(landing)
         return spark.read.parquet(landing)
@@ -81,56 +82,68 @@ def ordered_tables(long: DataFrame) -> DataFrame:
     return long.withColumn("table_pos", F.col("table"))
 
 
+def _stored(table: DataFrame, folder: str, name: str, keys: Sequence[str], as_csv: bool) -> list[str]:
+    """Write a result of a run, as Parquet and maybe as CSV; the paths."""
+    write_parquet(table, f"{folder}/{name}.parquet")
+    if not as_csv:
+        return [f"{folder}/{name}.parquet"]
+    write_csv(table, f"{folder}/{name}.csv", keys=keys)
+    return [f"{folder}/{name}.parquet", f"{folder}/{name}.csv"]
+
+
 def run_pipeline(
     spark: SparkSession,
     *,
     cfg: PanelConfig = PanelConfig(),
     data_dir: str | None = None,
     tables: Sequence[DataFrame] | None = None,
+    corpus: Corpus | None = None,
     target: DataFrame | None = None,
     target_path: str | None = None,
     target_col: str = "y",
     output_dir: str | None = None,
     window_features: bool = True,
     save_intermediate: bool = True,
+    csv: bool = False,
 ) -> Run:
     """Load, clean, merge and, if there is a target, make the training table.
 
-    `tables` are long tables (see `to_long`), otherwise `data_dir` is read. Without a target
-    the merged panel is the result. With one: window features and components, or, with
-    `window_features=False`, the lagged columns of largest variance.
+    `tables` are long tables (see `to_long`), `corpus` is what one of the ingest functions gave, otherwise
+    `data_dir` is read. Without a target the merged panel is the result. With one: window features and
+    components, or, with `window_features=False`, the lagged columns of largest variance. Results
+    go to `output_dir` as Parquet: the merged panel in long form, the training table in wide form;
+    with `csv` also both as wide CSV.
     """
     rejects = None
     if tables is not None:
         long = union_long(tables)
-    elif data_dir is not None:
-        corpus = ingest_directory(spark, data_dir, cfg=cfg)
+    elif corpus is not None or data_dir is not None:
+        corpus = corpus or ingest_directory(spark, data_dir, cfg=cfg)
         long, rejects = corpus.long, corpus.rejects
     else:
-        raise ValueError("either data_dir or tables must be given")
+        raise ValueError("data_dir, corpus or tables must be given")
     panel = cut_lineage(monthly_panel(ordered_tables(long), cfg))
     written = []
     has_target = target is not None or target_path is not None
-    if save_intermediate or not has_target:
-        wide = to_wide(panel, keys=cfg.keys)
-        if output_dir:
-            write_csv(wide, f"{output_dir}/features_merged.csv", keys=cfg.keys)
+    if output_dir and (save_intermediate or not has_target):
+        written += _stored(panel, output_dir, "features_merged_long", cfg.keys, False)
+        if csv:
+            write_csv(to_wide(panel, keys=cfg.keys), f"{output_dir}/features_merged.csv", keys=cfg.keys)
             written.append(f"{output_dir}/features_merged.csv")
     if not has_target:
-        return Run(wide, {"mode": "merge_only", "output_files": written}, rejects)
+        return Run(to_wide(panel, keys=cfg.keys), {"mode": "merge_only", "output_files": written}, rejects)
     if target is None:
         target = ingest_directory(spark, target_path, cfg=cfg).long
     y = cut_lineage(monthly_target(target, target_col, cfg))
     if window_features:
         components, report = train_components(panel, y, cfg)
-        table, name = scores_wide(components, cfg.keys), "train_pca.csv"
+        table, name = scores_wide(components, cfg.keys), "train_pca"
     else:
         trained = train_variance(panel, y, cfg)
-        table, report, name = wide_training(trained, cfg), trained.metadata, "train_no_pca.csv"
+        table, report, name = wide_training(trained, cfg), trained.metadata, "train_no_pca"
     if output_dir:
-        write_csv(table, f"{output_dir}/{name}", keys=cfg.keys)
-        written.append(f"{output_dir}/{name}")
-    metadata = {"mode": name.removesuffix(".csv"), "output_files": written}
+        written += _stored(table, output_dir, name, cfg.keys, csv)
+    metadata = {"mode": name, "output_files": written}
     if not cfg.keys:
         metadata.update(report.first().asDict())
-    return Run(table, metadata, rejects)
+    return Run(table, metadata, rejects, report)

@@ -41,7 +41,7 @@ def lagged_panel(panel: DataFrame, cfg: PanelConfig = PanelConfig()) -> DataFram
 
 
 def window_vectors(
-    panel: DataFrame, cfg: PanelConfig = PanelConfig(), groups=GROUPS, *, prune_infeasible: bool = False
+    panel: DataFrame, cfg: PanelConfig = PanelConfig(), groups=GROUPS
 ) -> tuple[DataFrame, list[str]]:
     """Fill, lag, roll and describe each window by its features."""
     panel = spread(drop_all_null(panel, cfg.keys, table=False), *cfg.keys, METRIC)
@@ -50,7 +50,7 @@ def window_vectors(
         lagged_panel(known, cfg), cfg.keys,
         max_timeshift=cfg.max_timeshift, min_timeshift=cfg.min_timeshift, table=False,
     )
-    return with_features(rolled, groups, max_timeshift=cfg.max_timeshift, prune_infeasible=prune_infeasible)
+    return with_features(rolled, groups, max_timeshift=cfg.max_timeshift, prune_infeasible=cfg.prune_infeasible)
 
 
 def feature_columns(

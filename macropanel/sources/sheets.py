@@ -15,27 +15,33 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..config import NA_TOKENS
+from ..functions.values import na_to_null
 
+# CSV files above this size are split over tasks.
+BULK_BYTES = 128 * 1024 * 1024
 ROWS_SCHEMA = "path string, row long, cells array<string>, error string"
 _MISSING = frozenset(NA_TOKENS)
 # Built-in number formats of a workbook that show a date.
 _DATE_FORMATS = frozenset([*range(14, 23), *range(45, 48)])
 
 
-def scan_sheets(spark: SparkSession, path: str | list[str], *, recursive: bool = True, pattern: str = "*.{csv,xlsx,xls}") -> DataFrame:
+def scan_sheets(
+    spark: SparkSession, path: str | list[str], *, recursive: bool = True, pattern: str = "*.{csv,xlsx,xls}", smaller_than: int | None = None
+) -> DataFrame:
     """All CSV files and workbooks under `path` as `(path, row, cells, error)`.
 
-    One task decodes one file, so a file must fit into a task; large uniform files go through
-    `scan_bulk_csv`. A file that cannot be read gives one row with `error` set.
+    One task decodes one file, so a file must fit into a task; `smaller_than` leaves larger CSV files
+    to `scan_bulk_csv`. A file that cannot be read gives one row with `error` set.
     """
     files = (
         spark.read.format("binaryFile")
         .option("recursiveFileLookup", str(recursive).lower())
         .option("pathGlobFilter", pattern)
         .load(path)
-        .select("path", "content")
     )
-    return files.mapInPandas(_decode_files, ROWS_SCHEMA)
+    if smaller_than is not None:
+        files = files.filter((F.col("length") <= smaller_than) | ~F.lower("path").endswith(".csv"))
+    return files.select("path", "content").mapInPandas(_decode_files, ROWS_SCHEMA)
 
 
 def readable(rows: DataFrame) -> DataFrame:
@@ -48,14 +54,67 @@ def quarantine(rows: DataFrame) -> DataFrame:
     return rows.filter("error is not null").select("path", F.col("error").alias("reason"))
 
 
-def scan_bulk_csv(spark: SparkSession, path: str | list[str], columns: list[str], *, encoding: str = "UTF-8") -> DataFrame:
-    """Large CSV files of one known layout, all columns as text and split over tasks."""
-    schema = ", ".join(f"`{c}` string" for c in columns)
-    return (
-        spark.read.schema(schema)
-        .option("header", True).option("encoding", encoding).option("nullValue", "")
-        .csv(path)
+def scan_files(spark: SparkSession, path: str | list[str], *, recursive: bool = True, bulk_bytes: int = BULK_BYTES) -> DataFrame:
+    """`scan_sheets`, with CSV files above `bulk_bytes` and Parquet files split over tasks.
+
+    Only names and sizes are looked at to tell them apart; the lists of large and of Parquet
+    files are short next to their content.
+    """
+    listed = (
+        spark.read.format("binaryFile").option("recursiveFileLookup", str(recursive).lower())
+        .option("pathGlobFilter", "*.{csv,parquet}").load(path).select("path", "length")
     )
+    is_csv = F.lower("path").endswith(".csv")
+    large = [r["path"] for r in listed.filter(is_csv & (F.col("length") > bulk_bytes)).select("path").collect()]
+    columnar = [r["path"] for r in listed.filter(~is_csv).select("path").collect()]
+    rows = scan_sheets(spark, path, recursive=recursive, smaller_than=bulk_bytes)
+    for one in large:
+        rows = rows.unionByName(scan_bulk_csv(spark, one))
+    for one in columnar:
+        rows = rows.unionByName(scan_parquet(spark, one))
+    return rows
+
+
+def _encoding(lines: DataFrame) -> str:
+    """UTF-8 if every line is, else GBK; `lines` are read byte by byte."""
+    valid = F.is_valid_utf8(F.encode("value", "ISO-8859-1"))
+    return "UTF-8" if lines.agg(F.coalesce(F.bool_and(valid), F.lit(True)).alias("ok")).first()["ok"] else "GBK"
+
+
+def scan_bulk_csv(spark: SparkSession, path: str) -> DataFrame:
+    """A large CSV file with a header as rows like those of `scan_sheets`, split over tasks.
+
+    Row 0 is the header; data rows carry growing numbers without meaning. A line with more
+    cells than the header is an error row of its own. Quoted line breaks are not supported.
+    """
+    lines = spark.read.option("encoding", "ISO-8859-1").text(path)
+    encoding = _encoding(lines)
+    first = lines.first()
+    if first is None:
+        return spark.createDataFrame([(path, -1, None, "ValueError: empty file")], ROWS_SCHEMA)
+    header = next(csv.reader([decode_text(first["value"].encode("latin-1"))]))
+    names = distinct_names(header)
+    # One cell more than the header: what fills it is a cell too many.
+    schema = ", ".join(f"c{i} string" for i in range(len(names) + 1))
+    body = spark.read.schema(schema).option("header", True).option("enforceSchema", True).option("encoding", encoding).option("nullValue", "").csv(path)
+    extra = F.col(f"c{len(names)}").isNotNull()
+    cells = F.array(*[na_to_null(F.col(f"c{i}")) for i in range(len(names))])
+    head = spark.createDataFrame([(path, 0, names, None)], ROWS_SCHEMA)
+    number = F.monotonically_increasing_id() + 1
+    return head.unionByName(body.select(
+        F.lit(path).alias("path"), F.when(extra, F.lit(-1)).otherwise(number).cast("long").alias("row"),
+        F.when(~extra, cells).alias("cells"), F.when(extra, F.lit(f"ValueError: a line has more cells than the header's {len(names)}")).alias("error"),
+    ))
+
+
+def scan_parquet(spark: SparkSession, path: str) -> DataFrame:
+    """A Parquet file of plain columns as rows like those of `scan_sheets`; dates and numbers as text."""
+    df = spark.read.parquet(path)
+    head = spark.createDataFrame([(path, 0, df.columns, None)], ROWS_SCHEMA)
+    cells = F.array(*[F.col(f"`{c}`").cast("string") for c in df.columns])
+    return head.unionByName(df.select(
+        F.lit(path).alias("path"), (F.monotonically_increasing_id() + 1).alias("row"), cells.alias("cells"), F.lit(None).cast("string").alias("error")
+    ))
 
 
 def _decode_files(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

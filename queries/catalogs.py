@@ -22,6 +22,14 @@ def part_catalog(spark, sf_dir):
     )
 
 
+@query("catalog_first_entry", """
+select p_brand as id, arg_min(p_name, p_partkey) as name, min(p_partkey) as entry from part group by p_brand""")
+def catalog_first_entry(spark, sf_dir):
+    """Every brand has many entries; the first in the list counts."""
+    entries = table(spark, sf_dir, "part").select(F.col("p_brand").alias("id"), F.col("p_name").alias("name"), F.col("p_partkey").alias("entry"))
+    return cat.first_by_id(entries)
+
+
 @query("catalog_search", f"""
 with {CATALOG}
 select * from catalog where contains(lower(id), 'red') or contains(lower(name), 'red') or contains(lower(indicator), 'red')""")

@@ -9,7 +9,7 @@ from macropanel.functions import values
 from macropanel.operators import clean, profile
 from macropanel.operators.longform import to_long
 from macropanel.operators.merge import prefix_metrics, suffix_metrics
-from macropanel.operators.resample import month_end_mean
+from macropanel.operators.resample import month_end_mean, resample_monthly
 from macropanel.plans.training import monthly_target
 
 from .base import LINEITEM_LONG, MEAN, ORDERS_BY_PRIORITY, lineitem_long, orders_by_priority, query, table
@@ -89,6 +89,36 @@ def drop_sparse(spark, sf_dir):
     return _column_sums(clean.drop_sparse(_gappy(spark, sf_dir), ["l_returnflag"], threshold=20.0))
 
 
+_NAN = """nan_long as (
+  select 'tax' as metric, case when l_linenumber > 1 then l_tax end as value, last_day(l_shipdate) as date from lineitem
+  union all select 'discount', case when l_linenumber < 7 then l_discount end, last_day(l_shipdate) from lineitem)"""
+
+
+def _with_nan(spark, sf_dir):
+    """Tax is no number in the first line of each order, discount in the seventh."""
+    nan = F.lit(float("nan"))
+    wide = table(spark, sf_dir, "lineitem").select(
+        "l_shipdate", F.when(F.col("l_linenumber") > 1, F.col("l_tax")).otherwise(nan).alias("tax"),
+        F.when(F.col("l_linenumber") < 7, F.col("l_discount")).otherwise(nan).alias("discount"),
+    )
+    return to_long(wide, "l_shipdate", table="t", freq="monthly")
+
+
+@query("drop_sparse_nan", f"""
+with {_NAN} select metric, count(*) as rows, cast(sum(cast(value as decimal(18,2))) as double) as total
+from nan_long group by metric having count(*) filter (value is null) * 100.0 / count(*) < 20""")
+def drop_sparse_nan(spark, sf_dir):
+    kept = clean.drop_sparse(_with_nan(spark, sf_dir), threshold=20.0)
+    return kept.groupBy("metric").agg(F.count(F.lit(1)).alias("rows"), F.sum(F.col("value").cast("decimal(18,2)")).cast("double").alias("total"))
+
+
+@query("resample_sparse_nan", f"""
+with {_NAN}, kept as (select metric from nan_long group by metric having count(*) filter (value is null) * 100.0 / count(*) < 20)
+select metric, date, cast(sum(cast(value as decimal(18,2))) as double) / count(value) as value from nan_long semi join kept using (metric) group by metric, date""")
+def resample_sparse_nan(spark, sf_dir):
+    return resample_monthly(_with_nan(spark, sf_dir), missing_threshold=20.0, exact_scale=2).select("metric", "date", "value")
+
+
 @query("drop_all_null", f"""{_GAPPY}
 select l_returnflag, metric, count(*) as rows, cast(sum(cast(value as decimal(18,2))) as double) as total
 from long group by l_returnflag, metric having count(value) > 0""")

@@ -277,6 +277,46 @@ def catalog_merge_single(spark, sf_dir):
     return _run_catalog(spark, sf_dir, F.date_format("o_orderdate", "yyyy-MM-dd"), cm.SINGLE, "daily", "date")
 
 
+# One row a month; January is 0 or empty in turn, as vendors that add it to February give it.
+_SPLIT = f"""
+with months as (select n_name as id, n_nationkey as k, last_day(o_orderdate) as date, floor({MEAN.replace("value", "o_totalprice")}) as value
+  from orders join customer on o_custkey = c_custkey join nation on c_nationkey = n_nationkey group by n_name, n_nationkey, last_day(o_orderdate)),
+given as (select id, date, case when month(date) = 1 then case when k % 2 = 0 then 0 end else value end as value from months),
+beside as (select *, lead(value) over w as next, lead(date) over w as next_date, lag(date) over w as prior_date from given window w as (partition by id order by date)),
+halved as (select id, date, case
+    when month(date) = 1 and next is not null and next_date = last_day(date + interval 1 day) then next / 2
+    when month(date) = 2 and prior_date = last_day(date - interval 1 month) then value / 2 else value end as value from beside),
+grid as (select id, date from (select distinct id from halved), (select distinct date from halved))
+select 'series ' || id || '_value_月度' as metric, date, coalesce(
+    last_value(value ignore nulls) over (partition by id order by date rows between unbounded preceding and current row),
+    first_value(value ignore nulls) over (partition by id order by date rows between unbounded preceding and unbounded following)) as value
+from grid left join halved using (id, date)"""
+
+
+def _run_split(spark, sf_dir, policy, pattern, date_col):
+    orders, customer, nation = (table(spark, sf_dir, n) for n in ("orders", "customer", "nation"))
+    sold = orders.join(customer, F.col("o_custkey") == F.col("c_custkey")).join(nation, F.col("c_nationkey") == F.col("n_nationkey"))
+    mean = F.sum(F.col("o_totalprice").cast("decimal(18,2)")).cast("double") / F.count(F.lit(1))
+    months = sold.groupBy(F.col("n_name").alias("id"), F.col("n_nationkey").alias("k"), F.trunc("o_orderdate", "month").alias("day")).agg(F.floor(mean).alias("v"))
+    given = F.when(F.month("day") != 1, F.col("v")).when(F.col("k") % 2 == 0, F.lit(0))
+    landed = months.select(
+        "id", F.date_format("day", pattern).alias("raw_date"), F.lit("value").alias("metric"), F.lit(0).alias("pos"), given.cast("string").alias("text")
+    )
+    catalog = nation_catalog(spark, sf_dir, "monthly", date_col)
+    out = cm.merge_catalog(catalog.select("id", "table_pos"), catalog.drop("table_pos"), landed, policy, CFG)
+    return out.panel.select("metric", "date", "value")
+
+
+@query("catalog_merge_split", _SPLIT)
+def catalog_merge_split(spark, sf_dir):
+    return _run_split(spark, sf_dir, cm.SPELLED, "yyyy年MM月份", "month")
+
+
+@query("catalog_merge_split_coded", _SPLIT)
+def catalog_merge_split_coded(spark, sf_dir):
+    return _run_split(spark, sf_dir, cm.CODED, "yyyyMM", "month")
+
+
 @query("vendor_normalise", """
 select n_name as id, cast(date_trunc('month', o_orderdate) as date) as date, count(*) as rows,
   cast(sum(cast(o_totalprice as decimal(18,2))) as double) as total

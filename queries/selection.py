@@ -106,7 +106,53 @@ pairs as (select a.feature as i, b.feature as j, corr(a.value, b.value) as r
   from series a join series b on a.date = b.date and a.feature < b.feature group by a.feature, b.feature)
 select distinct feature from series where feature not in (select j from pairs where abs(r) > 0.2)""")
 def corr_filter(spark, sf_dir):
-    return select.drop_correlated(brand_columns(spark, sf_dir), cut=0.2, blocks=3).select("feature")
+    return select.drop_correlated(brand_columns(spark, sf_dir), cut=0.2).select("feature")
+
+
+# Month mean of the quantity of each supplier: the number of series grows with the tables.
+MANY = SERIES.replace("p_brand as feature", "'s' || cast(l_suppkey as string) as feature").replace(" join part on l_partkey = p_partkey", "")
+
+
+def supplier_columns(spark, sf_dir):
+    items = table(spark, sf_dir, "lineitem")
+    mean = lambda c: F.sum(F.col(c).cast("decimal(18,2)")).cast("double") / F.count(F.lit(1))
+    series = items.groupBy(
+        F.concat(F.lit("s"), F.col("l_suppkey").cast("string")).alias("metric"), F.last_day("l_shipdate").alias("date")
+    ).agg(mean("l_quantity").alias("value")).withColumn("table", F.col("metric"))
+    y = items.groupBy(F.last_day("l_shipdate").alias("date")).agg(mean("l_tax").alias("y"))
+    return columns.pack(join_target(merge_panel(cut_lineage(series)), y))
+
+
+@query("corr_filter_suppliers", f"""
+with {MANY},
+pairs as (select a.feature as i, b.feature as j, corr(a.value, b.value) as r
+  from series a join series b on a.date = b.date and a.feature < b.feature group by a.feature, b.feature)
+select distinct feature from series where feature not in (select j from pairs where abs(r) > 0.4)""")
+def corr_filter_suppliers(spark, sf_dir):
+    return select.drop_correlated(supplier_columns(spark, sf_dir), cut=0.4).select("feature")
+
+
+# Lattice paths to (n, m) that stay below the statistic, one diagonal a step.
+@query("two_sample_p", f"""
+with recursive {MANY},
+flagged as (select feature, case when value > 25.5 then 1 else 0 end as x, y from points),
+size as (select feature, count(*) filter (x = 1) as n, count(*) filter (x = 0) as m from flagged group by feature),
+gaps as (select feature, abs(count(*) filter (x = 1) over upto * m - count(*) filter (x = 0) over upto * n) as gap
+  from flagged join size using (feature) window upto as (partition by feature order by y)),
+stat as (select feature, n, m, max(gap) as reach from gaps join size using (feature) group by feature, n, m),
+steps as (
+  select feature, n, m, reach, 0::bigint as t, list_transform(range(0, n + 1), lambda i: 0::double) as share from stat where n > 0 and m > 0
+  union all
+  select feature, n, m, reach, t + 1, list_transform(range(0, n + 1), lambda i: case when t + 1 - i < 0 or t + 1 - i > m then 0
+      when abs(i * m - (t + 1 - i) * n) >= reach then 1
+      else (case when i > 0 then share[i] * i else 0 end + share[i + 1] * (t + 1 - i)) / (t + 1) end)
+  from steps where t < n + m)
+select feature, case when reach = 0 then 1 when n > 0 and m > 0 then {q_sql('share[n + 1]', 9)} end as p
+from stat left join (select feature, share from steps where t = n + m) using (feature)""")
+def two_sample_p(spark, sf_dir):
+    found = supplier_columns(spark, sf_dir)
+    halved = found.withColumn("xs", F.transform("xs", lambda x: F.when(x > 25.5, 1.0).otherwise(0.0)))
+    return select.p_values(halved).select("feature", q(F.col("p"), 9).alias("p"))
 
 
 @query("variance_top_k", f"""

@@ -8,7 +8,9 @@ from macropanel.config import PanelConfig
 from macropanel.operators import catalog as cat
 from macropanel.plans import catalog_merge as cm
 from macropanel.plans import job
+from macropanel.plans.corpus import load_parse
 from macropanel.plans.pipeline import run_pipeline
+from macropanel.sources.sheets import readable
 from pyspark.sql import functions as F
 
 
@@ -40,7 +42,7 @@ def read_csv(path):
 
 
 def test_merge_only(spark, folder, tmp_path):
-    run = run_pipeline(spark, data_dir=folder[0], output_dir=str(tmp_path))
+    run = run_pipeline(spark, data_dir=folder[0], output_dir=str(tmp_path), csv=True)
     assert run.metadata["mode"] == "merge_only"
     assert run.table.columns == ["date", "景气_月度", "噪声_月度", "gdp_季度"]
     rows = read_csv(tmp_path / "features_merged.csv")
@@ -48,18 +50,22 @@ def test_merge_only(spark, folder, tmp_path):
 
 
 def test_variance_training_from_the_command_line(spark, folder, tmp_path):
-    run = job.main(["--data-dir", folder[0], "--target-file", folder[1], "--output-dir", str(tmp_path), "--no-window-features"])
+    run = job.main(["--data-dir", folder[0], "--target-file", folder[1], "--output-dir", str(tmp_path), "--no-tsfresh", "--csv"])
     assert run.metadata["final_features"] == 3
     rows = read_csv(tmp_path / "train_no_pca.csv")
     assert len(rows) == 71
     # the feature is lagged like the target, so both show the same month
     assert all(float(r["景气_月度"]) == pytest.approx(float(r["y"])) for r in rows)
-    assert {p.rsplit("/", 1)[-1] for p in run.metadata["output_files"]} == {"features_merged.csv", "train_no_pca.csv"}
+    assert {p.rsplit("/", 1)[-1] for p in run.metadata["output_files"]} == {
+        "features_merged_long.parquet", "features_merged.csv", "train_no_pca.parquet", "train_no_pca.csv"
+    }
+    assert spark.read.parquet(f"{tmp_path}/train_no_pca.parquet").count() == 71
 
 
 def test_window_feature_training(spark, folder, tmp_path):
-    run = run_pipeline(spark, data_dir=folder[0], target_path=folder[1], output_dir=str(tmp_path))
+    run = run_pipeline(spark, data_dir=folder[0], target_path=folder[1], output_dir=str(tmp_path), csv=True)
     m = run.metadata
+    assert m["generated_features"] == 3 * 767
     assert m["generated_features"] > m["passed_fdr"] >= m["significant_features"] >= m["final_components"] >= 1
     assert 0 < m["explained_variance"] <= 1
     rows = read_csv(tmp_path / "train_pca.csv")
@@ -70,6 +76,28 @@ def test_window_feature_training(spark, folder, tmp_path):
     assert abs(again) > 0.7
 
 
+def test_large_csv_and_parquet_as_input(spark, folder, tmp_path):
+    """The same panel from a folder whose CSV is split over tasks, in GBK, and whose other table is Parquet."""
+    import shutil
+
+    from macropanel.sources.sheets import quarantine, scan_files
+
+    with open(f"{folder[0]}/monthly.csv", encoding="utf-8") as f:
+        lines = f.read()
+    (tmp_path / "monthly.csv").write_bytes(lines.encode("gbk") + "20210101,1,2,77\n".encode())
+    spark.read.option("header", True).csv(f"{folder[0]}/quarterly.csv").coalesce(1).write.parquet(str(tmp_path / "q"))
+    (part,) = glob.glob(f"{tmp_path}/q/part-*.parquet")
+    shutil.copy(part, tmp_path / "quarterly.parquet")
+    names = [str(tmp_path / "monthly.csv"), str(tmp_path / "quarterly.parquet")]
+    rows = scan_files(spark, names, bulk_bytes=100)
+    assert "more cells than the header" in quarantine(rows).first()["reason"]
+    corpus = load_parse(readable(rows))
+    got = run_pipeline(spark, corpus=corpus).table
+    want = run_pipeline(spark, data_dir=folder[0]).table
+    assert got.columns == want.columns
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+
+
 def test_nothing_selected_gives_an_empty_table(spark, folder):
     run = run_pipeline(spark, data_dir=folder[0], target_path=folder[1], cfg=PanelConfig(fdr_level=1e-300))
     assert run.metadata["significant_features"] == 0
@@ -126,12 +154,15 @@ def test_catalog_merge_coded_dates_and_range(spark, catalog):
     assert got[("CPI_yoy_月度", "2024-03-31")] == 2.0
 
 
-def test_catalog_merge_single_indicators(spark, catalog):
+def test_catalog_merge_single_indicators(spark, catalog, tmp_path):
     rows = [(i, d, "value", 0, v) for i in ("cpi", "ppi") for d, v in (("2026-01-01", "0"), ("2026-02-01", "8"))]
     out = cm.merge_selected(catalog, landed(spark, rows), ["cpi", "ppi"], cm.SINGLE)
     got = panel_rows(out)
     assert got[("CPI_value_月度", "2026-01-31")] == 0.0 and len(got) == 4  # no January split
     assert out.failed.count() == 0
+    counts = out.write(str(tmp_path))
+    assert {k: counts[k] for k in ("selected", "fetched", "failed", "months", "metrics")} == {"selected": 2, "fetched": 2, "failed": 0, "months": 2, "metrics": 2}
+    assert spark.read.parquet(f"{tmp_path}/panel.parquet").count() == 4
 
 
 def test_search_and_override(spark, catalog):
@@ -161,4 +192,5 @@ def test_catalog_file(spark, tmp_path):
     path.write_text('[{"id": "a", "name": "A", "freq": "daily", "indicator": "X1"},\n {"id": "a", "name": "B", "freq": "daily"}]')
     entries = cat.read_catalog(spark, str(path))
     assert cat.first_by_id(entries.orderBy("id"), "name").first()["name"] == "A"
+    assert cat.first_by_id(entries).first()["name"] == "A" and cat.first_by_id(entries.repartition(5)).first()["name"] == "A"
     assert cat.unknown_ids(cat.selection(spark, ["a", "z"]), entries).first()["id"] == "z"

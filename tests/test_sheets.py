@@ -210,9 +210,16 @@ def test_upload_flows(spark, folder, tmp_path):
 
 
 def test_bulk_csv(spark, tmp_path):
-    (tmp_path / "x.csv").write_text("d,v\n20240101,1\n20240102,\n")
-    rows = sheets.scan_bulk_csv(spark, str(tmp_path / "x.csv"), ["d", "v"]).collect()
-    assert [tuple(r) for r in rows] == [("20240101", "1"), ("20240102", None)]
+    (tmp_path / "x.csv").write_text("d,v,v\n20240101,1,2\n20240102,,NA\n20240103,1,2,77\n")
+    rows = sheets.scan_bulk_csv(spark, str(tmp_path / "x.csv")).collect()
+    assert [r["cells"] for r in rows if r["error"] is None] == [["d", "v", "v.1"], ["20240101", "1", "2"], ["20240102", None, None]]
+    assert [r["row"] for r in rows if r["error"]] == [-1]
+
+
+def test_a_cell_too_many_puts_the_file_aside():
+    with pytest.raises(ValueError, match="line 3 has 3 cells, the header 2"):
+        sheets.decode_csv(b"date,a\n2024-01-01,1\n2024-01-02,1,77\n")
+    assert sheets.decode_csv(b"a,a,,a,a.1\n1,2,3,4,5\n")[0] == ["a", "a.2", "", "a.3", "a.1"]
 
 
 # --- landed vendor data ------------------------------------------------------------------------
