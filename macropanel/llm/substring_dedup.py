@@ -26,6 +26,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -244,7 +245,7 @@ def _send(texts: DataFrame, shards: int, least: int) -> DataFrame:
             begin, end, data = raw_texts(batch.column("text"))
             runs = Runs(begin, end, data, least)
             bounds = np.searchsorted(runs.text, np.arange(batch.num_rows + 1))
-            wanted = [np.flatnonzero(np.isin(runs.key[a:b], np.frombuffer(k, "<u8"))) + a for a, b, k in zip(bounds, bounds[1:], batch.column("keys").to_pylist())]
+            wanted = [np.flatnonzero(np.isin(runs.key[a:b], np.frombuffer(k or b"", "<u8"))) + a for a, b, k in zip(bounds, bounds[1:], batch.column("keys").to_pylist())]
             pick = np.concatenate(wanted)
             if not len(pick):
                 continue
@@ -320,6 +321,10 @@ def _spans(sent: DataFrame, least: int, buckets: int) -> DataFrame:
 
     def run(rows: pa.Table) -> pa.Table:
         expand = zstandard.ZstdDecompressor()
+        known = [tuple(r.values()) for r in rows.select(["shard", "docs", "sizes", "data", "head"]).to_pylist() if r.pop("head") is None]
+        rows = rows.filter(pc.is_valid(rows["head"]))
+        if not rows.num_rows:
+            return pa.Table.from_batches([_batch(known, _ANSWER)])
         head = np.concatenate([np.frombuffer(expand.decompress(h), _HEAD) for h in rows["head"].to_pylist()])
         data = np.frombuffer(b"".join([expand.decompress(b) for b in rows["bytes"].to_pylist()]), np.uint8)
         size = head["size"].astype(np.int64)
@@ -342,12 +347,10 @@ def _spans(sent: DataFrame, least: int, buckets: int) -> DataFrame:
                 span["start"] = mine["start"] + inside[lost[at]]
                 span["size"] = inside[lost[last]] - inside[lost[at]] + least
                 found.append((mine["doc"], mine["sum"], span))
-        out = _by_doc(*(np.concatenate(x) for x in zip(*found)), buckets) if found else []
+        out = known + (_by_doc(*(np.concatenate(x) for x in zip(*found)), buckets) if found else [])
         return pa.Table.from_batches([_batch(out, _ANSWER)] if out else [], pa.schema(list(_ANSWER.items())))
 
-    judged = sent.where("head is not null").select("shard", "head", "bytes").groupBy("shard").applyInArrow(run, _ANSWER_DDL)
-    known = sent.where("head is null").select(F.col("shard").alias("bucket"), "docs", "sizes", "data")
-    return judged.unionByName(known).groupBy("bucket").applyInArrow(lambda rows: _unpacked(rows, 8, "spans"), "doc_id long, sum long, spans binary")
+    return sent.groupBy("shard").applyInArrow(run, _ANSWER_DDL).groupBy("bucket").applyInArrow(lambda rows: _unpacked(rows, 8, "spans"), "doc_id long, sum long, spans binary")
 
 
 def _copies(docs: DataFrame) -> DataFrame:
@@ -368,7 +371,7 @@ def drop_repeated_passages(docs: DataFrame, *, least: int = 50, texts: bool = Fa
     shards = shard_count(docs.sparkSession)
     keys = _shared_keys(docs, max(8, shards // 4), least)
     rows = _texts(docs)  # both joins take the same side, so Spark moves the texts once
-    with_keys = rows.join(keys, ["doc_id", "sum"], "left").where("keys is not null")
+    with_keys = rows.join(keys, ["doc_id", "sum"], "left")
     spans = _spans(_send(with_keys, shards, least), least, max(8, shards // 4))
     marks = spans.withColumn("whole", F.lit(False)).unionByName(_copies(docs).select("doc_id", "sum", F.lit(None).cast("binary").alias("spans"), F.lit(True).alias("whole")))
     marks = marks.groupBy("doc_id", "sum").agg(F.collect_list("spans").alias("spans"), F.bool_or("whole").alias("whole"))
