@@ -10,6 +10,7 @@ from .line_dedup import OP8_SQL, op8_line_dedup
 from .mixing import op9_mixing
 from .ngram_join import op3_ngram_join
 from .substring_dedup import op5_suffix_array_dedup
+from .token_counts import op6_token_counts
 from .toxicity import op2_toxicity
 
 QUERIES = {
@@ -18,6 +19,7 @@ QUERIES = {
     "op3_ngram_join": op3_ngram_join,
     "op4_exact_dedup": op4_exact_dedup,
     "op5_suffix_array_dedup": op5_suffix_array_dedup,
+    "op6_token_counts": op6_token_counts,
     "op7_embedding_dedup": op7_embedding_dedup,
     "op8_line_dedup": op8_line_dedup,
     "op9_mixing": op9_mixing,
