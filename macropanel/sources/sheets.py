@@ -13,6 +13,7 @@ from xml.etree import ElementTree
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql.types import StringType
 
 from ..config import NA_TOKENS
 from ..functions.values import na_to_null
@@ -76,9 +77,9 @@ def scan_files(spark: SparkSession, path: str | list[str], *, recursive: bool =
 
 
 def _encoding(lines: DataFrame) -> str:
-    """UTF-8 if every line is, else GBK; `lines` are read byte by byte."""
-    valid = F.is_valid_utf8(F.encode("value", "ISO-8859-1"))
-    return "UTF-8" if lines.agg(F.coalesce(F.bool_and(valid), F.lit(True)).alias("ok")).first()["ok"] else "GBK"
+    """UTF-8 if every line is, else GBK; the text reader hands on the bytes as they are."""
+    valid = F.coalesce(F.bool_and(F.is_valid_utf8("value")), F.lit(True))
+    return "UTF-8" if lines.agg(valid.alias("ok")).first()["ok"] else "GBK"
 
 
 def scan_bulk_csv(spark: SparkSession, path: str) -> DataFrame:
@@ -87,26 +88,37 @@ def scan_bulk_csv(spark: SparkSession, path: str) -> DataFrame:
     Row 0 is the header; data rows carry growing numbers without meaning. A line with more
     cells than the header is an error row of its own. Quoted line breaks are not supported.
     """
-    lines = spark.read.option("encoding", "ISO-8859-1").text(path)
+    lines = spark.read.text(path)
     encoding = _encoding(lines)
-    first = lines.first()
+    first = lines.select(F.col("value").cast("binary").alias("value")).first()
     if first is None:
         return spark.createDataFrame([(path, -1, None, "ValueError: empty file")], ROWS_SCHEMA)
-    header = next(csv.reader([decode_text(first["value"].encode("latin-1"))]))
+    header = next(csv.reader([decode_text(bytes(first["value"]))]))
     names = distinct_names(header)
     # One cell more than the header: what fills it is a cell too many.
     schema = ", ".join(f"c{i} string" for i in range(len(names) + 1))
-    body = spark.read.schema(schema).option("header", True).option("enforceSchema", True).option("encoding", encoding).option("nullValue", "").csv(path)
-    extra = F.col(f"c{len(names)}").isNotNull()
-    cells = F.array(*[na_to_null(F.col(f"c{i}")) for i in range(len(names))])
+    number = F.monotonically_increasing_id()
+    # The header is the first line of the split that begins the file.
+    is_header = (F.input_file_block_start() == 0) & (number % (1 << 33) == 0)
+    body = lines.select(F.col("value").cast("binary").alias("raw"), number.alias("number"), is_header.alias("head"))
+    body = body.filter(~F.col("head") & (F.length("raw") > 0))
+    text = F.decode("raw", "UTF-8") if encoding == "UTF-8" else _decoded("raw")
+    body = body.select("number", F.from_csv(text, schema, {"nullValue": "", "mode": "PERMISSIVE"}).alias("c"))
+    extra = F.col(f"c.c{len(names)}").isNotNull()
+    cells = F.array(*[na_to_null(F.col(f"c.c{i}")) for i in range(len(names))])
     head = spark.createDataFrame([(path, 0, names, None)], ROWS_SCHEMA)
-    number = F.monotonically_increasing_id() + 1
     return head.unionByName(body.select(
-        F.lit(path).alias("path"), F.when(extra, F.lit(-1)).otherwise(number).cast("long").alias("row"),
+        F.lit(path).alias("path"), F.when(extra, F.lit(-1)).otherwise(F.col("number") + 1).cast("long").alias("row"),
         F.when(~extra, cells).alias("cells"), F.when(extra, F.lit(f"ValueError: a line has more cells than the header's {len(names)}")).alias("error"),
     ))
 
 
+@F.pandas_udf(StringType())
+def _decoded(raw: pd.Series) -> pd.Series:
+    """Lines that are not UTF-8; Spark's own decoder no longer knows other Asian charsets."""
+    return raw.map(lambda b: decode_text(bytes(b)))
+
+
 def scan_parquet(spark: SparkSession, path: str) -> DataFrame:
     """A Parquet file of plain columns as rows like those of `scan_sheets`; dates and numbers as text."""
     df = spark.read.parquet(path)
