@@ -167,3 +167,18 @@ def _tile(threshold: float):
 
 def op7_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
+OP7_SQL = """
+with recursive vectors as (
+  select vec_id, cast(embedding as double[]) as v from embeddings
+  where embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0
+    and len(list_filter(embedding, lambda x: x <> 0)) > 0),
+links as (select a.vec_id as a, b.vec_id as b from vectors a join vectors b
+  on a.vec_id <> b.vec_id and len(a.v) = len(b.v) and list_cosine_similarity(a.v, b.v) >= 0.9),
+reach as (select a, b from links union select r.a, l.b from reach r join links l on r.b = l.a),
+found as (select a as vec_id, count(distinct b) as n_links from links group by a),
+low as (select a as vec_id, min(b) as low from reach group by a)
+select vec_id, coalesce(n_links, 0) as n_links, least(vec_id, coalesce(low, vec_id)) as component_id,
+  vec_id = least(vec_id, coalesce(low, vec_id)) as kept
+from embeddings left join found using (vec_id) left join low using (vec_id)"""

@@ -404,3 +404,17 @@ def drop_repeated_passages(docs: DataFrame, *, least: int = 50, texts: bool = Fa
 
 def op5_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return drop_repeated_passages(table(spark, sf_dir, "documents"), least=50)
+
+
+OP5_SQL = r"""
+with texts as (select doc_id, hex(encode(coalesce(text, ''))) as h from documents),
+places as (select doc_id, h, unnest(range(0, len(h) // 2)) as p from texts),
+passages as (select doc_id, p, substr(h, 2 * p + 1, 2) as byte, case when 2 * p + 100 <= len(h) then hash(substr(h, 2 * p + 1, 100)) end as w from places),
+first as (select w, min(doc_id) as low from passages where w is not null group by w),
+judged as (select doc_id, p, byte, coalesce(low < doc_id, false) as hit from passages left join first using (w)),
+covered as (select doc_id, p, byte, bool_or(hit) over (partition by doc_id order by p rows between 49 preceding and current row) as gone from judged),
+ends as (select *, gone and not coalesce(lag(gone) over (partition by doc_id order by p), false) as begins from covered),
+counted as (select doc_id, count(*) filter (gone) as n_removed, count(*) filter (begins) as n_spans,
+  string_agg(byte, '' order by p) filter (not gone) as kept from ends group by doc_id)
+select doc_id, len(h) // 2 as n_bytes, coalesce(n_removed, 0) as n_removed, coalesce(n_spans, 0) as n_spans,
+  sha256(unhex(coalesce(kept, ''))) as kept_sha256 from texts left join counted using (doc_id)"""
