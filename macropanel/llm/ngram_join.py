@@ -4,8 +4,8 @@ A text's set are its distinct word n-grams (64-bit hashes). Texts of equal sets
 n-grams of a class are put in one order for all: rare first, by counts in a table of fixed size (counts of
 hash buckets over all texts), then by hash. Two sets that reach the similarity share one of their first
 n - ceil(t n) + 1 n-grams, so classes are joined on these; a pair then has to pass the length filter, the
-positional filter (what can follow the shared prefix n-grams), the suffix filter (what the counts of
-128 partitions of both sets allow), and is verified once on the texts.
+positional filter (what can stand before and behind the shared prefix n-gram), the suffix filter (what the
+counts of 128 partitions of both sets allow), and is verified once on the texts.
 
 A prefix n-gram that many classes share would give the square of their number. So the classes of an n-gram
 are first only compared with pivots, one pair each. What is linked is one component, within which no pair
@@ -21,18 +21,19 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from macropanel.session import cut_lineage
 
 from .common import Bloom, land, mix, shard_count, sliced, table, texts_of
 from .components import connected_components
 
-PIECE = 8_000_000
+PIECE = 4_000_000
 BITS = 20  # of the table of counts
 PART = 1 << 16
 PARTITIONS = 128  # of the suffix filter
-REMEMBERED = 300_000
+REMEMBERED = 200_000
+PAIRS = 1_000_000  # pairs that a task looks at together
 BLOCK = 512  # classes of one n-gram that are compared with others at once
 _PRIME = np.uint64(0x9E3779B97F4A7C15)
 
@@ -121,17 +122,75 @@ def _sets(docs: DataFrame, width: int, num: int, den: int, levels: np.ndarray) -
     return rows.mapInArrow(run, "doc_id long, n long, digest binary, prefix binary, parts binary")
 
 
-def _postings(classes: DataFrame) -> DataFrame:
-    """`(gram, node)`: a row for each prefix n-gram."""
+_PACKED = {"shard": pa.int32(), "local": pa.bool_(), "nodes": pa.binary(), "grams": pa.binary(), "places": pa.binary()}
+_FAR = (1 << 15) - 1  # a place at or behind this one is not known
+_TOLD = 1 << 15  # marks a row that only tells its shard that the gram is shared
 
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            prefix = batch.column("prefix").to_pylist()
-            size = [len(p) // 8 for p in prefix]
-            gram = np.frombuffer(b"".join(prefix), "<i8")
-            yield pa.RecordBatch.from_arrays([pa.array(gram), pa.array(np.repeat(batch.column("node").to_numpy(), size))], names=["gram", "node"])
 
-    return classes.select("node", "prefix").mapInArrow(run, "gram long, node long")
+def _shared_grams(classes: DataFrame, shards: int) -> DataFrame:
+    """`(gram, node, n, place)`: the prefix n-grams that two classes or more have, and their place in each prefix.
+
+    A gram goes to its shard once for each task, however many of the task's classes have it; if two have
+    it, that row only tells, and the classes' rows pass through shards dealt by task. So no shard grows
+    with the number of classes that a gram has.
+    """
+
+    def send(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in (b.slice(at, 1 << 16) for b in batches for at in range(0, b.num_rows, 1 << 16)):
+            prefix = batch.column("prefix").to_pylist()
+            size = np.fromiter((len(p) // 8 for p in prefix), np.int64, len(prefix))
+            gram = np.frombuffer(b"".join(prefix), "<u8")
+            own = np.repeat(np.arange(len(size)), size)
+            place = np.minimum(np.arange(len(gram)) - np.repeat(np.cumsum(size) - size, size), _FAR)
+            order = np.argsort(gram, kind="stable")
+            first = np.flatnonzero(np.append(True, np.diff(gram[order]) != 0)) if len(order) else order
+            count = np.diff(first, append=len(order))
+            nth = np.arange(len(order)) - np.repeat(first, count)
+            node = np.stack([batch.column("node").to_numpy(), batch.column("n").to_numpy()], axis=1)
+            several = np.repeat(count > 1, count)
+            known, some = order[several], order[nth == 0]
+            told = np.zeros(len(gram), np.int64)
+            told[order[several]] = _TOLD
+            shard = (mix(gram[some]) % np.uint64(shards)).astype(np.int64)
+            by = np.argsort(shard, kind="stable")
+            parts = [(int(shard[p[0]]), False, some[p]) for p in np.split(by, np.flatnonzero(np.diff(shard[by])) + 1) if len(p)]
+            if len(known):
+                parts.append((int(mix(node[:1, 0].astype(np.int64).view(np.uint64))[0] % np.uint64(shards)), True, known))
+            rows = []
+            for to, local, pick in parts:
+                used, number = np.unique(own[pick], return_inverse=True)
+                places = np.stack([number, place[pick] | (0 if local else told[pick])], axis=1).astype("<u2")
+                rows.append((to, local, node[used].astype("<i8").tobytes(), gram[pick].tobytes(), places.tobytes()))
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), _PACKED.values())], names=list(_PACKED))
+
+    def keep(rows: pa.Table) -> pa.Table:
+        nodes, grams, numbers, places, known, n = [], [], [], [], [], 0
+        for own, gram, place, local in zip(*(rows[c].to_pylist() for c in ("nodes", "grams", "places", "local"))):
+            node, at = np.frombuffer(own, "<i8").reshape(-1, 2), np.frombuffer(place, "<u2").reshape(-1, 2).astype(np.int64)
+            nodes.append(node), grams.append(np.frombuffer(gram, "<u8"))
+            numbers.append(at[:, 0] + n), places.append(at[:, 1]), known.append(np.full(len(at), local))
+            n += len(node)
+        node, gram, number, place, known = (np.concatenate(x) for x in (nodes, grams, numbers, places, known))
+        order = np.argsort(gram, kind="stable")
+        first = np.flatnonzero(np.append(True, np.diff(gram[order]) != 0))
+        count = np.diff(first, append=len(order))
+        told = (place & _TOLD) > 0
+        shared = np.logical_or.reduceat(told[order], first) | (count > 1)
+        stay = known.copy()
+        stay[order[np.repeat(shared, count)]] = True
+        stay &= ~told
+        return pa.table({"gram": gram[stay].view(np.int64), "node": node[number[stay], 0], "n": node[number[stay], 1], "place": place[stay]})
+
+    packed = classes.select("node", "n", "prefix").mapInArrow(send, "shard int, local boolean, nodes binary, grams binary, places binary")
+    return packed.groupBy("shard").applyInArrow(keep, "gram long, node long, n long, place long")
+
+
+def _may_reach(n1: Column, p1: Column, n2: Column, p2: Column, num: int, den: int) -> Column:
+    """Length and positional filter of two sets that share the n-grams at these places of their prefixes."""
+    most = F.least(p1, p2) + 1 + F.least(n1 - p1 - 1, n2 - p2 - 1)
+    enough = (most * (num + den) >= (n1 + n2) * num) | (F.greatest(p1, p2) >= _FAR)
+    return (n1 * den >= n2 * num) & (n2 * den >= n1 * num) & enough
 
 
 def _parts_matrix(column) -> np.ndarray:
@@ -149,33 +208,18 @@ def _passes(a: dict, b: dict, num: int, den: int) -> np.ndarray:
     return ok
 
 
-def _positional(pa_: bytes, pb: bytes, na: int, nb: int, num: int, den: int) -> bool:
-    """What the shared prefix n-grams, and all that can follow the last of them, still allow."""
-    x, y = np.frombuffer(pa_, "<u8"), np.frombuffer(pb, "<u8")
-    shared, i, j = np.intersect1d(x, y, assume_unique=True, return_indices=True)
-    if not len(shared):
-        return False
-    most = len(shared) + min(na - int(i.max()) - 1, nb - int(j.max()) - 1)
-    return most >= -(-(na + nb) * num // (num + den))
-
-
 def _filtered(pairs: DataFrame, classes: DataFrame, num: int, den: int) -> DataFrame:
-    """The pairs `(a, b)` that pass all filters."""
+    """The pairs `(a, b)` that pass the suffix filter."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             side = [{"n": batch.column(f"n{s}").to_numpy(), "parts": _parts_matrix(batch.column(f"parts{s}"))} for s in "ab"]
-            at = np.flatnonzero(_passes(*side, num, den))
-            if not len(at):
-                continue
-            left, right = batch.column("prefixa").take(pa.array(at)).to_pylist(), batch.column("prefixb").take(pa.array(at)).to_pylist()
-            stay = [_positional(p, q, int(side[0]["n"][k]), int(side[1]["n"][k]), num, den) for k, p, q in zip(at, left, right)]
-            at = at[np.array(stay, bool)]
+            at = pa.array(np.flatnonzero(_passes(*side, num, den)))
             if len(at):
-                yield pa.RecordBatch.from_arrays([batch.column("a").take(pa.array(at)), batch.column("b").take(pa.array(at))], names=["a", "b"])
+                yield pa.RecordBatch.from_arrays([batch.column("a").take(at), batch.column("b").take(at)], names=["a", "b"])
 
     def side(s: str) -> DataFrame:
-        return classes.select(F.col("node").alias(s), F.col("n").alias(f"n{s}"), F.col("parts").alias(f"parts{s}"), F.col("prefix").alias(f"prefix{s}"))
+        return classes.select(F.col("node").alias(s), F.col("n").alias(f"n{s}"), F.col("parts").alias(f"parts{s}"))
 
     return pairs.join(side("a"), "a").join(side("b"), "b").mapInArrow(run, "a long, b long").distinct()
 
@@ -204,32 +248,43 @@ def _verified(pairs: DataFrame, texts: DataFrame, width: int, num: int, den: int
 def _between(shared: DataFrame, classes: DataFrame, shards: int, num: int, den: int) -> DataFrame:
     """Pairs of classes of unlike components that share a prefix n-gram and pass length and suffix filter.
 
-    `shared` has `(gram, node, component, size)`. The classes of a gram are dealt to blocks; blocks meet in tasks.
+    `shared` has `(gram, node, n, place, component, size)`. The classes of a gram are dealt to blocks; blocks meet in tasks.
     """
     blocks = F.ceil(F.col("size") / BLOCK).cast("int")
     own = F.pmod(F.xxhash64(F.lit(3), "node"), blocks).cast("int")
     dealt = shared.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
-    dealt = dealt.select("gram", "node", "component", "own", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"))
-    dealt = dealt.join(classes.select("node", "n", "parts"), "node")
+    dealt = dealt.select("gram", "node", "n", "place", "component", "own", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"))
+    dealt = dealt.join(classes.select("node", "parts").dropDuplicates(["node"]), "node")
     dealt = dealt.withColumn("shard", F.pmod(F.xxhash64("gram", "low", "high"), F.lit(8 * shards)).cast("int"))
 
     def run(rows: pa.Table) -> pa.Table:
-        node, component, n, own = (rows[c].to_numpy() for c in ("node", "component", "n", "own"))
-        parts = _parts_matrix(rows["parts"])
-        keys = [rows[c].to_numpy() for c in ("high", "low", "gram")]
-        order = np.lexsort(keys)
-        new = np.flatnonzero(np.any([np.diff(k[order], prepend=k[order][:1] - 1) != 0 for k in keys], axis=0)) if len(order) else []
+        gram, low, high, own = (rows[c].to_numpy() for c in ("gram", "low", "high", "own"))
+        order = np.lexsort((own, high, low, gram))
+        node, component, n, place = (rows[c].to_numpy()[order] for c in ("node", "component", "n", "place"))
+        parts = _parts_matrix(rows["parts"])[order]
+        gram, low, high, own = (x[order] for x in (gram, low, high, own))
+        # Rows of a group stand together, those of its low block first: each row's partners are a stretch behind it.
+        at = np.arange(len(order))
+        new = np.flatnonzero(np.any([np.append(True, x[1:] != x[:-1]) for x in (gram, low, high)], axis=0))
+        size = np.diff(new, append=len(order))
+        end = np.repeat(new + size, size)
+        lows = np.repeat(np.add.reduceat((own == low).astype(np.int64), new), size)
+        begin = np.where(low == high, at + 1, np.repeat(new, size) + lows)
+        count = np.where((low == high) | (own == low), end - begin, 0)
         found = [np.zeros((0, 2), np.int64)]
-        for group in np.split(order, new[1:]):
-            low, high = keys[1][group[0]], keys[0][group[0]]
-            left = group[own[group] == low]
-            right = left if low == high else group[own[group] == high]
-            for at in left:
-                other = right[(component[right] != component[at]) & (node[right] > node[at] if low == high else node[right] != node[at])]
-                if len(other):
-                    one = {"n": np.full(len(other), n[at]), "parts": np.broadcast_to(parts[at], (len(other), PARTITIONS))}
-                    other = other[_passes(one, {"n": n[other], "parts": parts[other]}, num, den)]
-                    found.append(np.stack([np.minimum(node[at], node[other]), np.maximum(node[at], node[other])], axis=1))
+        for some in np.split(at, np.flatnonzero(np.diff(np.cumsum(count) // PAIRS)) + 1):
+            k = count[some]
+            i = np.repeat(some, k)
+            j = np.repeat(begin[some] - np.cumsum(k) + k, k) + np.arange(int(k.sum()))
+            most = np.minimum(place[i], place[j]) + 1 + np.minimum(n[i] - place[i] - 1, n[j] - place[j] - 1)
+            ok = (most * (num + den) >= (n[i] + n[j]) * num) | (np.maximum(place[i], place[j]) >= _FAR)
+            ok &= (component[i] != component[j]) & (n[i] * den >= n[j] * num) & (n[j] * den >= n[i] * num)
+            i, j = i[ok], j[ok]
+            for part in range(0, len(i), PAIRS // 10):
+                a, b = i[part : part + PAIRS // 10], j[part : part + PAIRS // 10]
+                ok = _passes({"n": n[a], "parts": parts[a]}, {"n": n[b], "parts": parts[b]}, num, den)
+                a, b = node[a[ok]], node[b[ok]]
+                found.append(np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], axis=1), axis=0))
         out = np.unique(np.concatenate(found), axis=0)
         return pa.table({"a": out[:, 0], "b": out[:, 1]})
 
@@ -250,37 +305,35 @@ def similar_texts(docs: DataFrame, *, width: int = 5, num: int = 4, den: int = 5
     classes = land(known.groupBy("digest").agg(
         F.min("doc_id").alias("node"), F.any_value("n").alias("n"), F.any_value("prefix").alias("prefix"), F.any_value("parts").alias("parts")
     ))
-    postings = _postings(classes)
-    first = postings.groupBy("gram").agg(F.min("node").alias("pivot"), F.max("node").alias("other"), F.count("*").alias("size")).where("pivot <> other")
-    shared = land(postings.join(first.drop("other"), "gram").distinct().withColumn("component", F.col("node")))
-    ids = shared.select("node").distinct()
+    shared = _shared_grams(classes, shard_count(spark)).withColumn("component", F.col("node"))
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    links = spark.createDataFrame([], "a long, b long")
-    texts, tested = None, None
+    links, tested = spark.createDataFrame([], "a long, b long"), None
     for turn in range(rounds + 1):
+        # Grams whose classes are all in one component are done.
+        pivot = F.min_by(F.struct("node", "n", "place"), F.xxhash64(F.lit(turn), "node"))
+        grams = shared.groupBy("gram").agg(
+            F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("size"), pivot.alias("pivot")
+        ).where("low <> high").drop("low", "high")
+        shared = land(shared.drop("size", "pivot").join(grams, "gram"))
         if turn < rounds:
-            pairs = shared.where("node <> pivot").select(F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b")).distinct()
+            p = F.col("pivot")
+            pairs = shared.where((F.col("node") != p["node"]) & _may_reach(F.col("n"), F.col("place"), p["n"], p["place"], num, den))
+            pairs = pairs.select(F.least("node", p["node"]).alias("a"), F.greatest("node", p["node"]).alias("b")).distinct()
             pairs = _filtered(pairs, classes, num, den)
         else:
-            pairs = _filtered(_between(shared, classes, shard_count(spark), num, den), classes, num, den)
+            pairs = _between(shared, classes, shard_count(spark), num, den)
         if tested is not None:
             pairs = pairs.join(tested, ["a", "b"], "left_anti")
         pairs = cut_lineage(pairs)
         tested = pairs if tested is None else tested.unionByName(pairs)
-        if texts is None:
-            texts = land(source.where(Bloom.of(ids, "doc_id")).join(ids.withColumnRenamed("node", "doc_id"), "doc_id", "left_semi"))
-        found = _verified(pairs, texts, width, num, den)
+        ids = pairs.select(F.explode(F.array("a", "b")).alias("id"))
+        found = _verified(pairs, source.where(Bloom.of(ids, "doc_id")), width, num, den)
         links = cut_lineage(links.unionByName(found))
         components = connected_components(links)
-        if turn == rounds:
-            break
-        # Grams whose classes are all in one component are done, and so are pairs.
-        members = shared.select("gram", "node").join(components.withColumnRenamed("id", "node"), "node", "left").withColumn("component", F.coalesce("component", "node"))
-        pivot = F.min(F.struct(F.xxhash64(F.lit(turn), "node").alias("draw"), F.col("node").alias("node")))
-        open_grams = members.groupBy("gram").agg(
-            F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("size"), pivot.alias("drawn")
-        ).where("low <> high and size > 2").select("gram", "size", F.col("drawn.node").alias("pivot"))
-        shared = land(members.join(open_grams, "gram"))
+        if turn < rounds:
+            components = cut_lineage(components)
+            # The pivot has met all others of its gram.
+            shared = shared.where(F.col("node") != F.col("pivot.node")).drop("component").join(components.withColumnRenamed("id", "node"), "node", "left").withColumn("component", F.coalesce("component", "node"))
     components = cut_lineage(components)
     # From rows to classes to components.
     of_class = classes.select("digest", "node").join(components.withColumnRenamed("id", "node"), "node", "left").select("digest", F.coalesce("component", "node").alias("component"))
@@ -297,3 +350,20 @@ def drop_similar(docs: DataFrame, **options) -> DataFrame:
 
 def op3_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return similar_texts(table(spark, sf_dir, "documents"), width=3, num=9, den=10)
+
+
+OP3_SQL = r"""
+with recursive words as (
+  select doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[\x20\x09-\x0D]+'), lambda x: x <> '') as w from documents),
+sets as (select doc_id, case when len(w) = 0 then [] when len(w) < 3 then [array_to_string(w, ' ')]
+    else list_distinct(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) end as s from words),
+sizes as (select doc_id, len(s) as n from sets),
+grams as (select doc_id, n, unnest(s) as g from sets join sizes using (doc_id)),
+common as (select a.doc_id as a, b.doc_id as b, any_value(a.n) as na, any_value(b.n) as nb, count(*) as c
+  from grams a join grams b on a.g = b.g and a.doc_id < b.doc_id and 10 * a.n >= 9 * b.n and 10 * b.n >= 9 * a.n group by a.doc_id, b.doc_id),
+links as (select a, b from common where 100 * c >= 90 * (na + nb - c)),
+both_ways as (select a, b from links union all select b, a from links),
+reach as (select a, b from both_ways union select r.a, l.b from reach r join both_ways l on r.b = l.a)
+select doc_id, n as n_shingles, least(doc_id, coalesce(low, doc_id)) as component_id
+from sizes left join (select a as doc_id, min(b) as low from reach group by a) using (doc_id)"""

@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from .bpe import op1_byte_bpe
 from .chat import OP10_SQL, op10_chat
-from .embedding_dedup import op7_embedding_dedup
+from .embedding_dedup import OP7_SQL, op7_embedding_dedup
 from .exact_dedup import OP4_SQL, op4_exact_dedup
 from .line_dedup import OP8_SQL, op8_line_dedup
 from .mixing import op9_mixing
-from .ngram_join import op3_ngram_join
-from .substring_dedup import op5_suffix_array_dedup
+from .ngram_join import OP3_SQL, op3_ngram_join
+from .substring_dedup import OP5_SQL, op5_suffix_array_dedup
 from .token_counts import op6_token_counts
 from .toxicity import op2_toxicity
 
@@ -25,4 +25,11 @@ QUERIES = {
     "op9_mixing": op9_mixing,
     "op10_chat": op10_chat,
 }
-ORACLE = {"op4_exact_dedup": OP4_SQL, "op8_line_dedup": OP8_SQL, "op10_chat": OP10_SQL}
+ORACLE = {
+    "op3_ngram_join": OP3_SQL,
+    "op4_exact_dedup": OP4_SQL,
+    "op5_suffix_array_dedup": OP5_SQL,
+    "op7_embedding_dedup": OP7_SQL,
+    "op8_line_dedup": OP8_SQL,
+    "op10_chat": OP10_SQL,
+}
