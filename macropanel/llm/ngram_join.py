@@ -28,11 +28,11 @@ from macropanel.session import cut_lineage
 from .common import Bloom, land, mix, shard_count, sliced, table, texts_of
 from .components import connected_components
 
-PIECE = 4_000_000
+PIECE = 8_000_000
 BITS = 20  # of the table of counts
 PART = 1 << 16
 PARTITIONS = 128  # of the suffix filter
-REMEMBERED = 200_000
+REMEMBERED = 300_000
 PAIRS = 1_000_000  # pairs that a task looks at together
 BLOCK = 512  # classes of one n-gram that are compared with others at once
 _PRIME = np.uint64(0x9E3779B97F4A7C15)
@@ -291,7 +291,7 @@ def _between(shared: DataFrame, classes: DataFrame, shards: int, num: int, den:
     return dealt.groupBy("shard").applyInArrow(run, "a long, b long").distinct()
 
 
-def similar_texts(docs: DataFrame, *, width: int = 5, num: int = 4, den: int = 5, rounds: int = 2) -> DataFrame:
+def similar_texts(docs: DataFrame, *, width: int = 5, num: int = 4, den: int = 5, rounds: int = 5) -> DataFrame:
     """`doc_id, n_shingles, component_id` of every row of `docs`: texts whose n-grams reach a Jaccard of num / den link.
 
     Null texts and texts without words have no n-grams and link with nothing. Equal sets link. Rows that
@@ -315,6 +315,8 @@ def similar_texts(docs: DataFrame, *, width: int = 5, num: int = 4, den: int = 5
             F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("size"), pivot.alias("pivot")
         ).where("low <> high").drop("low", "high")
         shared = land(shared.drop("size", "pivot").join(grams, "gram"))
+        if turn and shared.isEmpty():
+            break
         if turn < rounds:
             p = F.col("pivot")
             pairs = shared.where((F.col("node") != p["node"]) & _may_reach(F.col("n"), F.col("place"), p["n"], p["place"], num, den))
