@@ -29,8 +29,8 @@ from .common import sliced, table, unused
 from .perfect_hash import PerfectHash
 
 BLOCK = 500_000  # chunks of a text that are in memory at once
-REMEMBERED = 400_000  # merged pre-tokens in each of the two generations that a worker remembers
-PIECE = 4_000_000  # bytes of text that are resolved together
+REMEMBERED = 150_000  # merged pre-tokens in each of the two generations that a worker remembers
+PIECE = 2_000_000  # bytes of text that are resolved together
 
 
 def read_ranks(path: str) -> dict[bytes, int]:

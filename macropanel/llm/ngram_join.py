@@ -28,11 +28,11 @@ from macropanel.session import cut_lineage
 from .common import Bloom, land, mix, shard_count, sliced, table, texts_of
 from .components import connected_components
 
-PIECE = 8_000_000
+PIECE = 4_000_000
 BITS = 20  # of the table of counts
 PART = 1 << 16
 PARTITIONS = 128  # of the suffix filter
-REMEMBERED = 300_000
+REMEMBERED = 200_000
 PAIRS = 1_000_000  # pairs that a task looks at together
 BLOCK = 512  # classes of one n-gram that are compared with others at once
 _PRIME = np.uint64(0x9E3779B97F4A7C15)

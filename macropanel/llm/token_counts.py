@@ -27,9 +27,9 @@ from .common import sliced, table
 
 SPACE_MARK = "▁"
 UNKNOWN_PENALTY = 10.0  # fixed value of the unigram model
-PIECE = 8_000_000
-REMEMBERED = 400_000  # words in each of the two generations that a worker remembers
-BLOCK = 500_000  # words of a text that are in memory at once
+PIECE = 4_000_000
+REMEMBERED = 150_000  # words in each of the two generations that a worker remembers
+BLOCK = 200_000  # words of a text that are in memory at once
 
 
 class Unigram:

@@ -23,9 +23,9 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from .common import sliced, table, unused
 
-PIECE = 8_000_000
+PIECE = 4_000_000
 STARTS = range(4, 9)  # lengths of the beginnings that are features
-REMEMBERED = 400_000  # tokens whose features a worker remembers
+REMEMBERED = 150_000  # tokens whose features a worker remembers
 _LETTERS = re.compile(r"[^\W\d_]+")
 _SENTENCE = re.compile(r"[^\n]*?(?:[.!?]+(?=\s|$)|(?=\n)|$)", re.M)
 
