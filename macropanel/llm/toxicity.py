@@ -224,6 +224,7 @@ def score(docs: DataFrame, model: Model, *, to: str = "score") -> DataFrame:
         for batch in sliced(batches, PIECE, whole):
             found = [own.score(t) for t in batch.column(whole).to_pylist()]
             yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in names), pa.array(found, pa.float64())], names=[*names, to])
+        own.tokens.clear()  # the worker may go on with other work
 
     return docs.withColumn(whole, F.coalesce("text", F.lit(""))).mapInArrow(run, schema)
 
