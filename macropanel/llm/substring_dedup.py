@@ -149,7 +149,8 @@ def _ask(docs: DataFrame, shards: int, least: int) -> DataFrame:
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for doc, sum_, key, text in _gathered(batches, least):
             own = sum_[text]
-            order = np.lexsort((own, key))
+            # Ids inside equal sums, so that of equal texts of a task the smallest id asks.
+            order = np.lexsort((doc[text], own, key))
             k, s = key[order], own[order]
             at = _starts(k)
             size = np.diff(at, append=len(k))
@@ -203,7 +204,8 @@ def _unpacked(rows: pa.Table, width: int, name: str) -> pa.Table:
 def _shared_keys(docs: DataFrame, shards: int, least: int) -> DataFrame:
     """Step 1, shards: `(doc_id, sum, keys)`: the keys of each text that unlike texts have.
 
-    Of equal texts, the one with the smallest id among those that asked answers for all.
+    Of equal texts, the one with the smallest id answers for all: in each task the smallest id that has a text
+    asks for its keys, so the smallest of all is among those that asked.
     """
 
     def run(rows: pa.Table) -> pa.Table:

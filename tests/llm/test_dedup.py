@@ -167,6 +167,17 @@ def test_levels_grow_geometrically():
         assert all(a >= 2 * b for a, b in zip(sizes, sizes[1:]))
 
 
+@pytest.mark.parametrize("other", [1, 5, 9])
+def test_passages_of_copies_read_by_falling_ids(spark, other):
+    """Of copies in one task the smallest id is compared with the unlike text of another task, whichever is read first."""
+    passage = "".join(random.Random(4).choices("abcdefghijklmnop", k=120))
+    copies = [(i, "first " + passage + " last") for i in (8, 7, 3)]
+    unlike = [(other, "another start of " + passage + " and end")]
+    docs = spark.sparkContext.parallelize([copies, unlike], 2).flatMap(list).toDF("doc_id long, text string")
+    got = substring_dedup.drop_repeated_passages(docs).collect()
+    assert plain(got) == passages_by_hand([(i, t.encode()) for i, t in copies + unlike])
+
+
 def test_passages_of_odd_rows(odd_docs, no_docs):
     got = substring_dedup.drop_repeated_passages(odd_docs).collect()
     assert len(got) == odd_docs.count()
