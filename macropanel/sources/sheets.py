@@ -2,21 +2,22 @@
 
 from __future__ import annotations
 
+import codecs
 import csv
 import io
+import itertools
 import posixpath
 import re
 import zipfile
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from datetime import datetime, timedelta
 from xml.etree import ElementTree
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
-from pyspark.sql.types import StringType
 
 from ..config import NA_TOKENS
-from ..functions.values import na_to_null
 
 # CSV files above this size are split over tasks.
 BULK_BYTES = 128 * 1024 * 1024
@@ -32,7 +33,8 @@ def scan_sheets(
     """All CSV files and workbooks under `path` as `(path, row, cells, error)`.
 
     One task decodes one file, so a file must fit into a task; `smaller_than` leaves larger CSV files
-    to `scan_bulk_csv`. A file that cannot be read gives one row with `error` set.
+    to `scan_bulk_csv`. A file that cannot be read gives one row with `error` set, and so does each CSV line
+    with more cells than the header.
     """
     files = (
         spark.read.format("binaryFile")
@@ -76,47 +78,142 @@ def scan_files(spark: SparkSession, path: str | list[str], *, recursive: bool =
     return rows
 
 
-def _encoding(lines: DataFrame) -> str:
-    """UTF-8 if every line is, else GBK; the text reader hands on the bytes as they are."""
-    valid = F.coalesce(F.bool_and(F.is_valid_utf8("value")), F.lit(True))
-    return "UTF-8" if lines.agg(valid.alias("ok")).first()["ok"] else "GBK"
+# A record that a split cuts goes over the driver; a file with a longer one is put aside.
+MOST_CUT = 16 * 1024 * 1024
+# A file with longer lines between line feeds is split at bare carriage returns.
+MOST_LINE = 64 * 1024 * 1024
+# A line after which a quoted cell goes on: a quote counts at the start of a cell only, a doubled one inside is a letter.
+_GOES_ON = re.compile(rb'(?:(?:"[^"]*+(?:""[^"]*+)*+"[^,\r\n]*+|[^",\r\n][^,\r\n]*+)?+[,\r\n])*+"[^"]*+(?:""[^"]*+)*+\Z')
 
 
-def scan_bulk_csv(spark: SparkSession, path: str) -> DataFrame:
-    """A large CSV file with a header as rows like those of `scan_sheets`, split over tasks.
+def _goes_on(line: bytes, inside: bool) -> bool:
+    if b'"' not in line:
+        return inside
+    return _GOES_ON.match(b'"' + line if inside else line) is not None
 
-    Row 0 is the header; data rows carry growing numbers without meaning. A line with more
-    cells than the header is an error row of its own. Quoted line breaks are not supported.
-    """
-    lines = spark.read.text(path)
-    encoding = _encoding(lines)
-    first = lines.select(F.col("value").cast("binary").alias("value")).first()
-    if first is None:
-        return spark.createDataFrame([(path, -1, None, "ValueError: empty file")], ROWS_SCHEMA)
-    header = next(csv.reader([decode_text(bytes(first["value"]))]))
-    names = distinct_names(header)
-    # One cell more than the header: what fills it is a cell too many.
-    schema = ", ".join(f"c{i} string" for i in range(len(names) + 1))
-    number = F.monotonically_increasing_id()
-    # The header is the first line of the split that begins the file.
-    is_header = (F.input_file_block_start() == 0) & (number % (1 << 33) == 0)
-    body = lines.select(F.col("value").cast("binary").alias("raw"), number.alias("number"), is_header.alias("head"))
-    body = body.filter(~F.col("head") & (F.length("raw") > 0))
-    text = F.decode("raw", "UTF-8") if encoding == "UTF-8" else _decoded("raw")
-    body = body.select("number", F.from_csv(text, schema, {"nullValue": "", "mode": "PERMISSIVE"}).alias("c"))
-    extra = F.col(f"c.c{len(names)}").isNotNull()
-    cells = F.array(*[na_to_null(F.col(f"c.c{i}")) for i in range(len(names))])
-    head = spark.createDataFrame([(path, 0, names, None)], ROWS_SCHEMA)
-    return head.unionByName(body.select(
-        F.lit(path).alias("path"), F.when(extra, F.lit(-1)).otherwise(F.col("number") + 1).cast("long").alias("row"),
-        F.when(~extra, cells).alias("cells"), F.when(extra, F.lit(f"ValueError: a line has more cells than the header's {len(names)}")).alias("error"),
-    ))
+
+def _by_block(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple[int, Iterator[bytes]]]:
+    pairs = (pair for batch in batches for pair in zip(batch.column("block").to_pylist(), batch.column("raw").to_pylist()))
+    for block, group in itertools.groupby(pairs, lambda pair: pair[0]):
+        yield block, (raw for _, raw in group)
+
+
+def _records(block: int, lines: Iterable[bytes], inside: bool, cut: list[tuple[bool, bytes]], mark: bytes) -> Iterator[bytes]:
+    """The whole records of a split; into `cut` what belongs to records that other splits begin or end."""
+    held, begun = [], not inside
+    for number, line in enumerate(lines):
+        if block == number == 0:
+            line = line.removeprefix(codecs.BOM_UTF8)
+        held.append(line)
+        inside = _goes_on(line, inside)
+        if not inside:
+            record = mark.join(held) + mark
+            if begun:
+                yield record
+            else:
+                cut.append((False, record[: MOST_CUT + 1]))
+            held, begun = [], True
+    if held:
+        cut.append((begun, (mark.join(held) + mark)[: MOST_CUT + 1]))
+
+
+def _grid(records: Iterable[bytes], encoding: str) -> Iterator[list[str]]:
+    lines = (line for record in records for line in io.StringIO(record.decode(encoding), newline=""))
+    return (line for line in csv.reader(lines) if line)
 
 
-@F.pandas_udf(StringType())
-def _decoded(raw: pd.Series) -> pd.Series:
-    """Lines that are not UTF-8; Spark's own decoder no longer knows other Asian charsets."""
-    return raw.map(lambda b: decode_text(bytes(b)))
+def scan_bulk_csv(spark: SparkSession, path: str) -> DataFrame:
+    """A large CSV file with a header as the rows of `scan_sheets`, split over tasks.
+
+    A split may begin inside a quoted cell. So each split first tells where it ends if it begins inside and if
+    not; then the splits count their rows, and give the records they cut, one each at most, to the driver.
+    Splits are cut at line feeds, or at carriage returns if line feeds are too rare.
+    """
+    text = spark.read.option("mapreduce.input.linerecordreader.line.maxlength", MOST_LINE)
+    cut_at = lambda mark: text.option("lineSep", mark.decode()).text(path).select(F.col("value").cast("binary").alias("raw"), F.input_file_block_start().alias("block"))
+    aside = lambda reason: spark.createDataFrame([(path, -1, None, reason)], ROWS_SCHEMA)
+
+    def ends(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for block, group in _by_block(batches):
+            outside, inside, utf8, size = False, True, True, 0
+            for line in group:
+                outside, inside, size = _goes_on(line, outside), _goes_on(line, inside), size + len(line) + 1
+                if utf8 and not line.isascii():
+                    try:
+                        line.decode("utf-8")
+                    except UnicodeDecodeError:
+                        utf8 = False
+            yield pa.RecordBatch.from_pydict({"block": [block], "outside": [outside], "inside": [inside], "utf8": [utf8], "size": [size]})
+
+    length = spark.read.format("binaryFile").load(path).select("length").first()["length"]
+    for mark in (b"\n", b"\r"):
+        lines = cut_at(mark)
+        blocks = sorted(map(tuple, lines.mapInArrow(ends, "block long, outside boolean, inside boolean, utf8 boolean, size long").collect()))
+        size = sum(b[4] for b in blocks)
+        if length - len(codecs.BOM_UTF8) <= size <= length + 1:  # the reader left no line out
+            break
+    else:
+        return aside(f"ValueError: a line of more than {MOST_LINE} bytes")
+    encoding = "utf-8" if all(b[3] for b in blocks) else "gbk"
+    begins, inside = {}, False
+    for block, after_outside, after_inside, *_ in blocks:
+        begins[block] = inside
+        inside = after_inside if inside else after_outside
+
+    def counts(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for block, group in _by_block(batches):
+            cut, first, n, error = [], None, 0, None
+            try:
+                for line in _grid(_records(block, group, begins[block], cut, mark), encoding):
+                    first, n = first or line, n + 1
+            except (csv.Error, UnicodeDecodeError) as exc:
+                error = f"{type(exc).__name__}: {exc}"
+            rows = [pa.array([x], t) for x, t in ((block, pa.int64()), (n, pa.int64()), (first, pa.list_(pa.string())), (error, pa.string()), ([c[0] for c in cut], pa.list_(pa.bool_())), ([c[1] for c in cut], pa.list_(pa.binary())))]
+            yield pa.RecordBatch.from_arrays(rows, names=["block", "n", "first", "error", "begun", "cut"])
+
+    counted = sorted(lines.mapInArrow(counts, "block long, n long, first array<string>, error string, begun array<boolean>, cut array<binary>").collect(), key=lambda r: r["block"])
+    if inside:  # the last cell is not closed: its text ends as the file does
+        unended = size not in (length, length - len(codecs.BOM_UTF8))
+    base, joined, header, total = {}, [], None, 0
+    for at, r in enumerate(counted):
+        if r["error"]:
+            return aside(r["error"])
+        base[r["block"]] = total
+        header = header or r["first"]
+        total += r["n"]
+        if not any(r["begun"]):
+            continue
+        parts = [bytes(r["cut"][-1])]
+        for later in counted[at + 1 :]:
+            parts += [bytes(c) for c, begun in zip(later["cut"], later["begun"]) if not begun]
+            if later["n"] or any(later["begun"]) or not later["cut"]:
+                break
+        record = b"".join(parts)
+        if len(record) > MOST_CUT:
+            return aside(f"ValueError: a record of more than {MOST_CUT} bytes, or a quote that is not closed")
+        if inside and at + len(parts) == len(counted) and unended:
+            record = record[:-1]
+        try:
+            found = list(_grid([record], encoding))
+        except (csv.Error, UnicodeDecodeError) as exc:
+            return aside(f"{type(exc).__name__}: {exc}")
+        joined += [(total + i, line) for i, line in enumerate(found)]
+        header = header or (found[0] if found else None)
+        total += len(found)
+    if not header:
+        return aside("ValueError: empty file")
+    width = len(header)
+
+    def rows(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for block, group in _by_block(batches):
+            numbered = enumerate(_grid(_records(block, group, begins[block], [], mark), encoding), base[block])
+            while some := list(itertools.islice(numbered, 10_000)):
+                made = [_row(path, number, line, width) for number, line in some if number]
+                if made:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*made), (pa.string(), pa.int64(), pa.list_(pa.string()), pa.string()))], names=["path", "row", "cells", "error"])
+
+    head = [(path, 0, distinct_names(header), None)] + [_row(path, number, line, width) for number, line in joined if number]
+    return spark.createDataFrame(head, ROWS_SCHEMA).unionByName(lines.mapInArrow(rows, ROWS_SCHEMA))
 
 
 def scan_parquet(spark: SparkSession, path: str) -> DataFrame:
@@ -138,8 +235,8 @@ def _decode_files(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def _decode_file(path: str, content: bytes) -> pd.DataFrame:
     try:
         if path.lower().endswith(".csv"):
-            grid = decode_csv(content)
-        elif path.lower().endswith(".xlsx"):
+            return _decode_csv_file(path, content)
+        if path.lower().endswith(".xlsx"):
             grid = decode_xlsx(content)
         else:
             raise ValueError("unsupported file format")
@@ -150,6 +247,22 @@ def _decode_file(path: str, content: bytes) -> pd.DataFrame:
     return pd.DataFrame({"path": path, "row": range(len(grid)), "cells": grid, "error": None})
 
 
+def _decode_csv_file(path: str, content: bytes) -> pd.DataFrame:
+    lines = _csv_lines(content)
+    if not lines:
+        raise ValueError("empty file")
+    rows = [(path, 0, distinct_names(lines[0]), None)] + [_row(path, n, line, len(lines[0])) for n, line in enumerate(lines[1:], 1)]
+    return pd.DataFrame(rows, columns=["path", "row", "cells", "error"])
+
+
+def _row(path: str, number: int, line: list[str], width: int) -> tuple:
+    """A row of `scan_sheets`; a line with more cells than the header is an error row of its own."""
+    try:
+        return path, number, _cells(number, line, width), None
+    except ValueError as exc:
+        return path, -1, None, f"ValueError: {exc}"
+
+
 def decode_text(content: bytes) -> str:
     """UTF-8, else GBK."""
     try:
@@ -176,23 +289,26 @@ def distinct_names(names: list[str | None]) -> list[str | None]:
     return out
 
 
+def _csv_lines(content: bytes) -> list[list[str]]:
+    return [line for line in csv.reader(io.StringIO(decode_text(content), newline="")) if line]
+
+
+def _cells(number: int, line: list[str], width: int) -> list[str | None]:
+    if len(line) > width:
+        raise ValueError(f"line {number + 1} has {len(line)} cells, the header {width}: more cells than the header")
+    return [None if c in _MISSING else c for c in line] + [None] * (width - len(line))
+
+
 def decode_csv(content: bytes) -> list[list[str | None]]:
     """Header and data rows, all of the header's width; blank lines are skipped.
 
     A line with more cells than the header is an error: which of them belong to which name is not known.
     Lines are counted without the blank ones.
     """
-    lines = [line for line in csv.reader(io.StringIO(decode_text(content))) if line]
+    lines = _csv_lines(content)
     if not lines:
         return []
-    width = len(lines[0])
-    grid: list[list[str | None]] = [distinct_names(lines[0])]
-    for number, line in enumerate(lines[1:], 2):
-        if len(line) > width:
-            raise ValueError(f"line {number} has {len(line)} cells, the header {width}")
-        cells = [None if c in _MISSING else c for c in line]
-        grid.append(cells + [None] * (width - len(cells)))
-    return grid
+    return [distinct_names(lines[0])] + [_cells(number, line, len(lines[0])) for number, line in enumerate(lines[1:], 1)]
 
 
 def _local(tag: str) -> str:

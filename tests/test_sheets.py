@@ -216,6 +216,37 @@ def test_bulk_csv(spark, tmp_path):
     assert [r["row"] for r in rows if r["error"]] == [-1]
 
 
+@pytest.mark.parametrize("split", ["7", "40"])
+def test_odd_csv_is_the_same_at_every_size(spark, tmp_path, split):
+    """Whether a file is decoded by one task or split, also inside quoted cells."""
+    odd = {
+        "breaks": 'd,"a\nb",c\r\n1,"x\n\ny ""z"", \n",2\r\n\r\n2,q"r,"s"t\r\n3,"",\n' + '4,"' + "line\n" * 30 + '",5\n6,7,8',
+        "ragged": 'd,v\n1,2,\n1,2,,x\n3,4\n5\n6,"7\n8",9\n',
+        "open": 'd,v\n1,2\n3,"4\n5,6\n', "unended": 'd,v\n1,"2\n3', "bom": '\ufeff"d\n",v\n1,2\n', "blank": "\n\n\r\n",
+        "returns": "d,v\r1,2\r3,4\r", "long": 'd,v\n1,"' + "x\n" * 70_000 + '"\n2,3\n', "gbk": '日期,"值\n一"\n1,二\n',
+    }
+    spark.conf.set("spark.sql.files.openCostInBytes", "1")
+    try:
+        for name, text in odd.items():
+            path = tmp_path / f"{name}.csv"
+            path.write_bytes(text.encode("gbk" if name == "gbk" else "utf-8"))
+            spark.conf.set("spark.sql.files.maxPartitionBytes", "20000" if name == "long" else split)
+            small, large = (sorted(((r["row"], r["cells"], r["error"]) for r in sheets.scan_files(spark, str(path), bulk_bytes=b).collect()), key=str) for b in (1 << 20, 0))
+            assert small == large, name
+            assert name in ("blank", "long") or any(r[1] for r in small), name
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+
+
+def test_bulk_csv_of_carriage_returns_is_split_there(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(sheets, "MOST_LINE", 30)
+    content = 'd,v\r' + '1,"a\rb"\r' * 20 + "2,3"
+    (tmp_path / "x.csv").write_bytes(content.encode())
+    small, large = (sorted(((r["row"], r["cells"], r["error"]) for r in sheets.scan_files(spark, str(tmp_path), bulk_bytes=b).collect()), key=str) for b in (1000, 0))
+    assert small == large and len(small) == 22
+
+
 def test_a_cell_too_many_puts_the_file_aside():
     with pytest.raises(ValueError, match="line 3 has 3 cells, the header 2"):
         sheets.decode_csv(b"date,a\n2024-01-01,1\n2024-01-02,1,77\n")
