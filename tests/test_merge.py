@@ -3,7 +3,7 @@ from dataclasses import replace
 import numpy as np
 import pandas as pd
 import pytest
-from conftest import day, series
+from helpers import day, series
 from macropanel.config import PanelConfig
 from macropanel.operators.longform import to_long, to_wide, union_long
 from macropanel.operators.merge import merge_panel

@@ -1,7 +1,7 @@
 import numpy as np
 import pandas as pd
 import pytest
-from conftest import day, series, values
+from helpers import day, series, values
 from macropanel.operators import resample
 from macropanel.operators.longform import to_long
 from pyspark.sql import functions as F

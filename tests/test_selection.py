@@ -3,7 +3,7 @@ import math
 
 import numpy as np
 import pytest
-from conftest import day
+from helpers import day
 from macropanel.functions.association import association, concordance, kendall, two_sample_ks
 from macropanel.operators import columns, reduce, select
 from pyspark.sql import functions as F

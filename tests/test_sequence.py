@@ -1,5 +1,5 @@
 import pytest
-from conftest import day, series, values
+from helpers import day, series, values
 from macropanel.operators import resample, sequence
 from pyspark.sql import functions as F
 
