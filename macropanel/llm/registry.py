@@ -9,6 +9,7 @@ from .exact_dedup import OP4_SQL, op4_exact_dedup
 from .line_dedup import OP8_SQL, op8_line_dedup
 from .mixing import op9_mixing
 from .ngram_join import OP3_SQL, op3_ngram_join
+from .prefix_trie import OP11_SQL, op11_prefix_trie
 from .substring_dedup import OP5_SQL, op5_suffix_array_dedup
 from .token_counts import op6_token_counts
 from .toxicity import op2_toxicity
@@ -24,6 +25,7 @@ QUERIES = {
     "op8_line_dedup": op8_line_dedup,
     "op9_mixing": op9_mixing,
     "op10_chat": op10_chat,
+    "op11_prefix_trie": op11_prefix_trie,
 }
 ORACLE = {
     "op3_ngram_join": OP3_SQL,
@@ -32,4 +34,5 @@ ORACLE = {
     "op7_embedding_dedup": OP7_SQL,
     "op8_line_dedup": OP8_SQL,
     "op10_chat": OP10_SQL,
+    "op11_prefix_trie": OP11_SQL,
 }
