@@ -13,6 +13,7 @@ from .prefix_trie import OP11_SQL, op11_prefix_trie
 from .substring_dedup import OP5_SQL, op5_suffix_array_dedup
 from .token_counts import op6_token_counts
 from .toxicity import op2_toxicity
+from .whitening import op12_embedding_whitening
 
 QUERIES = {
     "op1_byte_bpe": op1_byte_bpe,
@@ -26,6 +27,7 @@ QUERIES = {
     "op9_mixing": op9_mixing,
     "op10_chat": op10_chat,
     "op11_prefix_trie": op11_prefix_trie,
+    "op12_embedding_whitening": op12_embedding_whitening,
 }
 ORACLE = {
     "op3_ngram_join": OP3_SQL,
