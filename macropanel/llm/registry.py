@@ -13,6 +13,7 @@ from .prefix_trie import OP11_SQL, op11_prefix_trie
 from .substring_dedup import OP5_SQL, op5_suffix_array_dedup
 from .token_counts import op6_token_counts
 from .toxicity import op2_toxicity
+from .url_filter import OP13_SQL, op13_url_filter
 from .whitening import op12_embedding_whitening
 
 QUERIES = {
@@ -28,6 +29,7 @@ QUERIES = {
     "op10_chat": op10_chat,
     "op11_prefix_trie": op11_prefix_trie,
     "op12_embedding_whitening": op12_embedding_whitening,
+    "op13_url_filter": op13_url_filter,
 }
 ORACLE = {
     "op3_ngram_join": OP3_SQL,
@@ -37,4 +39,5 @@ ORACLE = {
     "op8_line_dedup": OP8_SQL,
     "op10_chat": OP10_SQL,
     "op11_prefix_trie": OP11_SQL,
+    "op13_url_filter": OP13_SQL,
 }
