@@ -27,6 +27,7 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -251,7 +252,8 @@ def _send(texts: DataFrame, shards: int, least: int) -> DataFrame:
             pick = np.concatenate(wanted)
             if not len(pick):
                 continue
-            doc, sum_ = batch.column("doc_id").to_numpy(), batch.column("sum").to_numpy()
+            # Rows without an id have no keys: what stands for their id is never used.
+            doc, sum_ = pc.fill_null(batch.column("doc_id"), 0).to_numpy(), batch.column("sum").to_numpy()
             text = runs.text[pick]
             pick = pick[np.argsort(doc[text], kind="stable")]
             text = runs.text[pick]
