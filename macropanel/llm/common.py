@@ -99,22 +99,24 @@ def land(df: DataFrame) -> DataFrame:
 
 
 class Bloom:
-    """Which longs a set may hold. Of fixed size: with more members it passes more, but never loses one."""
-
-    BITS = 23
+    """Which longs a set may hold. It passes others too, but never loses one."""
 
     @classmethod
-    def of(cls, ids: DataFrame, column: str) -> Column:
-        """A condition on `column` that is true for all values of the one column of `ids`."""
-        shift = np.uint64(64 - cls.BITS)
+    def of(cls, ids: DataFrame, column: str, most_bits: int = 26) -> Column:
+        """A condition on `column` that is true for all values of the one column of `ids`.
+
+        Sized by their number, up to 2**`most_bits` bits (8 MB).
+        """
+        bits_ = min(most_bits, max(16, (16 * ids.count()).bit_length()))
+        shift = np.uint64(64 - bits_)
 
         def marks(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            bits = np.zeros(1 << cls.BITS, bool)
+            bits = np.zeros(1 << bits_, bool)
             for batch in batches:
                 x = batch.column(0).to_numpy().astype(np.uint64)
                 for salt in (1, 2):
                     bits[mix(x + np.uint64(salt)) >> shift] = True
-            # One row a 64 KB part, so that parts are united by groups.
+            # One row a part, so that parts are united by groups.
             for at, part in enumerate(np.split(np.packbits(bits), 16)):
                 if part.any():
                     yield pa.RecordBatch.from_arrays([pa.array([at], pa.int32()), pa.array([part.tobytes()], pa.binary())], names=["at", "bits"])
@@ -124,10 +126,10 @@ class Bloom:
             return pa.table({"at": rows["at"].slice(0, 1), "bits": pa.array([both.tobytes()], pa.binary())})
 
         parts = ids.mapInArrow(marks, "at int, bits binary").groupBy("at").applyInArrow(united, "at int, bits binary").collect()
-        whole = np.zeros((16, (1 << cls.BITS) // 128), np.uint8)
+        whole = np.zeros((16, (1 << bits_) // 128), np.uint8)
         for r in parts:
             whole[r["at"]] = np.frombuffer(r["bits"], np.uint8)
-        packed = ids.sparkSession.sparkContext.broadcast(whole.tobytes())  # 1 MB
+        packed = ids.sparkSession.sparkContext.broadcast(whole.tobytes())
 
         @F.pandas_udf("boolean")
         def maybe(x: pd.Series) -> pd.Series:

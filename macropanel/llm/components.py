@@ -68,12 +68,16 @@ def _local(links: DataFrame) -> DataFrame:
     return links.mapInArrow(run, "a long, b long")
 
 
-def connected_components(links: DataFrame) -> DataFrame:
-    """`(id, component)` of every id in `links` (columns `a`, `b`); `component` is the smallest id that it reaches."""
+def connected_components(links: DataFrame, *, rounds: int | None = None) -> DataFrame:
+    """`(id, component)` of every id in `links` (columns `a`, `b`); `component` is the smallest id that it reaches.
+
+    With `rounds` it stops after so many: equal components are then connected, unlike ones may be too.
+    """
     pairs = links.select(F.col("a").cast("long").alias("a"), F.col("b").cast("long").alias("b")).where("a <> b")
     pairs = _local(pairs)  # (a, b) with b < a
-    pairs = cut_lineage(pairs.distinct())
-    while True:
+    pairs = new = cut_lineage(pairs.distinct())
+    while rounds is None or rounds > 0:
+        rounds = None if rounds is None else rounds - 1
         # Each node's larger neighbours, and itself, go to its smallest neighbour.
         both = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("low"))
@@ -83,8 +87,13 @@ def connected_components(links: DataFrame) -> DataFrame:
         small = large.join(small_low, "a").where("b <> low").select(F.col("b").alias("a"), F.col("low").alias("b"))
         tree = large.groupBy("a").agg(F.min("b").alias("b"))
         new = cut_lineage(_local(tree.unionByName(small)).distinct())
-        if not new.groupBy("a").count().where("count > 1").take(1) and not new.join(new.select(F.col("a").alias("b")).distinct(), "b", "left_semi").take(1):
+        if rounds is None and not new.groupBy("a").count().where("count > 1").take(1) and not new.join(new.select(F.col("a").alias("b")).distinct(), "b", "left_semi").take(1):
             break
         pairs = new
+    if rounds is not None:
+        new = new.groupBy("a").agg(F.min("b").alias("b"))
+        tops = new.select("b").distinct().join(new.select(F.col("a").alias("b")), "b", "left_anti")
+    else:
+        tops = new.select("b").distinct()
     ids = new.select(F.col("a").alias("id"), F.col("b").alias("component"))
-    return ids.unionByName(new.select(F.col("b").alias("id"), F.col("b").alias("component")).distinct())
+    return ids.unionByName(tops.select(F.col("b").alias("id"), F.col("b").alias("component")))

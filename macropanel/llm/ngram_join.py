@@ -5,12 +5,15 @@ n-grams of a class are put in one order for all: rare first, by counts in a tabl
 hash buckets over all texts), then by hash. Two sets that reach the similarity share one of their first
 n - ceil(t n) + 1 n-grams, so classes are joined on these; a pair then has to pass the length filter, the
 positional filter (what can stand before and behind the shared prefix n-gram), the suffix filter (what the
-counts of 128 partitions of both sets allow), and is verified once on the texts.
+counts of 128 partitions of both sets allow), and is verified once on the texts. A pair moves the text of one side; the
+other side's text comes once for `PARTNERS` pairs.
 
 A prefix n-gram that many classes share would give the square of their number. So the classes of an n-gram
-are first only compared with pivots, one pair each. What is linked is one component, within which no pair
-is looked at again; what is left after `rounds` pivots is compared in full between components, in blocks
-inside tasks, which give back what passes the filters.
+are first only compared with pivots, in rounds, one pair each. What is linked is one component, within which no pair
+is looked at again (the first pivot of a round is the class with most shared prefix n-grams, others are drawn by hash);
+what is left after the rounds is compared in full between components, in blocks
+inside tasks, which give back what passes the filters. The rounds only need to know some of what is connected
+(one step of the components' rounds); the components themselves are found once, at the end.
 """
 
 from __future__ import annotations
@@ -33,7 +36,9 @@ BITS = 20  # of the table of counts
 PART = 1 << 16
 PARTITIONS = 128  # of the suffix filter
 REMEMBERED = 200_000
-PAIRS = 1_000_000  # pairs that a task looks at together
+PAIRS = 200_000  # pairs that a task looks at together
+PARTNERS = 512  # pairs of one class that are verified in one place
+PIVOTS = (1, 2, 2)  # of an n-gram, in each round
 BLOCK = 512  # classes of one n-gram that are compared with others at once
 _PRIME = np.uint64(0x9E3779B97F4A7C15)
 
@@ -128,7 +133,7 @@ _TOLD = 1 << 15  # marks a row that only tells its shard that the gram is shared
 
 
 def _shared_grams(classes: DataFrame, shards: int) -> DataFrame:
-    """`(gram, node, n, place)`: the prefix n-grams that two classes or more have, and their place in each prefix.
+    """`(gram, cid, n, place)`: the prefix n-grams that two classes or more have, and their place in each prefix.
 
     A gram goes to its shard once for each task, however many of the task's classes have it; if two have
     it, that row only tells, and the classes' rows pass through shards dealt by task. So no shard grows
@@ -146,7 +151,7 @@ def _shared_grams(classes: DataFrame, shards: int) -> DataFrame:
             first = np.flatnonzero(np.append(True, np.diff(gram[order]) != 0)) if len(order) else order
             count = np.diff(first, append=len(order))
             nth = np.arange(len(order)) - np.repeat(first, count)
-            node = np.stack([batch.column("node").to_numpy(), batch.column("n").to_numpy()], axis=1)
+            node = np.stack([batch.column("cid").to_numpy(), batch.column("n").to_numpy()], axis=1)
             several = np.repeat(count > 1, count)
             known, some = order[several], order[nth == 0]
             told = np.zeros(len(gram), np.int64)
@@ -180,10 +185,10 @@ def _shared_grams(classes: DataFrame, shards: int) -> DataFrame:
         stay = known.copy()
         stay[order[np.repeat(shared, count)]] = True
         stay &= ~told
-        return pa.table({"gram": gram[stay].view(np.int64), "node": node[number[stay], 0], "n": node[number[stay], 1], "place": place[stay]})
+        return pa.table({"gram": gram[stay].view(np.int64), "cid": node[number[stay], 0], "n": node[number[stay], 1], "place": place[stay]})
 
-    packed = classes.select("node", "n", "prefix").mapInArrow(send, "shard int, local boolean, nodes binary, grams binary, places binary")
-    return packed.groupBy("shard").applyInArrow(keep, "gram long, node long, n long, place long")
+    packed = classes.select("cid", "n", "prefix").mapInArrow(send, "shard int, local boolean, nodes binary, grams binary, places binary")
+    return packed.groupBy("shard").applyInArrow(keep, "gram long, cid long, n long, place long")
 
 
 def _may_reach(n1: Column, p1: Column, n2: Column, p2: Column, num: int, den: int) -> Column:
@@ -208,59 +213,75 @@ def _passes(a: dict, b: dict, num: int, den: int) -> np.ndarray:
     return ok
 
 
+_PAIR = "a long, b long, na long, nb long"
+
+
 def _filtered(pairs: DataFrame, classes: DataFrame, num: int, den: int) -> DataFrame:
-    """The pairs `(a, b)` that pass the suffix filter."""
+    """The pairs `(a, b)` that pass the suffix filter, and their ids `na` and `nb`."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            side = [{"n": batch.column(f"n{s}").to_numpy(), "parts": _parts_matrix(batch.column(f"parts{s}"))} for s in "ab"]
+            side = [{"n": batch.column(f"n{s}").to_numpy(), "parts": _parts_matrix(batch.column(f"parts{s}"))} for s in ("_a", "_b")]
             at = pa.array(np.flatnonzero(_passes(*side, num, den)))
             if len(at):
-                yield pa.RecordBatch.from_arrays([batch.column("a").take(at), batch.column("b").take(at)], names=["a", "b"])
+                yield pa.RecordBatch.from_arrays([batch.column(c).take(at) for c in ("a", "b", "na", "nb")], names=["a", "b", "na", "nb"])
 
     def side(s: str) -> DataFrame:
-        return classes.select(F.col("node").alias(s), F.col("n").alias(f"n{s}"), F.col("parts").alias(f"parts{s}"))
+        return classes.select(F.col("cid").alias(s), F.col("node").alias(f"n{s}"), F.col("n").alias(f"n_{s}"), F.col("parts").alias(f"parts_{s}"))
 
-    return pairs.join(side("a"), "a").join(side("b"), "b").mapInArrow(run, "a long, b long").distinct()
+    return pairs.join(side("a"), "a").join(side("b"), "b").mapInArrow(run, _PAIR)
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, width: int, num: int, den: int) -> DataFrame:
-    """The pairs whose texts reach the similarity."""
+    """The pairs whose texts reach the similarity. An id may have several texts: one of them has to."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, last = Words(), {}
-        for batch in sliced(sliced(batches, PIECE, "ta"), PIECE, "tb"):
+        words, group, own = Words(), None, {}
+        for batch in sliced(batches, PIECE):
             hits = []
-            for at, (a, ta, tb) in enumerate(zip(batch.column("a").to_pylist(), texts_of(batch, "ta"), texts_of(batch, "tb"))):
-                if last.get("text") != ta:
-                    last = {"text": ta, "set": shingles(ta, width, words)}
-                x, y = last["set"], shingles(tb, width, words)
-                common = len(x) + len(y) - len(np.union1d(x, y))
-                if common and common * den >= num * (len(x) + len(y) - common):
-                    hits.append(at)
+            for at, (a, salt, b, text) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("a", "salt", "b")), texts_of(batch))):
+                if (a, salt) != group:
+                    group, own = (a, salt), {}
+                this = shingles(text, width, words)
+                if b is None:  # a text of the class that the rows behind it are compared with
+                    own[hashlib.md5(this.tobytes()).digest()] = this
+                    continue
+                for other in own.values():
+                    if not len(other) or not len(this):
+                        continue
+                    place = np.minimum(np.searchsorted(other, this), len(other) - 1)
+                    common = int((other[place] == this).sum())
+                    if common * den >= num * (len(other) + len(this) - common):
+                        hits.append(at)
+                        break
             if hits:
-                yield pa.RecordBatch.from_arrays([batch.column("a").take(pa.array(hits)), batch.column("b").take(pa.array(hits))], names=["a", "b"])
+                yield pa.RecordBatch.from_arrays([batch.column(c).take(pa.array(hits)) for c in ("a", "b", "na", "nb")], names=["a", "b", "na", "nb"])
 
-    ta, tb = (texts.select(F.col("doc_id").alias(s), F.col("text").alias(f"t{s}")) for s in "ab")
-    return pairs.join(tb, "b").join(ta, "a").select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long")
+    salts = pairs.groupBy("a").agg(F.ceil(F.count("*") / PARTNERS).alias("salts"))
+    dealt = pairs.join(salts, "a").select("a", "na", F.pmod(F.xxhash64("b"), F.col("salts")).alias("salt"), "b", "nb")
+    right = dealt.join(texts.withColumnRenamed("doc_id", "nb"), "nb").select("a", "salt", "b", "na", "nb", "text")
+    left = dealt.select("a", "na", "salt").distinct().join(texts.withColumnRenamed("doc_id", "na"), "na")
+    none = F.lit(None).cast("long")
+    both = left.select("a", "salt", none.alias("b"), "na", none.alias("nb"), "text").unionByName(right)
+    return both.repartition("a", "salt").sortWithinPartitions("a", "salt", "b").mapInArrow(run, _PAIR)
 
 
 def _between(shared: DataFrame, classes: DataFrame, shards: int, num: int, den: int) -> DataFrame:
     """Pairs of classes of unlike components that share a prefix n-gram and pass length and suffix filter.
 
-    `shared` has `(gram, node, n, place, component, size)`. The classes of a gram are dealt to blocks; blocks meet in tasks.
+    `shared` has `(gram, cid, n, place, component, size)`. The classes of a gram are dealt to blocks; blocks meet in tasks.
     """
     blocks = F.ceil(F.col("size") / BLOCK).cast("int")
-    own = F.pmod(F.xxhash64(F.lit(3), "node"), blocks).cast("int")
+    own = F.pmod(F.xxhash64(F.lit(3), "cid"), blocks).cast("int")
     dealt = shared.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
-    dealt = dealt.select("gram", "node", "n", "place", "component", "own", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"))
-    dealt = dealt.join(classes.select("node", "parts").dropDuplicates(["node"]), "node")
+    dealt = dealt.select("gram", "cid", "n", "place", "component", "own", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"))
+    dealt = dealt.join(classes.select("cid", "parts"), "cid")
     dealt = dealt.withColumn("shard", F.pmod(F.xxhash64("gram", "low", "high"), F.lit(8 * shards)).cast("int"))
 
     def run(rows: pa.Table) -> pa.Table:
         gram, low, high, own = (rows[c].to_numpy() for c in ("gram", "low", "high", "own"))
         order = np.lexsort((own, high, low, gram))
-        node, component, n, place = (rows[c].to_numpy()[order] for c in ("node", "component", "n", "place"))
+        cid, component, n, place = (rows[c].to_numpy()[order] for c in ("cid", "component", "n", "place"))
         parts = _parts_matrix(rows["parts"])[order]
         gram, low, high, own = (x[order] for x in (gram, low, high, own))
         # Rows of a group stand together, those of its low block first: each row's partners are a stretch behind it.
@@ -280,10 +301,10 @@ def _between(shared: DataFrame, classes: DataFrame, shards: int, num: int, den:
             ok = (most * (num + den) >= (n[i] + n[j]) * num) | (np.maximum(place[i], place[j]) >= _FAR)
             ok &= (component[i] != component[j]) & (n[i] * den >= n[j] * num) & (n[j] * den >= n[i] * num)
             i, j = i[ok], j[ok]
-            for part in range(0, len(i), PAIRS // 10):
-                a, b = i[part : part + PAIRS // 10], j[part : part + PAIRS // 10]
+            for part in range(0, len(i), PAIRS // 4):
+                a, b = i[part : part + PAIRS // 4], j[part : part + PAIRS // 4]
                 ok = _passes({"n": n[a], "parts": parts[a]}, {"n": n[b], "parts": parts[b]}, num, den)
-                a, b = node[a[ok]], node[b[ok]]
+                a, b = cid[a[ok]], cid[b[ok]]
                 found.append(np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], axis=1), axis=0))
         out = np.unique(np.concatenate(found), axis=0)
         return pa.table({"a": out[:, 0], "b": out[:, 1]})
@@ -291,7 +312,7 @@ def _between(shared: DataFrame, classes: DataFrame, shards: int, num: int, den:
     return dealt.groupBy("shard").applyInArrow(run, "a long, b long").distinct()
 
 
-def similar_texts(docs: DataFrame, *, width: int = 5, num: int = 4, den: int = 5, rounds: int = 5) -> DataFrame:
+def similar_texts(docs: DataFrame, *, width: int = 5, num: int = 4, den: int = 5, pivots: tuple[int, ...] = PIVOTS) -> DataFrame:
     """`doc_id, n_shingles, component_id` of every row of `docs`: texts whose n-grams reach a Jaccard of num / den link.
 
     Null texts and texts without words have no n-grams and link with nothing. Equal sets link. Rows that
@@ -302,41 +323,48 @@ def similar_texts(docs: DataFrame, *, width: int = 5, num: int = 4, den: int = 5
     levels = bucket_levels(docs, width)
     sets = land(_sets(docs, width, num, den, levels))
     known = sets.where("digest is not null and doc_id is not null")
+    # Classes have numbers of their own, as an id may stand for unlike texts; they hold as the table is written.
     classes = land(known.groupBy("digest").agg(
         F.min("doc_id").alias("node"), F.any_value("n").alias("n"), F.any_value("prefix").alias("prefix"), F.any_value("parts").alias("parts")
-    ))
-    shared = _shared_grams(classes, shard_count(spark)).withColumn("component", F.col("node"))
+    ).withColumn("cid", F.monotonically_increasing_id()))
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    links, tested = spark.createDataFrame([], "a long, b long"), None
-    for turn in range(rounds + 1):
+    shared = land(_shared_grams(classes, shard_count(spark)))
+    # What many others are variants of has few n-grams that no other has, so more of its prefix is shared: a good pivot.
+    degrees = shared.groupBy("cid").agg(F.count("*").cast("int").alias("degree"))
+    shared = shared.join(degrees, "cid").withColumn("component", F.col("cid"))
+    links = tested = None
+    for turn, count in enumerate([*pivots, 0]):
         # Grams whose classes are all in one component are done.
-        pivot = F.min_by(F.struct("node", "n", "place"), F.xxhash64(F.lit(turn), "node"))
+        chosen = [F.min_by(F.struct("cid", "n", "place"), F.struct(-F.col("degree") if not k else F.lit(0), F.xxhash64(F.lit(turn), F.lit(k), "cid"))) for k in range(count)]
         grams = shared.groupBy("gram").agg(
-            F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("size"), pivot.alias("pivot")
+            F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("size"), *([F.array(*chosen).alias("pivots")] if count else [])
         ).where("low <> high").drop("low", "high")
-        shared = land(shared.drop("size", "pivot").join(grams, "gram"))
+        shared = land(shared.drop("size", "pivots").join(grams, "gram"))
         if turn and shared.isEmpty():
             break
-        if turn < rounds:
+        if count:
             p = F.col("pivot")
-            pairs = shared.where((F.col("node") != p["node"]) & _may_reach(F.col("n"), F.col("place"), p["n"], p["place"], num, den))
-            pairs = pairs.select(F.least("node", p["node"]).alias("a"), F.greatest("node", p["node"]).alias("b")).distinct()
-            pairs = _filtered(pairs, classes, num, den)
+            pairs = shared.withColumn("pivot", F.explode("pivots")).where((F.col("cid") != p["cid"]) & _may_reach(F.col("n"), F.col("place"), p["n"], p["place"], num, den))
+            pairs = pairs.select(F.least("cid", p["cid"]).alias("a"), F.greatest("cid", p["cid"]).alias("b")).distinct()
         else:
             pairs = _between(shared, classes, shard_count(spark), num, den)
         if tested is not None:
-            pairs = pairs.join(tested, ["a", "b"], "left_anti")
-        pairs = cut_lineage(pairs)
+            pairs = pairs.join(tested.select("a", "b"), ["a", "b"], "left_anti")
+        pairs = cut_lineage(_filtered(pairs, classes, num, den))
         tested = pairs if tested is None else tested.unionByName(pairs)
-        ids = pairs.select(F.explode(F.array("a", "b")).alias("id"))
+        ids = pairs.select(F.explode(F.array("na", "nb")).alias("id")).distinct()
         found = _verified(pairs, source.where(Bloom.of(ids, "doc_id")), width, num, den)
-        links = cut_lineage(links.unionByName(found))
-        components = connected_components(links)
-        if turn < rounds:
-            components = cut_lineage(components)
-            # The pivot has met all others of its gram.
-            shared = shared.where(F.col("node") != F.col("pivot.node")).drop("component").join(components.withColumnRenamed("id", "node"), "node", "left").withColumn("component", F.coalesce("component", "node"))
-    components = cut_lineage(components)
+        links = cut_lineage(found if links is None else links.unionByName(found))
+        if count:
+            some = connected_components(links, rounds=1).withColumnRenamed("id", "cid")
+            # The pivots have met all others of their gram.
+            shared = shared.where(~F.exists("pivots", lambda p: p["cid"] == F.col("cid"))).drop("component")
+            shared = shared.join(some, "cid", "left").withColumn("component", F.coalesce("component", "cid"))
+    # From classes to ids: an id that stands for unlike texts connects their classes.
+    mark = F.xxhash64("digest")
+    unlike = known.groupBy("doc_id").agg(F.min(mark).alias("low"), F.max(mark).alias("high")).where("low <> high").select("doc_id")
+    repeated = known.join(unlike, "doc_id").join(classes, "digest").select(F.col("doc_id").alias("a"), F.col("node").alias("b"))
+    components = cut_lineage(connected_components(links.select(F.col("na").alias("a"), F.col("nb").alias("b")).unionByName(repeated)))
     # From rows to classes to components.
     of_class = classes.select("digest", "node").join(components.withColumnRenamed("id", "node"), "node", "left").select("digest", F.coalesce("component", "node").alias("component"))
     rows = sets.select("doc_id", "n", "digest").join(of_class, "digest", "left")

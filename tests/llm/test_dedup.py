@@ -178,6 +178,13 @@ def test_passages_of_copies_read_by_falling_ids(spark, other):
     assert plain(got) == passages_by_hand([(i, t.encode()) for i, t in copies + unlike])
 
 
+def test_passages_next_to_a_row_without_an_id(docs_of):
+    passage = "a passage of more than fifty bytes that two documents have in common, "
+    rows = [(None, passage + "x"), (1, passage + "one"), (2, passage + "two")]
+    got = {r.doc_id: r.n_removed for r in substring_dedup.drop_repeated_passages(docs_of(rows, 1)).collect()}
+    assert got == {None: 0, 1: 0, 2: len(passage)}
+
+
 def test_passages_of_odd_rows(odd_docs, no_docs):
     got = substring_dedup.drop_repeated_passages(odd_docs).collect()
     assert len(got) == odd_docs.count()
@@ -207,10 +214,11 @@ def near_by_hand(rows, width, num, den):
     return plain((i, len(sets[i]), found[i]) for i in ids)
 
 
-@pytest.mark.parametrize("width,num,den,rounds,block", [(3, 9, 10, 2, 512), (5, 4, 5, 2, 512), (3, 1, 2, 0, 4), (2, 7, 10, 1, 3)])
-def test_similar_texts(docs_of, monkeypatch, width, num, den, rounds, block):
+@pytest.mark.parametrize("width,num,den,pivots,block", [(3, 9, 10, (1, 2, 2), 512), (5, 4, 5, (1, 1), 512), (3, 1, 2, (), 4), (2, 7, 10, (1,), 3)])
+def test_similar_texts(docs_of, monkeypatch, width, num, den, pivots, block):
     """Families of variants, some of which link only through others; with few pivots and small blocks, too."""
     monkeypatch.setattr(ngram_join, "BLOCK", block)
+    monkeypatch.setattr(ngram_join, "PARTNERS", 3)
     rng = random.Random(width * 100 + num)
     words = [f"w{k}" for k in range(40)]
     rows, n = [(-1, None), (-2, ""), (-3, "one"), (-4, "ONE"), (-5, "one two"), (-6, " \n")], 0
@@ -224,10 +232,25 @@ def test_similar_texts(docs_of, monkeypatch, width, num, den, rounds, block):
             n += 1
             if rng.random() < 0.3:
                 base = other
-    got = ngram_join.similar_texts(docs_of(rows, 4), width=width, num=num, den=den, rounds=rounds)
+    got = ngram_join.similar_texts(docs_of(rows, 4), width=width, num=num, den=den, pivots=pivots)
     assert plain(got.collect()) == near_by_hand(rows, width, num, den)
 
 
+def test_an_id_of_unlike_texts_connects_what_they_link_with(docs_of):
+    one, two = " ".join(f"a{i}" for i in range(60)), " ".join(f"b{i}" for i in range(60))
+    rows = [(4, one + " x"), (9, one), (9, two), (7, two + " y"), (5, "alone here and now it is")]
+    got = {(r.doc_id, r.component_id) for r in ngram_join.similar_texts(docs_of(rows)).collect()}
+    assert got == {(4, 4), (9, 4), (7, 4), (5, 5)}
+
+
+def test_components_of_few_rounds_are_connected(spark):
+    rng = random.Random(6)
+    links = [(i, i + 1) for i in range(0, 300)] + [(rng.randrange(1000, 1300), rng.randrange(1000, 1300)) for _ in range(200)]
+    want = components({x for p in links for x in p}, links)
+    got = connected_components(spark.createDataFrame(links, "a long, b long").repartition(50), rounds=1).collect()
+    assert len({r.id for r in got}) == len(got) and all(want[r.id] == want[r.component] for r in got)
+
+
 def test_similar_odd_rows(odd_docs, no_docs):
     got = ngram_join.similar_texts(odd_docs).collect()
     assert len(got) == odd_docs.count() and all(r.component_id is None for r in got if r.doc_id is None)
