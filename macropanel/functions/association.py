@@ -11,6 +11,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
 
+ROWS = 4096  # features that are ranked together
+
+
 def _tie_sums(v: np.ndarray) -> tuple[float, float, float]:
     counts = np.unique(v, return_counts=True)[1].astype(float)
     return (
@@ -118,6 +121,72 @@ def association(x: np.ndarray, y: np.ndarray) -> float:
     return kendall(x, y)[1]
 
 
+def _run_lengths(ordered: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Lengths of the runs of equal values in the rows of an ordered matrix, and where each row's first run stands."""
+    new = np.ones(ordered.shape, bool)
+    new[:, 1:] = ordered[:, 1:] != ordered[:, :-1]
+    at = np.flatnonzero(new)
+    return np.diff(at, append=new.size).astype(float), np.flatnonzero(at % ordered.shape[1] == 0)
+
+
+def _net_ascents(rank: np.ndarray) -> np.ndarray:
+    """Ascents minus descents over all pairs of positions of each row; ranks are whole numbers from 0.
+
+    The merge passes of `_ascents`, for all rows at once: a block's key is that of its row and place.
+    """
+    rows, n = rank.shape
+    span, at, half = int(rank.max()) + 1, np.arange(n), 1
+    total = np.zeros(rows, np.int64)
+    while half < n:
+        blocks = -(-n // (2 * half))
+        block = np.arange(rows)[:, None] * blocks + (at // (2 * half))[None, :]
+        right = (at // half) % 2 == 1
+        key = block * span + rank
+        left = np.sort(key[:, ~right], axis=1).ravel()  # rows follow each other, so the whole is in order
+        here, base = key[:, right].ravel(), (block[:, right] * span).ravel()
+        low, high = np.searchsorted(left, base), np.searchsorted(left, base + span)
+        net = (np.searchsorted(left, here) - low) - (high - np.searchsorted(left, here, side="right"))
+        total += net.reshape(rows, -1).sum(axis=1)
+        half *= 2
+    return total
+
+
+def association_rows(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """`association` of each row of `x` with `y`; `y` is sorted once for all."""
+    rows, n = x.shape
+    out = np.full(rows, np.nan)
+    if n < 2 or not rows:
+        return out
+    order = np.argsort(x, axis=1, kind="stable")
+    ordered = np.take_along_axis(x, order, axis=1)
+    new = np.zeros(x.shape, np.int64)
+    new[:, 1:] = ordered[:, 1:] != ordered[:, :-1]
+    rank = np.empty_like(new)
+    np.put_along_axis(rank, order, np.cumsum(new, axis=1), axis=1)
+    kinds = rank.max(axis=1) + 1
+    for i in np.flatnonzero(kinds == 2):
+        out[i] = two_sample_ks(y[rank[i] == 1], y[rank[i] == 0])
+    many = np.flatnonzero(kinds > 2)
+    groups, group = np.unique(y, return_inverse=True)
+    if not len(many) or len(groups) < 2:
+        return out
+    # In the order of y, and of x inside equal y: every pair of unlike x there counts as an ascent and is taken out.
+    by_y = np.argsort(group, kind="stable")
+    span = n + 1
+    key = np.sort(group[by_y][None, :] * span + rank[many][:, by_y], axis=1)
+    size = np.bincount(group).astype(float)
+    same, first = _run_lengths(key)
+    tied = (size * (size - 1) / 2).sum() - np.add.reduceat(same * (same - 1) / 2, first)
+    s = _net_ascents(key % span) - tied
+    count, first = _run_lengths(ordered[many])
+    tx, x0, x1 = (np.add.reduceat(t, first) for t in (count * (count - 1) / 2, count * (count - 1) * (count - 2), count * (count - 1) * (2 * count + 5)))
+    ty, y0, y1 = _tie_sums(y)
+    m = n * (n - 1.0)
+    var = (m * (2 * n + 5) - x1 - y1) / 18 + 2 * tx * ty / m + x0 * y0 / (9 * m * (n - 2))
+    out[many] = [math.erfc(z) for z in np.abs(s) / np.sqrt(var) / math.sqrt(2)]
+    return out
+
+
 def _column(function):
     def run(xs: pd.Series, ys: pd.Series) -> pd.Series:
         out = [function(np.asarray(x, float), np.asarray(y, float)) for x, y in zip(xs, ys)]
@@ -128,7 +197,15 @@ def _column(function):
 
 @F.pandas_udf(DoubleType())
 def association_p(xs: pd.Series, ys: pd.Series) -> pd.Series:
-    return _column(association)(xs, ys)
+    """Features with the same target are taken together."""
+    out = np.full(len(xs), np.nan)
+    same: dict[bytes, list[int]] = {}
+    for i, y in enumerate(ys):
+        same.setdefault(np.asarray(y, float).tobytes(), []).append(i)
+    for packed, at in same.items():
+        for part in (at[k : k + ROWS] for k in range(0, len(at), ROWS)):
+            out[part] = association_rows(np.stack([np.asarray(xs[i], float) for i in part]), np.frombuffer(packed))
+    return pd.Series(out).astype("object").where(~np.isnan(out), None).astype("float64")
 
 
 @F.pandas_udf(DoubleType())

@@ -9,7 +9,8 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType
 
@@ -59,22 +60,65 @@ def _names() -> list[Spectral]:
 SPECTRAL: tuple[Spectral, ...] = tuple(_names())
 
 
-def spectral_values(names: list[str]):
-    """A pandas UDF from windows to the named features, in that order."""
+def by_length(function, width: int):
+    """An Arrow UDF from windows to `width` values each; `function` maps a matrix of windows of one length to theirs."""
 
-    @F.pandas_udf(ArrayType(DoubleType()))
-    def values(xs: pd.Series) -> pd.Series:
-        lengths = xs.map(len).to_numpy()
-        out = np.full((len(xs), len(names)), np.nan)
-        for n in np.unique(lengths):
+    @F.arrow_udf(ArrayType(DoubleType()))
+    def values(xs: pa.Array) -> pa.Array:
+        lengths = pc.fill_null(pc.list_value_length(xs), 0).to_numpy()
+        out = np.full((len(xs), width), np.nan)
+        for n in np.unique(lengths[lengths > 0]):
             at = np.flatnonzero(lengths == n)
-            if n:
-                out[at] = window_matrix_features(np.stack(xs.iloc[at].to_list()).astype(float), names)
-        return pd.Series([[None if v != v else v for v in row] for row in out.tolist()])
+            windows = xs.take(pa.array(at)).flatten().to_numpy(zero_copy_only=False)
+            out[at] = function(windows.reshape(len(at), n).astype(float))
+        cells = pa.array(out.ravel(), mask=np.isnan(out.ravel()))
+        return pa.ListArray.from_arrays(pa.array(np.arange(len(xs) + 1) * width, pa.int32()), cells)
 
     return values
 
 
+def spectral_values(names: list[str]):
+    """From windows to the named features, in that order."""
+    return by_length(lambda m: window_matrix_features(m, names), len(names))
+
+
+TREND_CHUNKS, TREND_STATS, TREND_ATTRS = (5, 10, 50), ("max", "min", "mean", "var"), ("slope", "intercept", "rvalue", "stderr")
+
+
+def chunk_trends(m: np.ndarray) -> np.ndarray:
+    """`(rows, n)` windows to the lines through statistics of their chunks: chunk lengths, statistics, attributes."""
+    rows, n = m.shape
+    out = []
+    for chunk in TREND_CHUNKS:
+        if n <= chunk:
+            out += [np.full(rows, np.nan)] * (len(TREND_STATS) * len(TREND_ATTRS))
+            continue
+        at = np.arange(0, n, chunk)
+        size = np.diff(at, append=n)
+        apart = m - np.repeat(m[:, at], size, axis=1)
+        s, q = np.add.reduceat(apart, at, axis=1), np.add.reduceat(apart * apart, at, axis=1)
+        stats = {
+            "max": np.maximum.reduceat(m, at, axis=1), "min": np.minimum.reduceat(m, at, axis=1),
+            "mean": np.add.reduceat(m, at, axis=1) / size, "var": np.maximum((size * q - s * s) / (size * size), 0),
+        }
+        for stat in TREND_STATS:
+            line = _lines(stats[stat])
+            out += [line[attr] for attr in TREND_ATTRS]
+    return np.stack(out, axis=1)
+
+
+def _lines(ys: np.ndarray) -> dict[str, np.ndarray]:
+    """Least squares lines through the rows of `ys` over 0, 1, 2, ..., shifted by the first value."""
+    k = ys.shape[1]
+    y, t = ys - ys[:, :1], np.arange(k)
+    my, raw, tt = y.mean(axis=1), (y * y).mean(axis=1), (k * k - 1) / 12
+    yy, ty = raw - my * my, (t * y).mean(axis=1) - (k - 1) / 2 * my
+    with np.errstate(all="ignore"):
+        r = np.where(yy <= 1e-14 * raw, 0.0, np.clip(ty / np.sqrt(tt * yy), -1, 1))
+    stderr = np.zeros(len(ys)) if k == 2 else np.sqrt((1 - r * r) * np.maximum(yy, 0) / tt / (k - 2))
+    return {"slope": ty / tt, "intercept": ys[:, 0] + my - ty / tt * (k - 1) / 2, "rvalue": r, "stderr": stderr}
+
+
 def window_matrix_features(m: np.ndarray, names: list[str]) -> np.ndarray:
     """`(rows, n)` windows of one length to `(rows, features)`; NaN where a feature is missing."""
     blocks: dict[str, dict[str, np.ndarray]] = {}
@@ -182,10 +226,8 @@ def _ar(m):
     k = AR_ORDER
     if n < 2 * k + 1:
         return {}
-    coeffs = np.empty((rows, k + 1))
-    for r in range(rows):
-        lags = np.column_stack([np.ones(n - k), *[m[r, k - i:n - i] for i in range(1, k + 1)]])
-        coeffs[r] = np.linalg.lstsq(lags, m[r, k:], rcond=None)[0]
+    lags = np.stack([np.ones((rows, n - k)), *[m[:, k - i:n - i] for i in range(1, k + 1)]], axis=2)
+    coeffs = (np.linalg.pinv(lags, rcond=np.finfo(float).eps * max(lags.shape[1:])) @ m[:, k:, None])[:, :, 0]
     return {f"ar_coefficient__coeff_{c}__k_{k}": coeffs[:, c] for c in range(k + 1)}
 
 
@@ -208,15 +250,22 @@ def _pacf(m):
     return out
 
 
-def distinct_phrases(symbols) -> int:
-    """Number of phrases when each new phrase is the shortest one not seen before."""
-    seen, phrase = set(), ()
-    for s in symbols:
-        phrase += (s,)
-        if phrase not in seen:
-            seen.add(phrase)
-            phrase = ()
-    return len(seen)
+def distinct_phrases(symbols: np.ndarray, kinds: int) -> np.ndarray:
+    """For each row the number of phrases when each new phrase is the shortest one not seen before.
+
+    A phrase is the number of the phrase that it extends and a symbol below `kinds`; all rows advance together.
+    """
+    rows, n = symbols.shape
+    seen, count, phrase, each = np.full((rows, n), -1), np.zeros(rows, int), np.zeros(rows, int), np.arange(rows)
+    for t in range(n):
+        key = phrase * kinds + symbols[:, t]
+        same = seen[:, :t] == key[:, None]
+        known = same.any(axis=1)
+        phrase = np.where(known, same.argmax(axis=1) + 1 if t else 0, 0)
+        fresh = each[~known]
+        seen[fresh, count[fresh]] = key[fresh]
+        count[fresh] += 1
+    return count
 
 
 def _lempel_ziv(m):
@@ -226,7 +275,7 @@ def _lempel_ziv(m):
     for b in BINS:
         edges = np.linspace(low, high, b + 1, axis=1)[:, 1:]
         symbols = (edges[:, None, :] < m[:, :, None]).sum(axis=2)
-        out[f"lempel_ziv_complexity__bins_{b}"] = np.array([distinct_phrases(row) / n for row in symbols.tolist()])
+        out[f"lempel_ziv_complexity__bins_{b}"] = distinct_phrases(symbols, b) / n
     return out
 
 

@@ -73,9 +73,22 @@ def mean_of(value: Column, exact_scale: int | None = None) -> Column:
 
 
 def total_of(value: Column, exact_scale: int | None = None) -> Column:
+    """Aggregate sum, exact with `exact_scale` as in `mean_of`.
+
+    Values below 2**53 units of the last digit are whole numbers of such units. Their high and low words are
+    summed apart, so that no sum of up to 2**36 rows overflows; only larger values take the slow way by decimals.
+    """
     if exact_scale is None:
         return F.sum(value)
+    unit, low = 10.0 ** exact_scale, (1 << 26) - 1
+    units = F.rint(value.cast("double") * unit)
+    # The quotient of two whole numbers below 2**53 is the double nearest to that decimal.
+    fits = (F.abs(units) < 2.0 ** 53) & (units / unit == value) if exact_scale <= 9 else value.isNull() & F.lit(False)
+    whole = F.when(fits, units.cast("long"))
     exact = value.try_cast(f"decimal(38,{exact_scale})")
     lost = value.isNotNull() & ~exact.cast("double").eqNullSafe(value.cast("double"))
     message = F.concat(F.lit(f"no exact sum with {exact_scale} digits of "), value.cast("string"))
-    return F.sum(F.when(lost, F.raise_error(message)).otherwise(exact)).cast("double")
+    rest = F.sum(F.when(~F.coalesce(fits, F.lit(True)), F.when(lost, F.raise_error(message)).otherwise(exact)))
+    words = F.sum(F.shiftright(whole, 26)).cast("decimal(20,0)") * (low + 1) + F.sum(whole.bitwiseAND(low))
+    small = words.cast("decimal(28,0)") * F.lit(f"1e-{exact_scale}").cast(f"decimal({exact_scale + 1},{exact_scale})")
+    return F.coalesce(small.cast(f"decimal(38,{exact_scale})") + rest, small, rest).cast("double")

@@ -6,12 +6,13 @@ the features of the next one, and no feature needs a shuffle.
 
 from __future__ import annotations
 
+import itertools
 import re
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, functions as F
 
-from .spectral import SPECTRAL, spectral_values
+from .spectral import SPECTRAL, TREND_ATTRS, TREND_CHUNKS, TREND_STATS, by_length, chunk_trends, spectral_values
 
 GROUPS = (
     "moments", "shape", "change", "flags", "counts", "positions",
@@ -215,12 +216,10 @@ def _define() -> list[Feature]:
     # trend
     for attr in ("slope", "intercept", "rvalue", "stderr"):
         add("trend", f'linear_trend__attr_"{attr}"', _trend("t_xs", attr), 2)
-    for chunk in (5, 10, 50):
-        for f in ("max", "min", "mean", "var"):
-            for attr in ("slope", "intercept", "rvalue", "stderr"):
-                add("trend", f'agg_linear_trend__attr_"{attr}"__chunk_len_{chunk}__f_agg_"{f}"',
-                    f"if(n <= {chunk}, null, {_trend(f't_{f}_{chunk}', attr)})",
-                    2 * chunk + 1 if attr == "stderr" else chunk + 1)
+    # Lines through chunks come as one array of a window, see `chunk_trends`.
+    for i, (chunk, f, attr) in enumerate(itertools.product(TREND_CHUNKS, TREND_STATS, TREND_ATTRS)):
+        add("trend", f'agg_linear_trend__attr_"{attr}"__chunk_len_{chunk}__f_agg_"{f}"', f"chunk_lines[{i}]",
+            2 * chunk + 1 if attr == "stderr" else chunk + 1)
 
     # other
     for i in range(10):
@@ -260,18 +259,6 @@ def _corridors() -> dict[str, str]:
     return out
 
 
-def _chunks(chunk: int) -> dict[str, str]:
-    part = f"slice(xs, k * {chunk} + 1, {chunk})"
-    ks = f"sequence(0, cast(ceil(n / {chunk}) as int) - 1)"
-    mean = f"{_sum(part)} / size({part})"
-    return {
-        f"max_{chunk}": f"transform({ks}, k -> array_max({part}))",
-        f"min_{chunk}": f"transform({ks}, k -> array_min({part}))",
-        f"mean_{chunk}": f"transform({ks}, k -> {mean})",
-        f"var_{chunk}": f"transform({ks}, k -> aggregate({part}, 0D, (acc, x) -> acc + pow(x - {mean}, 2)) / size({part}))",
-    }
-
-
 # Helper columns, stage by stage: each may use those of the stages before.
 STAGES: tuple[dict[str, str], ...] = (
     {
@@ -301,9 +288,8 @@ STAGES: tuple[dict[str, str], ...] = (
     },
     {"dv": "transform(xs, x -> x - mean)",
      "tenth": "transform(xs, x -> if(mx = mn, 5, least(9, cast(floor((x - mn) / (mx - mn) * 10) as int))))",
-     **_corridors(), **_chunks(5), **_chunks(10), **_chunks(50)},
-    {**{f"t_{f}_{c}": _trend_sums(f"{f}_{c}") for f in ("max", "min", "mean", "var") for c in (5, 10, 50)},
-     "ss_dv": _sum("dv", "x * x"), "s3": _sum("dv", "x * x * x"), "s4": _sum("dv", "x * x * x * x")},
+     **_corridors()},
+    {"ss_dv": _sum("dv", "x * x"), "s3": _sum("dv", "x * x * x"), "s4": _sum("dv", "x * x * x * x")},
     {"m2": "ss_dv / n", "m3": "s3 / n", "m4": "s4 / n"},
     {"sd": "sqrt(m2)",
      "acf": "if(n < 2 or m2 = 0, array(), transform(sequence(1, least(40, n - 1)), l -> "
@@ -342,6 +328,9 @@ def with_features(
     kept = [c for c in rolled.columns if c != xs]
     out = rolled.select(F.struct(*kept).alias("__row"), F.col(xs).alias("xs"))
     used = _needed(native)
+    if any("chunk_lines" in f.sql for f in native):
+        width = len(TREND_CHUNKS) * len(TREND_STATS) * len(TREND_ATTRS)
+        out = out.withColumn("chunk_lines", by_length(chunk_trends, width)(F.col("xs")))
     for stage in STAGES:
         wanted = {name: sql for name, sql in stage.items() if name in used}
         if wanted:

@@ -119,8 +119,11 @@ def standardise(columns: DataFrame) -> DataFrame:
     return scaled.drop("__m", "__d", "__s", "__k")
 
 
+MISALIGNED = "features of one entity must share their dates; merge and fill the panel first"
+
+
 def matrix(arrays) -> np.ndarray:
     """Arrays of one task as the rows of a matrix."""
     if len({len(a) for a in arrays}) > 1:
-        raise ValueError("features of one entity must share their dates; merge and fill the panel first")
+        raise ValueError(MISALIGNED)
     return np.stack(list(arrays))

@@ -18,6 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..config import NA_TOKENS
+from ..functions.values import missing, na_to_null
 
 # CSV files above this size are split over tasks.
 BULK_BYTES = 128 * 1024 * 1024
@@ -217,10 +218,14 @@ def scan_bulk_csv(spark: SparkSession, path: str) -> DataFrame:
 
 
 def scan_parquet(spark: SparkSession, path: str) -> DataFrame:
-    """A Parquet file of plain columns as rows like those of `scan_sheets`; dates and numbers as text."""
+    """A Parquet file of plain columns as rows like those of `scan_sheets`; dates and numbers as text.
+
+    The same cells are empty as in a CSV file of the same values: NaN, and the texts that stand for missing ones.
+    """
     df = spark.read.parquet(path)
     head = spark.createDataFrame([(path, 0, df.columns, None)], ROWS_SCHEMA)
-    cells = F.array(*[F.col(f"`{c}`").cast("string") for c in df.columns])
+    of = {f.name: f.dataType for f in df.schema.fields}
+    cells = F.array(*[F.when(~missing(F.col(f"`{c}`"), of[c]), na_to_null(F.col(f"`{c}`").cast("string"))) for c in df.columns])
     return head.unionByName(df.select(
         F.lit(path).alias("path"), (F.monotonically_increasing_id() + 1).alias("row"), cells.alias("cells"), F.lit(None).cast("string").alias("error")
     ))

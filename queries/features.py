@@ -239,9 +239,12 @@ for _group in _SQL:
 
 @query("feat_spectral")
 def feat_spectral(spark, sf_dir):
-    """Transforms, spectra and complexities, which SQL cannot say; checked against numpy in the tests."""
-    vectors, names = windows.with_features(rolled(spark, sf_dir), ("spectral",), prune_infeasible=True)
-    return windows.explode_features(vectors, names).select("supplier", "date", "feature", q(F.col("value")).alias("value"))
+    """Transforms, spectra and complexities of the whole grid, which SQL cannot say; checked against numpy in the tests.
+
+    A row for each feature that the window has: coefficients beyond its length have no value."""
+    vectors, names = windows.with_features(rolled(spark, sf_dir), ("spectral",))
+    found = windows.explode_features(vectors, names).where("value is not null")
+    return found.select("supplier", "date", "feature", q(F.col("value")).alias("value"))
 
 
 _SLOTTED = """slotted as (select supplier, date, case when value > 5 then 'inf'::double when value < -5 then '-inf'::double

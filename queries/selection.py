@@ -187,6 +187,34 @@ def pca_scores(spark, sf_dir):
     return scores.select("date", "component", q(F.col("score")).alias("score"), "y")
 
 
+_Z = f"""{SERIES},
+stats as (select feature, avg(value) as m, stddev_pop(value) as s from series group by feature),
+z as (select feature, date, (value - m) / case when s = 0 then 1 else s end as z from series join stats using (feature))"""
+
+
+def _all_scores(spark, sf_dir):
+    """Scores of all components, from which the features' inner products follow."""
+    return reduce.pca(brand_columns(spark, sf_dir), variance=2.0, max_ratio=1.0).scores
+
+
+@query("pca_gram", f"""
+with {_Z}
+select a.date as date, b.date as other, {q_sql('sum(a.z * b.z)')} as product from z a join z b on a.feature = b.feature and a.date <= b.date group by a.date, b.date""")
+def pca_gram(spark, sf_dir):
+    """Scores give the inner products of the standardised features back, date by date."""
+    scores = cut_lineage(_all_scores(spark, sf_dir))
+    a, b = scores.alias("a"), scores.alias("b")
+    pairs = a.join(b, (F.col("a.component") == F.col("b.component")) & (F.col("a.date") <= F.col("b.date")))
+    return pairs.groupBy(F.col("a.date").alias("date"), F.col("b.date").alias("other")).agg(q(F.sum(F.col("a.score") * F.col("b.score"))).alias("product"))
+
+
+@query("pca_trace", f"""
+with {_Z}
+select {q_sql('sum(z * z)')} as total, least(count(distinct feature), count(distinct date)) as components from z""")
+def pca_trace(spark, sf_dir):
+    return _all_scores(spark, sf_dir).agg(q(F.sum(F.col("score") * F.col("score"))).alias("total"), F.countDistinct("component").alias("components"))
+
+
 def quantity_before(spark, sf_dir):
     """Mean quantity shipped in the month before: a target that some windows do tell."""
     items = table(spark, sf_dir, "lineitem")

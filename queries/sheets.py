@@ -14,9 +14,11 @@ from macropanel.plans.corpus import auto_parse, declared_parse, load_parse
 from macropanel.plans.panel import monthly_panel
 from macropanel.plans.pipeline import ordered_tables
 
+from macropanel.functions.values import num
 from macropanel.session import cut_lineage
+from macropanel.sources.sheets import scan_files
 
-from .base import query, table
+from .base import q, q_sql, query, table
 
 # Text of both engines. `p` numbers the sheet; row 0 is the header.
 _MONTHS = """
@@ -240,3 +242,18 @@ def run_auto_corpus(spark, sf_dir):
     named = parsed.withColumn(FREQ, known).withColumn("metric", F.concat("table", F.lit("/"), "metric"))
     panel = monthly_panel(ordered_tables(named), PanelConfig(missing_threshold=60.0))
     return panel.select(F.regexp_replace("metric", "_[月季日]度$", "").alias("metric"), "date", "value")
+
+
+@query("scan_order_cells", f"""
+select 'o_orderkey' as name, count(*) as rows, count(o_orderkey) as filled, {q_sql("sum(o_orderkey)", 2)} as total from orders
+union all select 'o_custkey', count(*), count(o_custkey), {q_sql("sum(o_custkey)", 2)} from orders
+union all select 'o_orderstatus', count(*), count(o_orderstatus), null from orders
+union all select 'o_totalprice', count(*), count(o_totalprice), {q_sql("cast(sum(cast(o_totalprice as decimal(18,2))) as double)", 2)} from orders
+union all select 'o_orderdate', count(*), count(o_orderdate), null from orders
+union all select 'o_orderpriority', count(*), count(o_orderpriority), null from orders""")
+def scan_order_cells(spark, sf_dir):
+    """A Parquet file as cells under the names of its header row."""
+    cells = scan_files(spark, f"{sf_dir}/orders.parquet").where("error is null").select("path", "row", F.posexplode("cells").alias("col", "cell"))
+    names = cells.where("row = 0").select("path", "col", F.col("cell").alias("name"))
+    total = F.sum(num(F.col("cell")).cast("decimal(18,2)")).cast("double")
+    return cells.where("row > 0").join(names, ["path", "col"]).groupBy("name").agg(F.count("*").alias("rows"), F.count("cell").alias("filled"), q(total, 2).alias("total"))

@@ -4,7 +4,7 @@ import math
 import numpy as np
 import pytest
 from helpers import day
-from macropanel.functions.association import association, concordance, kendall, two_sample_ks
+from macropanel.functions.association import association, association_rows, concordance, kendall, two_sample_ks
 from macropanel.operators import columns, reduce, select
 from pyspark.sql import functions as F
 
@@ -200,3 +200,32 @@ def test_misaligned_features_are_refused(spark):
     cols = packed(spark, {"a": [1, 2, 3], "b": [1, 2, 4, 5]})
     with pytest.raises(Exception, match="share their dates"):
         select.drop_correlated(cols).collect()
+
+
+def test_rows_with_one_target_get_the_p_values_of_each_alone():
+    rng = np.random.default_rng(12)
+    for n in (2, 3, 7, 40, 65):
+        for y in (rng.integers(0, 4, n).astype(float), rng.normal(size=n), np.zeros(n)):
+            x = np.concatenate([rng.integers(0, k, (20, n)).astype(float) for k in (1, 2, 3, 9)] + [rng.normal(size=(20, n)), y[None, :], -y[None, :]])
+            want = [association(a, y) for a in x]
+            np.testing.assert_allclose(association_rows(x, y), want, rtol=1e-12)
+
+
+def test_gram_is_summed_over_tasks_and_entities(spark, monkeypatch):
+    monkeypatch.setattr(reduce, "HELD", 20)
+    rng = np.random.default_rng(3)
+    values = {(k, f): rng.normal(size=5) for k in "abc" for f in range(40)}
+    rows = [(k, f"f{f}", v.tolist()) for (k, f), v in values.items()]
+    df = spark.createDataFrame(rows, "k string, feature string, xs array<double>").repartition(6)
+    for r in reduce.gram(df, ["k"]).collect():
+        assert r.v == pytest.approx(sum(values[r.k, f][r.i] * values[r.k, f][r.j] for f in range(40)))
+    assert reduce.gram(df.limit(0)).count() == 0
+
+
+def test_signs_do_not_depend_on_the_batches(spark, monkeypatch):
+    rng = np.random.default_rng(4)
+    cols = packed(spark, {f"f{j:02d}": rng.normal(size=9) for j in range(25)})
+    want = sorted(map(tuple, reduce.pca(cols).scores.collect()))
+    monkeypatch.setattr(reduce, "BATCH", 4)
+    got = sorted(map(tuple, reduce.pca(cols).scores.collect()))
+    np.testing.assert_allclose([r[2] for r in got], [r[2] for r in want], atol=1e-9)

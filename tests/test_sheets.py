@@ -279,3 +279,18 @@ def test_vendor_table(spark):
     assert str(normalise_table(coded, "quarter", "coded").first()["指标名称"]) == "2026-04-01"
     with pytest.raises(ValueError, match="not found"):
         normalise_table(raw, "gone", "chinese")
+
+
+def test_parquet_and_csv_have_the_same_missing_cells(spark, tmp_path):
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+
+    n = 10
+    values, texts = [1.5, 2.5] + [float("nan")] * (n - 2), ["x", "y"] + ["NA"] * 4 + ["", "null", "None", None]
+    pq.write_table(pa.table({"日期": [f"2024-01-{i + 1:02d}" for i in range(n)], "number": values, "text": texts}), tmp_path / "a.parquet")
+    lines = ["日期,number,text"] + [f"2024-01-{i + 1:02d},{v},{t or ''}" for i, (v, t) in enumerate(zip(values, texts))]
+    (tmp_path / "b.csv").write_text("\n".join(lines), encoding="utf-8")
+    rows = sheets.scan_files(spark, [str(tmp_path / "a.parquet"), str(tmp_path / "b.csv")]).where("error is null").collect()
+    by_file = {end: [r.cells for r in sorted(rows, key=lambda r: r.row) if r.path.endswith(end)] for end in (".parquet", ".csv")}
+    assert by_file[".parquet"] == by_file[".csv"] and len(by_file[".csv"]) == n + 1
+    assert [sum(r[c] is None for r in by_file[".parquet"]) for c in (0, 1, 2)] == [0, 8, 8]

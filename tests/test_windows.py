@@ -157,8 +157,8 @@ def test_pacf_and_ar(computed):
 
 
 def test_complexities(computed):
-    assert spectral.distinct_phrases([0, 0, 0, 0]) == 2  # 0 | 00 | 0 is already known
-    assert spectral.distinct_phrases([1, 0, 0, 1, 1, 0]) == 4  # 1 | 0 | 01 | 10
+    assert spectral.distinct_phrases(np.array([[0, 0, 0, 0]]), 2) == [2]  # 0 | 00 | 0 is already known
+    assert spectral.distinct_phrases(np.array([[1, 0, 0, 1, 1, 0]]), 2) == [4]  # 1 | 0 | 01 | 10
     close(computed[0]["permutation_entropy__dimension_3__tau_1"], 0.0)
     close(computed[2]["permutation_entropy__dimension_7__tau_1"], 0.0)
     assert computed[0]["permutation_entropy__dimension_5__tau_1"] is None
