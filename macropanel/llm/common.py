@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import uuid
 from collections.abc import Iterable, Iterator
 
@@ -81,6 +82,15 @@ def texts_of(batch: pa.RecordBatch, column: str = "text") -> list[bytes]:
     return batch.column(column).cast(pa.binary() if not pa.types.is_large_string(batch.column(column).type) else pa.large_binary()).to_pylist()
 
 
+def give_back() -> None:
+    """Hand memory that this worker no longer uses back to the machine, so that idle workers hold little."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
 def hex_sha256(column: Column) -> Column:
     return F.sha2(column.cast("binary"), 256)
 

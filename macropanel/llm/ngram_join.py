@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from macropanel.session import cut_lineage
 
-from .common import Bloom, land, mix, shard_count, sliced, table, texts_of
+from .common import Bloom, give_back, land, mix, shard_count, sliced, table, texts_of
 from .components import connected_components
 
 PIECE = 4_000_000
@@ -122,6 +122,8 @@ def _sets(docs: DataFrame, width: int, num: int, den: int, levels: np.ndarray) -
                 [batch.column("doc_id"), pa.array(sizes, pa.int64()), *(pa.array(x, pa.binary()) for x in (digest, prefix, parts))],
                 names=["doc_id", "n", "digest", "prefix", "parts"],
             )
+        words.clear()
+        give_back()
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     return rows.mapInArrow(run, "doc_id long, n long, digest binary, prefix binary, parts binary")
@@ -256,6 +258,8 @@ def _verified(pairs: DataFrame, texts: DataFrame, width: int, num: int, den: int
                         break
             if hits:
                 yield pa.RecordBatch.from_arrays([batch.column(c).take(pa.array(hits)) for c in ("a", "b", "na", "nb")], names=["a", "b", "na", "nb"])
+        words.clear()
+        give_back()
 
     salts = pairs.groupBy("a").agg(F.ceil(F.count("*") / PARTNERS).alias("salts"))
     dealt = pairs.join(salts, "a").select("a", "na", F.pmod(F.xxhash64("b"), F.col("salts")).alias("salt"), "b", "nb")
