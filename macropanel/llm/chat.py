@@ -14,12 +14,13 @@ Everything is DataFrame expressions.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.types import ArrayType, DataType, StringType, StructType
 
-from .common import hex_sha256, table
+from .common import hex_sha256, table, unused
 
 TURNS = "array<struct<role:string,text:string>>"
 OPEN, MARKED, CLOSE = "<turn ", ">", "</turn>"
@@ -118,8 +119,10 @@ def _turns(layout: Layout, have: set[str]) -> Column:
     return F.filter(F.array(*made), lambda x: x.isNotNull()).cast(TURNS)
 
 
-def canonical_turns(df: DataFrame, layouts: tuple[Layout, ...] = LAYOUTS, to: str = "canonical") -> DataFrame:
-    """`df` with its turns in column `to` and the layout's name in `layout`.
+def canonical_turns(df: DataFrame, layouts: tuple[Layout, ...] = LAYOUTS, to: str = "canonical", name: str = "layout") -> DataFrame:
+    """`df` with its turns in column `to` and the layout's name in column `name`.
+
+    Columns of these two names are replaced, all others stay: where `df` has a `layout` of its own, name another.
 
     Paths that no layout names are left out of the fingerprint, so ids and metadata don't matter. Rows
     of unknown layout get null turns and a null name. A null text is an empty text.
@@ -127,12 +130,12 @@ def canonical_turns(df: DataFrame, layouts: tuple[Layout, ...] = LAYOUTS, to: st
     known = sorted({p for layout in layouts for one in layout.fingerprints() for p in one.split(",")})
     have = set(field_paths(df.schema))
     mark = fingerprint(df, known)
-    turns, name = F.lit(None).cast(TURNS), F.lit(None).cast("string")
+    turns, called = F.lit(None).cast(TURNS), F.lit(None).cast("string")
     for layout in layouts:
         if set(layout.needed()) <= have:
             hit = mark.isin(*(F.xxhash64(F.lit(one)) for one in layout.fingerprints()))
-            turns, name = F.when(hit, _turns(layout, have)).otherwise(turns), F.when(hit, F.lit(layout.name)).otherwise(name)
-    return df.withColumns({to: turns, "layout": name})
+            turns, called = F.when(hit, _turns(layout, have)).otherwise(turns), F.when(hit, F.lit(layout.name)).otherwise(called)
+    return df.withColumns({to: turns, name: called})
 
 
 def rows_to_turns(rows: DataFrame, key: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text") -> DataFrame:
@@ -170,30 +173,56 @@ def _unmarked(role: Column) -> Column:
     return unescape(F.replace(role, F.lit("\\g"), F.lit(">")))
 
 
-def format_chat(df: DataFrame, turns: str = "canonical", trained: tuple[str, ...] = ("assistant",)) -> DataFrame:
-    """`df` with `formatted` and `loss_spans`: `(start, length)` in code points, from 0, of each text that is learned from."""
+#: Turns whose starts are found in one go.
+STRETCH = 256
+_SPANS = "array<struct<start:bigint,length:bigint>>"
+
+
+def _spans(pieces: Column, head: Callable[[Column], Column], width: Callable[[Column], Column]) -> Column:
+    """`(start, length)` of the trained bodies. Starts run on in two steps, within stretches of turns and over
+    the stretches, so that no list grows turn by turn over a whole conversation."""
+    of = lambda at: F.slice(pieces, at * STRETCH + 1, F.lit(STRETCH))
+    stretches = F.sequence(F.lit(0), F.floor((F.size(pieces) - 1) / STRETCH).cast("int"))
+    zero = F.lit(0).cast("long")
+    bases = F.aggregate(
+        stretches, F.array(zero),
+        lambda acc, at: F.concat(acc, F.array(F.element_at(acc, -1) + F.aggregate(of(at), zero, lambda n, x: n + width(x)))),
+    )
+
+    def inside(at: Column, base: Column) -> Column:
+        return F.aggregate(
+            of(at), F.struct(base.alias("at"), F.array().cast(_SPANS).alias("spans")),
+            lambda acc, x: F.struct(
+                (acc["at"] + width(x)).alias("at"),
+                F.when(x["trained"], F.concat(acc["spans"], F.array(F.struct(
+                    (acc["at"] + head(x)).alias("start"), F.char_length(x["body"]).cast("long").alias("length")))))
+                .otherwise(acc["spans"]).alias("spans"),
+            ),
+            lambda acc: acc["spans"],
+        )
+
+    spans = F.flatten(F.transform(F.arrays_zip(stretches.alias("at"), F.slice(bases, 1, F.size(stretches)).alias("base")), lambda x: inside(x["at"], x["base"])))
+    return F.when(F.size(pieces) > 0, spans).when(pieces.isNotNull(), F.array().cast(_SPANS))
+
+
+def format_chat(df: DataFrame, turns: str = "canonical", trained: tuple[str, ...] = ("assistant",), to: str = "formatted", spans: str = "loss_spans") -> DataFrame:
+    """`df` with the text in column `to` and, in `spans`, `(start, length)` in code points, from 0, of each text that is learned from.
+
+    Columns of these two names are replaced, all others stay. Null turns give an empty text and null spans. A conversation is one
+    string, so it must be shorter than a string can be (2 GB).
+    """
+    own = unused(df, "pieces")
     head = lambda x: F.concat(F.lit(OPEN), _marked(x["role"]), F.lit(MARKED))
     pieces = F.transform(F.col(turns), lambda x: F.struct(head(x).alias("head"), escape(x["text"]).alias("body"), x["role"].isin(*trained).alias("trained")))
-    out = df.withColumn("__pieces", pieces)
-    width = lambda x: F.char_length(x["head"]).cast("long") + F.char_length(x["body"]) + len(CLOSE)
-    # Start of each piece: one running fold, the list of starts grows by one element a turn.
-    walk = F.aggregate(
-        "__pieces",
-        F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<struct<start:bigint,length:bigint>>").alias("spans")),
-        lambda acc, x: F.struct(
-            (acc["at"] + width(x)).alias("at"),
-            F.when(x["trained"], F.concat(acc["spans"], F.array(F.struct(
-                (acc["at"] + F.char_length(x["head"])).alias("start"), F.char_length(x["body"]).cast("long").alias("length")))))
-            .otherwise(acc["spans"]).alias("spans"),
-        ),
-        lambda acc: acc["spans"],
-    )
-    formatted = F.concat_ws("", F.transform("__pieces", lambda x: F.concat(x["head"], x["body"], F.lit(CLOSE))))
-    return out.withColumns({"formatted": formatted, "loss_spans": walk}).drop("__pieces")
+    out = df.withColumn(own, pieces)
+    long = lambda x: F.char_length(x["head"]).cast("long")
+    formatted = F.concat_ws("", F.transform(own, lambda x: F.concat(x["head"], x["body"], F.lit(CLOSE))))
+    walk = _spans(F.col(own), long, lambda x: long(x) + F.char_length(x["body"]) + len(CLOSE))
+    return out.withColumns({to: formatted, spans: walk}).drop(own)
 
 
 def read_chat(df: DataFrame, formatted: str = "formatted", to: str = "read") -> DataFrame:
-    """`df` with the turns read back from the formatted text."""
+    """`df` with the turns read back from the formatted text, in column `to`, which is replaced if there."""
     parts = F.filter(F.split(F.col(formatted), CLOSE, -1), lambda x: x != "")
     turn = lambda x: F.struct(
         _unmarked(F.substring_index(F.substr(x, F.lit(len(OPEN) + 1)), MARKED, 1)).alias("role"),

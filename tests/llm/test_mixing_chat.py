@@ -97,6 +97,21 @@ def test_chat_round_trip_and_mask(spark):
     assert chat.chat_report(chat.rows_to_turns(df.limit(0))).count() == 0
 
 
+def test_chat_of_many_turns_and_clashing_columns(spark):
+    schema = "id long, pieces string, __pieces string, layout string, turns array<struct<role:string,text:string>>"
+    sizes = [0, 1, 255, 256, 257, 1000]
+    rows = [(n, "p", "q", "mine", [("assistant" if i % 3 else "user", "<é" * (i % 4)) for i in range(n)]) for n in sizes]
+    df = spark.createDataFrame([*rows, (-1, "p", "q", "mine", None)], schema)
+    turns = chat.canonical_turns(df, name="found_layout").withColumn("canonical", F.coalesce("canonical", "turns"))
+    done = chat.read_chat(chat.format_chat(turns)).withColumn("loss", chat.loss_text(F.col("formatted"), F.col("loss_spans")))
+    got = {r.id: r for r in done.collect()}
+    assert all((r.pieces, r["__pieces"], r.layout) == ("p", "q", "mine") for r in got.values())
+    assert got[-1].formatted == "" and got[-1].loss_spans is None and got[0].formatted == "" and got[0].loss_spans == []
+    for n, _, _, _, said in rows:
+        assert [tuple(x) for x in got[n].read] == said and got[n].loss == "".join(t for r, t in said if r == "assistant")
+        assert len(got[n].loss_spans) == sum(r == "assistant" for r, _ in said)
+
+
 def test_layouts_by_fingerprint(spark):
     schema = (
         "id long, prompt string, completion string, instruction string, input string, output string, system string, layout string, "
