@@ -41,9 +41,25 @@ def unused(df: DataFrame, name: str) -> str:
     return name
 
 
-def shard_count(spark: SparkSession) -> int:
-    """As many shards as a shuffle has partitions: the cluster sizes them to its input."""
-    return max(8, int(spark.conf.get("spark.sql.shuffle.partitions")))
+#: Bytes of input files for which one more shard is made.
+SHARD_BYTES = 32 * 1024 * 1024
+
+
+def input_bytes(df: DataFrame) -> int:
+    """Bytes of the files that `df` is read from, by Spark's own statistics; rows without files count nothing."""
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    sizes = (int(leaves.apply(i).stats().sizeInBytes()) for i in range(leaves.size()))
+    return sum(n for n in sizes if n < 1 << 60)  # more than that: not known
+
+
+def shard_count(spark: SparkSession, docs: DataFrame | None = None, share: int = 1) -> int:
+    """As many shards as a shuffle has partitions (a part of them, for `share` above 1), at least 8.
+
+    With `docs`, more where a shard would else stand for over `SHARD_BYTES` of the files read, so that
+    what one group holds does not grow with the input.
+    """
+    few = max(8, int(spark.conf.get("spark.sql.shuffle.partitions")) // share)
+    return max(few, -(-input_bytes(docs) // SHARD_BYTES)) if docs is not None else few
 
 
 def mix(x: np.ndarray) -> np.ndarray:

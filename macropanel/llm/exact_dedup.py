@@ -121,7 +121,7 @@ def exact_duplicates(docs: DataFrame) -> DataFrame:
     id come after all others: they are kept only if no row with an id has their text, and then
     one of them. An empty table gives no rows. Other columns are not looked at.
     """
-    shards = shard_count(docs.sparkSession)
+    shards = shard_count(docs.sparkSession, docs)
     rows = cut_lineage(digests(docs))
     middle = rows.agg(((F.min("doc_id") + F.max("doc_id")) / 2).alias("id")).first()["id"]
     old = F.coalesce(F.col("doc_id") <= F.lit(middle), F.lit(False))

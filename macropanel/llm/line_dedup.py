@@ -6,7 +6,9 @@ documents sends `(key, +1)` or `(key, -1)`, summed within each task, to the shar
 the threshold in either direction is put into the filter or taken out. Deleting what was inserted
 gives the former state back.
 
-A text's lines are probed by shard: what the filter lets pass is compared with the exact keys.
+Texts are probed in blocks: a block asks once for each of its keys, so a line that many texts share does not
+make its shard larger than others. What the filter lets pass is compared with the exact keys; the block's
+table, written to the shared folder, tells which of its texts have the keys found.
 Keys are 128-bit hashes of the stripped, lower-cased line.
 """
 
@@ -19,9 +21,10 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from .common import SPACE, keyed_texts, mix, shard_count, sliced, table, texts_of
+from .common import SPACE, keyed_texts, land, mix, shard_count, sliced, table, texts_of
 
 PIECE = 16_000_000
 STATE = "shard int, keys binary, counts binary, repeated binary, filter binary"
@@ -183,45 +186,87 @@ def delete(docs: DataFrame, shards: int, state: DataFrame, *, min_docs: int = 10
     return insert(docs, shards, state, min_docs=min_docs, min_chars=min_chars, sign=-1)
 
 
-def _probes(docs: DataFrame, shards: int, min_chars: int) -> DataFrame:
-    """`(shard, rows, keys)`: the distinct keys of each text, packed by task and shard."""
+_BLOCK = {"block": pa.int64(), "rows": pa.binary(), "counts": pa.binary(), "at": pa.binary(), "keys": pa.binary()}
+
+
+def _blocks(docs: DataFrame, min_chars: int) -> DataFrame:
+    """One row of each block of texts: its distinct keys, and where they stand among them for each text.
+
+    `rows` packs the texts' row keys, `counts` how many keys each has, `at` their places in `keys`. Only the
+    table that this is written to may be read further: a block's number holds for that one run.
+    """
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in sliced(batches, PIECE):
-            keys, rows = [], []
-            for row, text in zip(batch.column("row_key").to_pylist(), texts_of(batch)):
+        first = TaskContext.get().partitionId() << 32
+        for nth, batch in enumerate(sliced(batches, PIECE)):
+            place: dict[bytes, int] = {}
+            at, counts = [], []
+            for text in texts_of(batch):
                 own = {k for k in line_keys(text, min_chars) if k}
-                keys.extend(own)
-                rows.extend([row] * len(own))
-            if not keys:
-                continue
-            pairs, row = _pairs(keys), np.array(rows, "<i8")
-            out = [(s, row[i].tobytes(), _packed(pairs[i])) for s, i in _by_shard(pairs[:, 0] % np.uint64(shards))]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), (pa.int32(), pa.binary(), pa.binary()))], names=["shard", "rows", "keys"])
+                at.append(np.fromiter((place.setdefault(k, len(place)) for k in own), "<u4", len(own)))
+                counts.append(len(own))
+            if place:
+                rows = np.array(batch.column("row_key").to_pylist(), "<i8")
+                one = (first + nth, rows.tobytes(), np.array(counts, "<u4").tobytes(), np.concatenate(at).tobytes(), b"".join(place))
+                yield pa.RecordBatch.from_arrays([pa.array([c], t) for c, t in zip(one, _BLOCK.values())], names=list(_BLOCK))
 
-    return keyed_texts(docs).select("row_key", "text").mapInArrow(run, "shard int, rows binary, keys binary")
+    return keyed_texts(docs).select("row_key", "text").mapInArrow(run, "block long, rows binary, counts binary, at binary, keys binary")
 
 
-def _hits(probes: DataFrame, state: DataFrame) -> DataFrame:
-    """`(row_key, keys)`: the repeated keys of each text, by shard."""
+def _asked(blocks: DataFrame, shards: int) -> DataFrame:
+    """`(shard, block, keys)`: each block asks once for a key, however many of its texts have it."""
 
-    def run(probe: pa.Table, held: pa.Table) -> pa.Table:
-        rows, keys = [], []
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for block, keys in zip(batch.column("block").to_pylist(), batch.column("keys").to_pylist()):
+                pairs = _pairs(keys)
+                out = [(s, block, _packed(pairs[i])) for s, i in _by_shard(pairs[:, 0] % np.uint64(shards))]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), (pa.int32(), pa.int64(), pa.binary()))], names=["shard", "block", "keys"])
+
+    return blocks.select("block", "keys").mapInArrow(run, "shard int, block long, keys binary")
+
+
+def _answered(asked: DataFrame, state: DataFrame) -> DataFrame:
+    """`(block, found)`: the repeated ones of the keys asked for, by shard."""
+
+    def run(asks: pa.Table, held: pa.Table) -> pa.Table:
+        blocks, found = [], []
         if held.num_rows:
             repeated = _pairs(held["repeated"][0].as_py())
             filter = CuckooFilter(np.frombuffer(held["filter"][0].as_py(), np.uint16).reshape(-1, 4))
-            for row, key in zip(probe["rows"].to_pylist(), probe["keys"].to_pylist()):
-                pairs, row = _pairs(key), np.frombuffer(row, "<i8")
-                maybe = np.flatnonzero(filter.holds(pairs[:, 1]))
-                hit = maybe[_find(pairs[maybe], repeated)]
-                for part in np.split(hit, np.flatnonzero(np.diff(row[hit])) + 1):
-                    if len(part):
-                        rows.append(int(row[part[0]]))
-                        keys.append(_packed(pairs[part]))
-        return pa.table({"row_key": pa.array(rows, pa.int64()), "keys": pa.array(keys, pa.binary())})
+            for block, key in zip(asks["block"].to_pylist(), asks["keys"].to_pylist()):
+                pairs = _pairs(key)
+                maybe = pairs[filter.holds(pairs[:, 1])]
+                hit = maybe[_find(maybe, repeated)]
+                if len(hit):
+                    blocks.append(block)
+                    found.append(_packed(hit))
+        return pa.table({"block": pa.array(blocks, pa.int64()), "found": pa.array(found, pa.binary())})
 
     slim = state.select("shard", "repeated", "filter")
-    return probes.groupBy("shard").cogroup(slim.groupBy("shard")).applyInArrow(run, "row_key long, keys binary")
+    return asked.groupBy("shard").cogroup(slim.groupBy("shard")).applyInArrow(run, "block long, found binary")
+
+
+def _hits(blocks: DataFrame, answers: DataFrame) -> DataFrame:
+    """`(row_key, keys)`: the repeated keys of each text that has some."""
+
+    def run(blocks: pa.Table, answers: pa.Table) -> pa.Table:
+        rows, keys = [], []
+        if blocks.num_rows and answers.num_rows:
+            block = {c: blocks[c][0].as_py() for c in ("rows", "counts", "at", "keys")}
+            pairs, at = _pairs(block["keys"]), np.frombuffer(block["at"], "<u4")
+            found = _pairs(answers["found"].to_pylist())
+            found = found[np.lexsort((found[:, 1], found[:, 0]))]
+            hit = _find(pairs, found)[at]
+            text = np.repeat(np.arange(len(block["rows"]) // 8), np.frombuffer(block["counts"], "<u4"))[hit]
+            row = np.frombuffer(block["rows"], "<i8")
+            for part in np.split(np.arange(len(text)), np.flatnonzero(np.diff(text)) + 1):
+                if len(part):
+                    rows.append(int(row[text[part[0]]]))
+                    keys.append(_packed(pairs[at[hit][part]]))
+        return pa.table({"row_key": pa.array(rows, pa.int64()), "keys": pa.array(keys, pa.binary())})
+
+    return blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(run, "row_key long, keys binary")
 
 
 def drop_repeated_lines(docs: DataFrame, state: DataFrame, shards: int, *, min_chars: int = 1, texts: bool = False) -> DataFrame:
@@ -230,7 +275,9 @@ def drop_repeated_lines(docs: DataFrame, state: DataFrame, shards: int, *, min_c
     Null and empty texts are one empty line, which is never dropped. Rows without an id and
     rows that repeat one are documents of their own. An empty table gives no rows.
     """
-    found = _hits(_probes(docs, shards, min_chars), state).groupBy("row_key").agg(F.collect_list("keys").alias("keys"))
+    blocks = land(_blocks(docs, min_chars))
+    # Rows of one key are of one text, so they have the same keys.
+    found = _hits(blocks, _answered(_asked(blocks, shards), state)).groupBy("row_key").agg(F.first("keys").alias("keys"))
     rows = keyed_texts(docs).join(found, "row_key", "left").select("doc_id", "text", "keys")
     names = ["doc_id", "n_lines", "n_dropped", "kept_sha256"] + ["kept_text"] * texts
 
@@ -240,7 +287,7 @@ def drop_repeated_lines(docs: DataFrame, state: DataFrame, shards: int, *, min_c
             for doc, text, packed in zip(batch.column("doc_id").to_pylist(), texts_of(batch), batch.column("keys").to_pylist()):
                 n, kept, dropped = text.count(b"\n") + 1, text, 0
                 if packed:
-                    drop = {p[i : i + 16] for p in packed for i in range(0, len(p), 16)}
+                    drop = {packed[i : i + 16] for i in range(0, len(packed), 16)}
                     stay = [line for line, key in zip(text.split(b"\n"), line_keys(text, min_chars)) if key not in drop]
                     kept, dropped = b"\n".join(stay), n - len(stay)
                 out.append((doc, n, dropped, hashlib.sha256(kept).hexdigest(), kept.decode())[: len(names)])
@@ -251,7 +298,8 @@ def drop_repeated_lines(docs: DataFrame, state: DataFrame, shards: int, *, min_c
 
 
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs, shards = table(spark, sf_dir, "documents"), shard_count(spark)
+    docs = table(spark, sf_dir, "documents")
+    shards = shard_count(spark, docs)
     return drop_repeated_lines(docs, insert(docs, shards, min_docs=10, min_chars=1), shards, min_chars=1)
 
 

@@ -372,11 +372,11 @@ def drop_repeated_passages(docs: DataFrame, *, least: int = 50, texts: bool = Fa
     repeat an id don't take from each other. `least` is at least 17. An empty table gives no rows. Other
     columns are not looked at.
     """
-    shards = shard_count(docs.sparkSession)
-    keys = _shared_keys(docs, max(8, shards // 4), least)
+    shards, few = shard_count(docs.sparkSession, docs), shard_count(docs.sparkSession, docs, 4)
+    keys = _shared_keys(docs, few, least)
     rows = _texts(docs)  # both joins take the same side, so Spark moves the texts once
     with_keys = rows.join(keys, ["doc_id", "sum"], "left")
-    spans = _spans(_send(with_keys, shards, least), least, max(8, shards // 4))
+    spans = _spans(_send(with_keys, shards, least), least, few)
     marks = spans.withColumn("whole", F.lit(False)).unionByName(_copies(docs).select("doc_id", "sum", F.lit(None).cast("binary").alias("spans"), F.lit(True).alias("whole")))
     marks = marks.groupBy("doc_id", "sum").agg(F.collect_list("spans").alias("spans"), F.bool_or("whole").alias("whole"))
     names = {"doc_id": pa.int64(), "n_bytes": pa.int64(), "n_removed": pa.int64(), "n_spans": pa.int64(), "kept_sha256": pa.string()}

@@ -1,11 +1,12 @@
 import hashlib
 import random
 import re
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
-from macropanel.llm import embedding_dedup, exact_dedup, line_dedup, ngram_join, substring_dedup
+from macropanel.llm import common, embedding_dedup, exact_dedup, line_dedup, ngram_join, substring_dedup
+from macropanel.llm.common import land
 from macropanel.llm.components import connected_components
 
 SPACE = " \t\n\x0b\x0c\r"
@@ -113,6 +114,35 @@ def test_deleting_documents_gives_the_former_state_back(docs_of):
     assert all(hashlib.sha256(r.kept_text.encode()).hexdigest() == r.kept_sha256 for r in texts)
 
 
+def test_a_common_line_is_asked_for_once_a_block(docs_of, odd_docs):
+    docs = docs_of([(i, f"the common line\nline {i} of its own\n\nLINE {i // 20} of twenty") for i in range(4000)], parts=8)
+    blocks = land(line_dedup._blocks(docs, 1))
+    asked = line_dedup._asked(blocks, 16).collect()
+    size = Counter()
+    for r in asked:
+        size[r.shard] += len(r["keys"]) // 16
+    assert len(size) == 16 and max(size.values()) <= 2 * sorted(size.values())[8]
+    assert len({(r.shard, r.block) for r in asked}) == len(asked) <= 16 * blocks.count()
+    got = line_dedup.drop_repeated_lines(docs, line_dedup.insert(docs, 16), 16)
+    assert plain(got.collect()) == lines_by_hand([(r.doc_id, r.text) for r in docs.collect()], 10)
+    one = odd_docs.coalesce(1)
+    assert plain(line_dedup.drop_repeated_lines(one, line_dedup.insert(one, 3, min_docs=2, min_chars=3), 3, min_chars=3).collect()) != []
+
+
+def test_shards_grow_with_the_files_read(spark, docs_of, tmp_path, monkeypatch):
+    docs = docs_of([(i, f"text {i} " * 50) for i in range(500)])
+    few = common.shard_count(spark)
+    assert common.shard_count(spark, docs) == few  # rows without files
+    docs.write.parquet(str(tmp_path / "docs"))
+    read = spark.read.parquet(str(tmp_path / "docs"))
+    assert 0 < common.input_bytes(read) and common.shard_count(spark, read) == few
+    monkeypatch.setattr(common, "SHARD_BYTES", common.input_bytes(read) // 30)
+    assert common.shard_count(spark, read) >= 30
+    whole = [(r.doc_id, r.text) for r in docs.collect()]
+    for run in (exact_dedup.exact_duplicates, substring_dedup.drop_repeated_passages):
+        assert plain(run(read).collect()) == plain(run(docs).collect()) and run(read).count() == len(whole)
+
+
 def test_cuckoo_filter_loses_nothing():
     keys = np.random.default_rng(1).integers(0, 2**63, 3000).astype(np.uint64)
     held = line_dedup.CuckooFilter.sized(len(keys))
