@@ -5,8 +5,8 @@ vocabulary by one probe and a comparison of bytes. The others are merged: their
 linked list, a heap holds the ranks of adjacent pairs, and the lowest rank, leftmost first, is
 merged until no pair is in the vocabulary.
 
-Encoding is a map over rows: nothing is shuffled, and a text is cut into pre-tokens block by
-block, so memory does not grow with the longest text. A pre-token never reaches past a space that
+Encoding is a map over rows: nothing is shuffled. A task holds the chunks of `PIECE` bytes of text, or
+of one longer text, and resolves them block by block. A pre-token never reaches past a space that
 stands before something else than white space; so texts are cut there first, and equal chunks of
 a task's texts go through the pattern once.
 """
@@ -25,7 +25,7 @@ import regex
 import xxhash
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from .common import sliced, table, unused
+from .common import give_back, sliced, table, unused
 from .perfect_hash import PerfectHash
 
 BLOCK = 500_000  # chunks of a text that are in memory at once
@@ -208,6 +208,7 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, text: str = "
         for batch in sliced(batches, PIECE, whole):
             ids = [b"".join(b.astype("<u4").tobytes() for b in blocks) for blocks in vocabulary.encode(batch.column(whole).to_pylist())]
             yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in names), pa.array(ids, pa.binary())], names=[*names, "ids"])
+        give_back()
 
     return source.mapInArrow(run, schema)
 
@@ -224,6 +225,7 @@ def decode(encoded: DataFrame, ranks: dict[bytes, int], pattern: str, column: st
         for batch in sliced(batches, PIECE, packed):
             texts = [vocabulary.decode(np.frombuffer(b, "<u4")) for b in batch.column(packed).to_pylist()]
             yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in names), pa.array(texts, pa.binary())], names=[*names, to])
+        give_back()
 
     return encoded.withColumn(packed, F.coalesce(F.col(column), F.lit(b""))).mapInArrow(run, schema)
 
