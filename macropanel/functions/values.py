@@ -80,6 +80,11 @@ def total_of(value: Column, exact_scale: int | None = None) -> Column:
     """
     if exact_scale is None:
         return F.sum(value)
+    return exact_total(value, exact_scale).cast("double")
+
+
+def exact_total(value: Column, exact_scale: int) -> Column:
+    """The exact sum of `total_of` as a decimal, so that the sums of parts add up to that of the whole."""
     unit, low = 10.0 ** exact_scale, (1 << 26) - 1
     units = F.rint(value.cast("double") * unit)
     # The quotient of two whole numbers below 2**53 is the double nearest to that decimal.
@@ -91,4 +96,4 @@ def total_of(value: Column, exact_scale: int | None = None) -> Column:
     rest = F.sum(F.when(~F.coalesce(fits, F.lit(True)), F.when(lost, F.raise_error(message)).otherwise(exact)))
     words = F.sum(F.shiftright(whole, 26)).cast("decimal(20,0)") * (low + 1) + F.sum(whole.bitwiseAND(low))
     small = words.cast("decimal(28,0)") * F.lit(f"1e-{exact_scale}").cast(f"decimal({exact_scale + 1},{exact_scale})")
-    return F.coalesce(small.cast(f"decimal(38,{exact_scale})") + rest, small, rest).cast("double")
+    return F.coalesce(small.cast(f"decimal(38,{exact_scale})") + rest, small, rest).cast(f"decimal(38,{exact_scale})")

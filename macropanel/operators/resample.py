@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..config import DATE, FREQ, POS, VALUE
-from ..functions.values import total_of
+from ..functions.values import exact_total, total_of
 from .longform import series_cols, series_window
 from .sequence import previous_known
 
@@ -16,7 +16,11 @@ def month_end_mean(
     df: DataFrame, keys: Sequence[str] = (), *, exact_scale: int | None = None, table: bool = True
 ) -> DataFrame:
     """Mean of the known values per series and calendar month; months without a row are absent."""
-    state = monthly_state(df, keys, exact_scale=exact_scale, table=table)
+    return state_mean(monthly_state(df, keys, exact_scale=exact_scale, table=table), keys, table=table)
+
+
+def state_mean(state: DataFrame, keys: Sequence[str] = (), *, table: bool = True) -> DataFrame:
+    """The mean of the known values of each monthly state."""
     return state.select(*series_cols(keys, table), DATE, _mean().alias(VALUE))
 
 
@@ -27,6 +31,7 @@ def monthly_state(
     carry: Sequence[str] = (),
     exact_scale: int | None = None,
     first_days: bool = False,
+    mergeable: bool = False,
     table: bool = True,
 ) -> DataFrame:
     """Everything later stages need to know about a month of a series, in one aggregation.
@@ -34,7 +39,8 @@ def monthly_state(
     Sums and counts combine before the shuffle, so a series that holds most of the rows
     costs no more than its number of months. `carry` columns must be constant per series; they
     are grouped by, because a text column among the aggregates would force a sort of all rows.
-    `first_days` adds the value and the number of rows of the first day of each month.
+    `first_days` adds the value and the number of rows of the first day of each month. `mergeable` leaves
+    exact totals as decimals, for `merge_states`.
     """
     by = series_cols(keys, table)
     raw_null = F.col("raw_null") if "raw_null" in df.columns else F.col(VALUE).isNull()
@@ -44,10 +50,11 @@ def monthly_state(
         F.max(F.when(on_first, F.col(VALUE))).alias("first_value"),
         F.count_if(on_first & raw_null).alias("first_empty"),
     ] if first_days else []
+    total = exact_total if mergeable and exact_scale is not None else total_of
     return (
         df.groupBy(*by, *carry, F.last_day(DATE).alias(DATE))
         .agg(
-            total_of(F.col(VALUE), exact_scale).alias("total"),
+            total(F.col(VALUE), exact_scale).alias("total"),
             F.count(VALUE).alias("known"),
             F.count(F.lit(1)).alias("rows"),
             F.count_if(raw_null).alias("empty"),
@@ -58,6 +65,14 @@ def monthly_state(
     )
 
 
+def merge_states(states: DataFrame, keys: Sequence[str] = (), *, carry: Sequence[str] = (), table: bool = True) -> DataFrame:
+    """One state a series and month from the states of several batches of its rows."""
+    by = [*series_cols(keys, table), *carry, DATE]
+    most = [c for c in ("last_date", "first_value") if c in states.columns]
+    sums = [c for c in states.columns if c not in by and c not in most]
+    return states.groupBy(*by).agg(*[F.sum(c).alias(c) for c in sums], *[F.max(c).alias(c) for c in most])
+
+
 def _mean() -> Column:
     return F.col("total") / F.nullif(F.col("known"), F.lit(0))
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 import numpy as np
@@ -10,11 +11,13 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..config import CORRELATION_CUT
 from ..functions.association import association_p
+from ..session import cut_lineage
 from .columns import matrix, with_stats
 from .longform import attach
 
 ORDER = ("table_pos", "pos", "fpos", "feature")
 BLOCK = 512
+PIVOTS = 64
 
 
 def column_order(df: DataFrame) -> Column:
@@ -74,30 +77,17 @@ def drop_correlated(
 ) -> DataFrame:
     """Drop a feature when an earlier one has |Pearson r| above `cut` with it, dropped or not.
 
-    Features are spread over blocks and each task multiplies two blocks, so no list of pairs
-    is ever written: a task gives back only the features it found to be too close to an
-    earlier one. A constant feature correlates with nothing and stays.
+    Entities of at most `BLOCK` features are compared in one task each. Larger ones are cut into blocks of
+    like features, and only block pairs that can hold a close pair meet (`block_pairs`); a task gives back
+    only the features it found to be too close to an earlier one, never a list of pairs. A constant
+    feature correlates with nothing and stays.
     """
     entity = list(keys) or ["__all"]
-    base = columns if keys else columns.withColumn("__all", F.lit(0))
-    # Each entity gets the blocks that its own number of features needs.
-    size = F.ceil(F.count(F.lit(1)) / BLOCK) if blocks is None else F.first(F.lit(blocks))
-    blocked = base.join(base.groupBy(*entity).agg(size.cast("int").alias("__blocks")), entity)
+    base = cut_lineage(columns if keys else columns.withColumn("__all", F.lit(0)))
     names = [c for c in ORDER if c in columns.columns]
-    scaled = with_stats(blocked).filter("__s > 0").select(
-        *entity, *names, "__blocks",
-        F.transform("__d", lambda d: d / F.sqrt(F.col("__s"))).alias("z"),
-        F.pmod(F.xxhash64("feature"), F.col("__blocks")).cast("int").alias("block"),
-    )
-    # Block b takes part in the tasks (b, 0..b) and (b+1.., b).
-    others = F.sequence(F.lit(0), F.col("__blocks") - 1)
-    spread = scaled.select("*", F.explode(others).alias("other")).select(
-        *entity, *names, "z", "block",
-        F.greatest("block", "other").alias("left"), F.least("block", "other").alias("right"),
-    )
+    schema = ", ".join(f"`{c}` {base.schema[c].dataType.simpleString()}" for c in [*entity, "feature"])
 
-    def close(pdf: pd.DataFrame) -> pd.DataFrame:
-        left, right = pdf["left"].iloc[0], pdf["right"].iloc[0]
+    def close(pdf: pd.DataFrame, left: int = 0, right: int = 0) -> pd.DataFrame:
         pdf = pdf.sort_values(names, kind="stable").reset_index(drop=True)
         a, b = np.flatnonzero(pdf["block"] == left), np.flatnonzero(pdf["block"] == right)
         hit = np.zeros(len(pdf), bool)
@@ -109,9 +99,87 @@ def drop_correlated(
             hit[a[(near & (a[:, None] > b[None, :])).any(axis=1)]] = True
         return pdf.loc[hit, [*entity, "feature"]]
 
-    schema = ", ".join(f"`{c}` {base.schema[c].dataType.simpleString()}" for c in [*entity, "feature"])
-    near = spread.groupBy(*entity, "left", "right").applyInPandas(close, schema).distinct()
-    return base.join(near, [*entity, "feature"], "left_anti").drop("__all")
+    scaled = _unit_vectors(base, entity, names)
+    largest = base.groupBy(*entity).count().agg(F.max("count")).first()[0] or 0
+    if blocks is None and largest <= BLOCK:
+        near = scaled.withColumn("block", F.lit(0)).groupBy(*entity).applyInPandas(lambda pdf: close(pdf), schema)
+    else:
+        blocked = _blocked(scaled, entity, blocks)
+        pairs = block_pairs(blocked, entity, cut).filter("near").drop("near")
+        side = lambda this, other: F.struct(F.col(this).alias("block"), F.col(f"lo_{other}").alias("lo"), F.col(f"hi_{other}").alias("hi"))
+        both = F.when(F.col("left") == F.col("right"), F.array(side("left", "right"))).otherwise(
+            F.array(side("left", "right"), side("right", "left"))
+        )
+        sides = pairs.select(*entity, "left", "right", F.explode(both).alias("s")).select(*entity, "left", "right", "s.*")
+        reach = _reach(cut)
+        fits = F.forall(
+            F.arrays_zip("angles", "lo", "hi"), lambda p: (p["angles"] >= p["lo"] - reach) & (p["angles"] <= p["hi"] + reach)
+        )
+        sent = blocked.join(sides, [*entity, "block"]).filter(fits).select(*entity, *names, "z", "block", "left", "right")
+        near = sent.groupBy(*entity, "left", "right").applyInPandas(
+            lambda pdf: close(pdf, pdf["left"].iloc[0], pdf["right"].iloc[0]), schema
+        ).distinct()
+    return base.join(near, [*entity, "feature"], "left_anti").select(columns.columns)
+
+
+def _unit_vectors(base: DataFrame, entity: Sequence[str], names: Sequence[str]) -> DataFrame:
+    """Features as vectors of mean 0 and length 1, whose products are correlations; none for constants."""
+    return with_stats(base).filter("__s > 0").select(
+        *entity, *names, F.transform("__d", lambda d: d / F.sqrt(F.col("__s"))).alias("z")
+    )
+
+
+def _reach(cut: float) -> float:
+    """The largest angle between two lines whose |r| is above `cut`, and a little for rounding."""
+    return math.acos(min(1.0, max(0.0, cut))) + 1e-6
+
+
+def _blocked(scaled: DataFrame, entity: Sequence[str], blocks: int | None) -> DataFrame:
+    """`scaled` with the `angles` to some of its features, the pivots, and a `block` of like features.
+
+    A feature belongs to its nearest pivot; a pivot with many features is cut into blocks of about
+    `BLOCK` by hash. There are at most `PIVOTS` pivots, chosen by hash.
+    """
+    name = F.xxhash64("feature")
+    wanted = F.least(F.lit(PIVOTS), F.ceil(F.count(F.lit(1)) / BLOCK)) if blocks is None else F.lit(blocks)
+    slots = scaled.groupBy(*entity).agg(wanted.cast("int").alias("slots"))
+    pivots = (
+        scaled.join(slots, list(entity)).groupBy(*entity, F.pmod(name, F.col("slots")).alias("slot"))
+        .agg(F.min_by("z", F.struct(name, "feature")).alias("z"))
+        .groupBy(*entity).agg(F.transform(F.array_sort(F.collect_list(F.struct("slot", "z"))), lambda p: p["z"]).alias("pivots"))
+    )
+    product = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda t, x: t + x)
+    # Angles between lines, not vectors: the sign of a correlation does not count.
+    angles = F.transform("pivots", lambda p: F.acos(F.least(F.lit(1.0), F.abs(product(F.col("z"), p)))))
+    placed = cut_lineage(
+        scaled.join(pivots, list(entity)).withColumn("angles", angles).drop("pivots")
+        .withColumn("cell", F.array_position("angles", F.array_min("angles")).cast("int"))
+    )
+    parts = placed.groupBy(*entity, "cell").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("parts"))
+    part = F.pmod(F.xxhash64("feature", F.lit(1)), F.col("parts"))
+    return placed.join(parts, [*entity, "cell"]).withColumn("block", (F.col("cell") * (1 << 32) + part).cast("long")).drop("cell", "parts")
+
+
+def block_pairs(blocked: DataFrame, entity: Sequence[str], cut: float) -> DataFrame:
+    """All pairs of blocks `left >= right` of an entity with the ranges of their angles, and whether they are `near`.
+
+    Angles between lines obey the triangle inequality. So two features with |r| above `cut`, that is, an angle
+    below acos(`cut`), have angles to each pivot that differ by no more; blocks whose ranges lie further
+    apart for one of the pivots hold no such pair.
+    """
+    at = blocked.select(*entity, "block", F.posexplode("angles").alias("pivot", "angle"))
+    ranges = (
+        at.groupBy(*entity, "block", "pivot").agg(F.min("angle").alias("lo"), F.max("angle").alias("hi"))
+        .groupBy(*entity, "block").agg(F.array_sort(F.collect_list(F.struct("pivot", "lo", "hi"))).alias("r"))
+        .select(*entity, "block", F.col("r.lo").alias("lo"), F.col("r.hi").alias("hi"))
+    )
+    one = lambda side: ranges.select(*entity, F.col("block").alias(side), F.col("lo").alias(f"lo_{side}"), F.col("hi").alias(f"hi_{side}"))
+    reach = _reach(cut)
+    meet = F.forall(
+        F.arrays_zip("lo_left", "hi_left", "lo_right", "hi_right"),
+        lambda p: (p["lo_left"] <= p["hi_right"] + reach) & (p["lo_right"] <= p["hi_left"] + reach),
+    )
+    return one("left").join(one("right"), list(entity)).filter("left >= right").withColumn("near", meet)
 
 
 def top_variance(

@@ -12,7 +12,7 @@ from ..operators.longform import to_wide, union_long
 from ..operators.reduce import scores_wide
 from ..session import cut_lineage
 from ..sources.sheets import quarantine, readable, scan_files
-from ..sources.sinks import write_csv, write_parquet
+from ..sources.sinks import write_csv, write_parquet, write_wide_csv
 from .corpus import Corpus, auto_parse, declared_parse, load_parse
 from .panel import monthly_panel
 from .training import monthly_target, train_components, train_variance, wide_training
@@ -128,7 +128,7 @@ def run_pipeline(
     if output_dir and (save_intermediate or not has_target):
         written += _stored(panel, output_dir, "features_merged_long", cfg.keys, False)
         if csv:
-            write_csv(to_wide(panel, keys=cfg.keys), f"{output_dir}/features_merged.csv", keys=cfg.keys)
+            write_wide_csv(panel, f"{output_dir}/features_merged.csv", keys=cfg.keys)
             written.append(f"{output_dir}/features_merged.csv")
     if not has_target:
         return Run(to_wide(panel, keys=cfg.keys), {"mode": "merge_only", "output_files": written}, rejects)

@@ -37,11 +37,16 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     executor does not lose the data. A session within one process (`local[...]`, as in tests)
     may go without and gets a new temporary folder; on a cluster a missing setting is an error.
     """
-    spark = df.sparkSession
+    checkpoint_folder(df.sparkSession)
+    return df.checkpoint(eager=True)
+
+
+def checkpoint_folder(spark: SparkSession) -> str:
+    """The folder that all executors share, set as `cut_lineage` says."""
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
         shared = spark.conf.get("spark.checkpoint.dir", None)
         if not shared and not re.fullmatch(r"local(\[.*\])?", context.master):
             raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         context.setCheckpointDir(shared or tempfile.mkdtemp(prefix="macropanel-checkpoints-"))
-    return df.checkpoint(eager=True)
+    return context.getCheckpointDir()

@@ -15,6 +15,7 @@ from xml.etree import ElementTree
 
 import pandas as pd
 import pyarrow as pa
+import pyarrow.parquet as pq
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..config import NA_TOKENS
@@ -61,22 +62,20 @@ def quarantine(rows: DataFrame) -> DataFrame:
 def scan_files(spark: SparkSession, path: str | list[str], *, recursive: bool = True, bulk_bytes: int = BULK_BYTES) -> DataFrame:
     """`scan_sheets`, with CSV files above `bulk_bytes` and Parquet files split over tasks.
 
-    Only names and sizes are looked at to tell them apart; the lists of large and of Parquet
-    files are short next to their content.
+    Only names and sizes are looked at to tell them apart. Parquet files of one layout share a scan; each large
+    CSV file has its own.
     """
     listed = (
         spark.read.format("binaryFile").option("recursiveFileLookup", str(recursive).lower())
-        .option("pathGlobFilter", "*.{csv,parquet}").load(path).select("path", "length")
+        .option("pathGlobFilter", "*.{csv,parquet}").load(path)
     )
     is_csv = F.lower("path").endswith(".csv")
     large = [r["path"] for r in listed.filter(is_csv & (F.col("length") > bulk_bytes)).select("path").collect()]
-    columnar = [r["path"] for r in listed.filter(~is_csv).select("path").collect()]
     rows = scan_sheets(spark, path, recursive=recursive, smaller_than=bulk_bytes)
     for one in large:
         rows = rows.unionByName(scan_bulk_csv(spark, one))
-    for one in columnar:
-        rows = rows.unionByName(scan_parquet(spark, one))
-    return rows
+    columnar = scan_parquet(spark, listed.filter(~is_csv), bulk_bytes=bulk_bytes)
+    return rows if columnar is None else rows.unionByName(columnar)
 
 
 # A record that a split cuts goes over the driver; a file with a longer one is put aside.
@@ -217,18 +216,57 @@ def scan_bulk_csv(spark: SparkSession, path: str) -> DataFrame:
     return spark.createDataFrame(head, ROWS_SCHEMA).unionByName(lines.mapInArrow(rows, ROWS_SCHEMA))
 
 
-def scan_parquet(spark: SparkSession, path: str) -> DataFrame:
-    """A Parquet file of plain columns as rows like those of `scan_sheets`; dates and numbers as text.
+def scan_parquet(spark: SparkSession, files: DataFrame, *, bulk_bytes: int = BULK_BYTES) -> DataFrame | None:
+    """Parquet files of plain columns as rows like those of `scan_sheets`; dates and numbers as text. None without files.
+
+    `files` is `(path, length, content)` as the binary reader gives it. Files of equal columns and types, in equal
+    order, share one scan, so the plan grows with the number of layouts and not with that of files. Layouts
+    of files up to `bulk_bytes` are read in tasks; of a larger one only its footer is, by the driver. What has no
+    footer gives a row with `error` set.
 
     The same cells are empty as in a CSV file of the same values: NaN, and the texts that stand for missing ones.
     """
-    df = spark.read.parquet(path)
-    head = spark.createDataFrame([(path, 0, df.columns, None)], ROWS_SCHEMA)
-    of = {f.name: f.dataType for f in df.schema.fields}
-    cells = F.array(*[F.when(~missing(F.col(f"`{c}`"), of[c]), na_to_null(F.col(f"`{c}`").cast("string"))) for c in df.columns])
-    return head.unionByName(df.select(
-        F.lit(path).alias("path"), (F.monotonically_increasing_id() + 1).alias("row"), cells.alias("cells"), F.lit(None).cast("string").alias("error")
-    ))
+    small = files.filter(F.col("length") <= bulk_bytes).select("path", "content")
+    found = small.mapInArrow(_layouts, "path string, layout string, names array<string>, error string").collect()
+    layouts: dict[str, list[str]] = {}
+    heads = []
+    for path, layout, names, error in found:
+        heads.append((path, 0, names, None) if error is None else (path, -1, None, error))
+        if names:
+            layouts.setdefault(layout, []).append(path)
+    for (path,) in files.filter(F.col("length") > bulk_bytes).select("path").collect():
+        schema = spark.read.parquet(path).schema
+        heads.append((path, 0, schema.names, None))
+        layouts.setdefault(f"large {schema.simpleString()}", []).append(path)
+    if not heads:
+        return None
+    rows = spark.createDataFrame(heads, ROWS_SCHEMA)
+    # Parquet rows name their file as a URL, the binary reader by its plain path.
+    plain_path = F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B")))
+    for paths in layouts.values():
+        df = spark.read.parquet(*paths)
+        of = {f.name: f.dataType for f in df.schema.fields}
+        cells = F.array(*[F.when(~missing(F.col(f"`{c}`"), of[c]), na_to_null(F.col(f"`{c}`").cast("string"))) for c in df.columns])
+        rows = rows.unionByName(df.select(
+            plain_path.alias("path"), (F.col("_metadata.row_index") + 1).alias("row"),
+            cells.alias("cells"), F.lit(None).cast("string").alias("error"),
+        ))
+    return rows
+
+
+def _layouts(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Names and types of the columns of Parquet files, from their footers."""
+    for batch in batches:
+        out = []
+        for path, content in zip(batch.column("path").to_pylist(), batch.column("content")):
+            try:
+                schema = pq.read_schema(pa.BufferReader(content.as_buffer()))
+                out.append((path, "; ".join(f"{f.name}: {f.type}" for f in schema), schema.names, None))
+            except (pa.ArrowException, OSError) as exc:
+                out.append((path, None, None, f"{type(exc).__name__}: {exc}"))
+        if out:
+            types = (pa.string(), pa.string(), pa.list_(pa.string()), pa.string())
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), types)], names=["path", "layout", "names", "error"])
 
 
 def _decode_files(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

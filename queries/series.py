@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from macropanel.operators import frequency, resample, sequence
 from macropanel.operators.longform import to_long
+from macropanel.session import checkpoint_folder
+from macropanel.sources.months import MonthStates
 
 from .base import (
     CUSTOMER_SPINE, MEAN, ORDERS_BY_CUSTOMER, ORDERS_BY_PRIORITY, lineitem_wide, orders_by_customer,
@@ -35,6 +39,23 @@ def monthly_mean(spark, sf_dir):
     return resample.month_end_mean(long, ["l_returnflag"], exact_scale=2).drop("table")
 
 
+@query("monthly_refresh", f"""
+with long as (
+  select l_returnflag, 'l_quantity' as metric, cast(l_shipdate as date) as date, l_quantity as value from lineitem
+  union all select l_returnflag, 'l_extendedprice', cast(l_shipdate as date), l_extendedprice from lineitem
+  union all select l_returnflag, 'l_discount', cast(l_shipdate as date), l_discount from lineitem)
+select l_returnflag, metric, last_day(date) as date, {MEAN} as value, count(value) as known, max(date) as last_date from long group by all""")
+def monthly_refresh(spark, sf_dir):
+    """Month means from landed states: the finished lines first, then the open ones as a second batch."""
+    lines = table(spark, sf_dir, "lineitem")
+    states = MonthStates(spark, f"{checkpoint_folder(spark)}/months-{uuid.uuid4().hex}", ["l_returnflag"], exact_scale=2)
+    finished = F.coalesce(F.col("l_linestatus") == "F", F.lit(False))
+    for batch, chosen in (("finished", finished), ("open", ~finished)):
+        wide = lines.where(chosen).select("l_returnflag", "l_shipdate", "l_quantity", "l_extendedprice", "l_discount")
+        states.add(to_long(wide, "l_shipdate", table="lineitem", keys=["l_returnflag"]), batch)
+    return states.read().select("l_returnflag", "metric", "date", (F.col("total") / F.nullif(F.col("known"), F.lit(0))).alias("value"), "known", "last_date")
+
+
 @query("month_spine_gaps", f"with {CUSTOMER_SPINE} select customer, date, value from customer_spine")
 def month_spine_gaps(spark, sf_dir):
     return customer_spine(spark, sf_dir).select("customer", "date", "value")

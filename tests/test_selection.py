@@ -229,3 +229,36 @@ def test_signs_do_not_depend_on_the_batches(spark, monkeypatch):
     monkeypatch.setattr(reduce, "BATCH", 4)
     got = sorted(map(tuple, reduce.pca(cols).scores.collect()))
     np.testing.assert_allclose([r[2] for r in got], [r[2] for r in want], atol=1e-9)
+
+
+def test_correlation_filter_skips_blocks_that_are_too_far_apart(spark, monkeypatch):
+    """Noisy copies of a few shapes: most pairs of blocks cannot hold a close pair, and none is lost."""
+    monkeypatch.setattr(select, "BLOCK", 20)
+    rng = np.random.default_rng(11)
+    shapes = rng.normal(size=(12, 40))
+    m = np.concatenate([sign * s + 0.25 * rng.normal(size=(25, 40)) for s in shapes for sign in (1, -1)])
+    order = rng.permutation(len(m))
+    features = {f"f{i:04d}": m[at] for i, at in enumerate(order)}
+    r = np.abs(np.corrcoef(np.array(list(features.values()))))
+    want = {k for j, k in enumerate(features) if not (r[:j, j] > 0.85).any()}
+    cols = packed(spark, features)
+    assert 12 <= len(want) < len(features)
+    assert names(select.drop_correlated(cols)) == want
+    scaled = select._unit_vectors(cols.withColumn("e", F.lit(0)), ["e"], [c for c in select.ORDER if c in cols.columns])
+    pairs = select.block_pairs(select._blocked(scaled, ["e"], None), ["e"], 0.85)
+    total, near = pairs.count(), pairs.filter("near").count()
+    assert total > 300 and near < total / 3
+
+
+@pytest.mark.parametrize("cut", [0.0, 0.3, 0.999, 1.0])
+def test_block_ranges_lose_no_close_pair(spark, monkeypatch, cut):
+    monkeypatch.setattr(select, "BLOCK", 7)
+    rng = np.random.default_rng(12)
+    base = rng.normal(size=(30, 5))
+    features = {f"f{i:03d}": x for i, x in enumerate(np.concatenate([base, 3 * base + 1, -base + 1e-3 * rng.normal(size=base.shape)]))}
+    z = np.array([(x - x.mean()) / np.sqrt(((x - x.mean()) ** 2).sum()) for x in features.values()])
+    r = np.abs(z @ z.T)
+    got = names(select.drop_correlated(packed(spark, features), cut=cut))
+    for j, k in enumerate(features):
+        if not np.any(np.abs(r[:j, j] - cut) < 1e-9):  # a tie with the cut is a matter of rounding
+            assert (k in got) == (not (r[:j, j] > cut).any())

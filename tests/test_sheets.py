@@ -294,3 +294,40 @@ def test_parquet_and_csv_have_the_same_missing_cells(spark, tmp_path):
     by_file = {end: [r.cells for r in sorted(rows, key=lambda r: r.row) if r.path.endswith(end)] for end in (".parquet", ".csv")}
     assert by_file[".parquet"] == by_file[".csv"] and len(by_file[".csv"]) == n + 1
     assert [sum(r[c] is None for r in by_file[".parquet"]) for c in (0, 1, 2)] == [0, 8, 8]
+
+
+def test_parquet_files_of_one_layout_share_a_scan(spark, tmp_path):
+    """Many small files in a plan of constant size, with names of all kinds; damaged ones are put aside."""
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+
+    def fill(folder, count):
+        folder.mkdir()
+        for i in range(count):
+            name = f"数据 {i}+%20" if i % 2 else f"t-{i}"
+            dates = [f"2024-{m:02d}-01" for m in (1, 2, 3)]
+            columns = {"日期": dates, "a": [i, None, i + 1]} if i % 3 else {"日期": dates, "b": [0.5, float("nan"), i / 4], "c": ["x", "NA", ""]}
+            pq.write_table(pa.table(columns), folder / f"{name}.parquet")
+        return sheets.scan_files(spark, str(folder))
+
+    size = lambda df: df._jdf.queryExecution().optimizedPlan().toString().count("\n")
+    few, many = fill(tmp_path / "few", 6), fill(tmp_path / "many", 400)
+    assert size(few) == size(many)
+    assert many.where("error is null").count() == 400 * 4
+    (tmp_path / "few" / "bad.parquet").write_bytes(b"PAR1 no footer")
+    by_size = []
+    for bulk in (sheets.BULK_BYTES, 100):  # layouts from tasks, or from the driver
+        if bulk == 100:
+            (tmp_path / "few" / "bad.parquet").unlink()
+        rows = sheets.scan_files(spark, str(tmp_path / "few"), bulk_bytes=bulk).collect()
+        assert sum(r.error is not None for r in rows) == (bulk > 100)
+        by_size.append(sorted((r.path, r.row, r.cells) for r in rows if r.error is None))
+    assert by_size[0] == by_size[1] and len(by_size[0]) == 6 * 4
+    of = {(p.rsplit("/", 1)[1], row): cells for p, row, cells in by_size[0]}
+    assert of["数据 1+%20.parquet", 0] == ["日期", "a"] and of["数据 1+%20.parquet", 2] == ["2024-02-01", None]
+    assert of["t-0.parquet", 1] == ["2024-01-01", "0.5", "x"] and of["t-0.parquet", 2] == ["2024-02-01", None, None]
+
+
+def test_no_files(spark, tmp_path):
+    (tmp_path / "readme.txt").write_text("x")
+    assert sheets.scan_files(spark, str(tmp_path)).count() == 0
