@@ -12,7 +12,8 @@ A prefix n-gram that many classes share would give the square of their number. S
 are first only compared with pivots, in rounds, one pair each. What is linked is one component, within which no pair
 is looked at again (the first pivot of a round is the class with most shared prefix n-grams, others are drawn by hash);
 what is left after the rounds is compared in full between components, in blocks
-inside tasks, which give back what passes the filters. The rounds only need to know some of what is connected
+inside tasks. There pairs are verified as well, on the texts of the classes that have a partner left, and a task gives
+back a forest of what is linked, so no list of pairs is ever made. The rounds only need to know some of what is connected
 (one step of the components' rounds); the components themselves are found once, at the end.
 """
 
@@ -29,7 +30,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from macropanel.session import cut_lineage
 
 from .common import Bloom, give_back, land, mix, shard_count, sliced, table, texts_of
-from .components import connected_components
+from .components import connected_components, forest, roots
 
 PIECE = 4_000_000
 BITS = 20  # of the table of counts
@@ -40,6 +41,9 @@ PAIRS = 200_000  # pairs that a task looks at together
 PARTNERS = 512  # pairs of one class that are verified in one place
 PIVOTS = (1, 2, 2)  # of an n-gram, in each round
 BLOCK = 512  # classes of one n-gram that are compared with others at once
+ROWS = 100_000  # classes of n-grams with one lead that go to one shard
+MEMBERS = 1_000_000  # of sets that are looked up together
+TESTED = 4_000_000  # pairs that a shard remembers
 _PRIME = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -270,50 +274,149 @@ def _verified(pairs: DataFrame, texts: DataFrame, width: int, num: int, den: int
     return both.repartition("a", "salt").sortWithinPartitions("a", "salt", "b").mapInArrow(run, _PAIR)
 
 
-def _between(shared: DataFrame, classes: DataFrame, shards: int, num: int, den: int) -> DataFrame:
-    """Pairs of classes of unlike components that share a prefix n-gram and pass length and suffix filter.
+class Blocks:
+    """The classes of some n-grams of `_between`, as pairs that share one.
 
-    `shared` has `(gram, cid, n, place, component, size)`. The classes of a gram are dealt to blocks; blocks meet in tasks.
+    Rows of a group (n-gram and two blocks) stand together, those of its low block first, so that each row's
+    partners are a stretch behind it. `cid` is by row; `member` numbers the classes, whose ids are `cids`.
     """
-    blocks = F.ceil(F.col("size") / BLOCK).cast("int")
-    own = F.pmod(F.xxhash64(F.lit(3), "cid"), blocks).cast("int")
-    dealt = shared.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
-    dealt = dealt.select("gram", "cid", "n", "place", "component", "own", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"))
-    dealt = dealt.join(classes.select("cid", "parts"), "cid")
-    dealt = dealt.withColumn("shard", F.pmod(F.xxhash64("gram", "low", "high"), F.lit(8 * shards)).cast("int"))
 
-    def run(rows: pa.Table) -> pa.Table:
+    def __init__(self, rows: pa.Table):
         gram, low, high, own = (rows[c].to_numpy() for c in ("gram", "low", "high", "own"))
-        order = np.lexsort((own, high, low, gram))
-        cid, component, n, place = (rows[c].to_numpy()[order] for c in ("cid", "component", "n", "place"))
-        parts = _parts_matrix(rows["parts"])[order]
+        self.order = order = np.lexsort((own, high, low, gram))
+        self.component, self.n, self.place = (rows[c].to_numpy()[order] for c in ("component", "n", "place"))
+        self.cids, self.member = np.unique(rows["cid"].to_numpy()[order], return_inverse=True)
+        self.parts = _parts_matrix(rows["parts"])[order]
         gram, low, high, own = (x[order] for x in (gram, low, high, own))
-        # Rows of a group stand together, those of its low block first: each row's partners are a stretch behind it.
-        at = np.arange(len(order))
+        self.at = at = np.arange(len(order))
         new = np.flatnonzero(np.any([np.append(True, x[1:] != x[:-1]) for x in (gram, low, high)], axis=0))
         size = np.diff(new, append=len(order))
         end = np.repeat(new + size, size)
         lows = np.repeat(np.add.reduceat((own == low).astype(np.int64), new), size)
-        begin = np.where(low == high, at + 1, np.repeat(new, size) + lows)
-        count = np.where((low == high) | (own == low), end - begin, 0)
-        found = [np.zeros((0, 2), np.int64)]
-        for some in np.split(at, np.flatnonzero(np.diff(np.cumsum(count) // PAIRS)) + 1):
-            k = count[some]
+        self.begin = np.where(low == high, at + 1, np.repeat(new, size) + lows)
+        self.count = np.where((low == high) | (own == low), end - self.begin, 0)
+
+    def pairs(self, num: int, den: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Rows of classes of unlike components that pass length, positional and suffix filter; of a pair with
+        several n-grams mostly the first."""
+        n, place, component = self.n, self.place, self.component
+        tested = np.zeros(0, np.int64)
+        for some in np.split(self.at, np.flatnonzero(np.diff(np.cumsum(self.count) // PAIRS)) + 1):
+            k = self.count[some]
             i = np.repeat(some, k)
-            j = np.repeat(begin[some] - np.cumsum(k) + k, k) + np.arange(int(k.sum()))
+            j = np.repeat(self.begin[some] - np.cumsum(k) + k, k) + np.arange(int(k.sum()))
             most = np.minimum(place[i], place[j]) + 1 + np.minimum(n[i] - place[i] - 1, n[j] - place[j] - 1)
             ok = (most * (num + den) >= (n[i] + n[j]) * num) | (np.maximum(place[i], place[j]) >= _FAR)
             ok &= (component[i] != component[j]) & (n[i] * den >= n[j] * num) & (n[j] * den >= n[i] * num)
             i, j = i[ok], j[ok]
-            for part in range(0, len(i), PAIRS // 4):
-                a, b = i[part : part + PAIRS // 4], j[part : part + PAIRS // 4]
-                ok = _passes({"n": n[a], "parts": parts[a]}, {"n": n[b], "parts": parts[b]}, num, den)
-                a, b = cid[a[ok]], cid[b[ok]]
-                found.append(np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], axis=1), axis=0))
-        out = np.unique(np.concatenate(found), axis=0)
-        return pa.table({"a": out[:, 0], "b": out[:, 1]})
-
-    return dealt.groupBy("shard").applyInArrow(run, "a long, b long").distinct()
+            a, b = self.member[i], self.member[j]
+            code, first = np.unique(np.minimum(a, b) * len(self.cids) + np.maximum(a, b), return_index=True)
+            fresh = np.ones(len(code), bool)
+            if len(tested):
+                fresh = tested[np.minimum(np.searchsorted(tested, code), len(tested) - 1)] != code
+            code, first = code[fresh], first[fresh]
+            if not len(code):
+                continue
+            tested = np.union1d(tested, code) if len(tested) < TESTED else code
+            for part in range(0, len(first), PAIRS // 4):
+                a, b = i[first[part : part + PAIRS // 4]], j[first[part : part + PAIRS // 4]]
+                ok = _passes({"n": n[a], "parts": self.parts[a]}, {"n": n[b], "parts": self.parts[b]}, num, den)
+                if ok.any():
+                    yield a[ok], b[ok]
+
+
+class Sets:
+    """The sets of numbered classes, for the sizes of their intersections."""
+
+    def __init__(self, sets: list[np.ndarray]):
+        self.size = np.fromiter(map(len, sets), np.int64, len(sets))
+        self.start = np.cumsum(self.size) - self.size
+        names, self.member = np.unique(np.concatenate(sets), return_inverse=True)
+        self.width = len(names)
+        self.key = np.repeat(np.arange(len(sets)), self.size) * self.width + self.member  # in order, as each set is
+
+    def similar(self, a: np.ndarray, b: np.ndarray, num: int, den: int) -> np.ndarray:
+        """Whether the sets of aligned pairs reach the similarity; empty ones do not."""
+        swap = self.size[a] > self.size[b]
+        a, b = np.where(swap, b, a), np.where(swap, a, b)
+        out = np.zeros(len(a), bool)
+        upto = np.cumsum(self.size[a])
+        for some in np.split(np.arange(len(a)), np.flatnonzero(np.diff(upto // MEMBERS)) + 1):
+            k = self.size[a[some]]
+            total = int(k.sum())
+            if not total:
+                continue
+            own = self.member[np.repeat(self.start[a[some]] - np.cumsum(k) + k, k) + np.arange(total)]
+            want = np.repeat(b[some] * self.width, k) + own
+            hit = self.key[np.minimum(np.searchsorted(self.key, want), len(self.key) - 1)] == want
+            common = np.bincount(np.repeat(np.arange(len(some)), k), hit, len(some)).astype(np.int64)
+            out[some] = (common > 0) & (common * den >= num * (k + self.size[b[some]] - common))
+        return out
+
+
+def _between(shared: DataFrame, classes: DataFrame, texts: DataFrame, shards: int, width: int, num: int, den: int) -> DataFrame:
+    """A forest of links `(a, b, na, nb)` between classes of unlike components that share a prefix n-gram.
+
+    `shared` has `(gram, cid, n, place, component, size, lead)`. The classes of a gram are dealt to blocks; blocks meet
+    in tasks. Grams with one `lead`, their smallest class, mostly share the others too and go to the same shards. The first
+    pass only finds the rows of classes with a partner that passes the filters; the second one verifies with their texts.
+    """
+    blocks = F.ceil(F.col("size") / BLOCK).cast("int")
+    own = F.pmod(F.xxhash64(F.lit(3), "cid"), blocks).cast("int")
+    dealt = shared.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    dealt = dealt.select("gram", "cid", "n", "place", "component", "lead", "own", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"))
+    # A lead with very many n-grams has several shards.
+    slots = shared.groupBy("gram").agg(F.min("lead").alias("lead"), F.least(F.min("size"), F.lit(2 * BLOCK)).alias("size"))
+    slots = slots.groupBy("lead").agg(F.ceil(F.sum("size") / ROWS).alias("slots"))
+    slot = F.pmod(F.xxhash64("gram"), F.col("slots"))
+    dealt = dealt.join(slots, "lead").withColumn("shard", F.pmod(F.xxhash64("lead", "low", "high", slot), F.lit(8 * shards)).cast("int"))
+    dealt = dealt.drop("lead", "slots").join(classes.select("cid", "parts"), "cid")
+    names = ["shard", "gram", "cid", "n", "place", "component", "own", "low", "high", "parts"]
+
+    def partners(rows: pa.Table) -> pa.Table:
+        blocks_ = Blocks(rows)
+        stay = np.zeros(rows.num_rows, bool)
+        for i, j in blocks_.pairs(num, den):
+            stay[i] = stay[j] = True
+        return rows.select(names).filter(pa.array(stay[np.argsort(blocks_.order)]))
+
+    left = land(dealt.select(*names).groupBy("shard").applyInArrow(partners, dealt.select(*names).schema))
+    wanted = left.select(F.col("shard").alias("to"), F.col("cid").alias("of")).distinct().join(classes.select(F.col("cid").alias("of"), "node", "digest"), "of")
+    near = texts.where(Bloom.of(wanted.select(F.col("node").alias("id")).distinct(), "doc_id"))
+    # An id may have several texts; that of the class tells itself by the digest.
+    wanted = wanted.join(near.withColumnRenamed("doc_id", "node"), "node")
+
+    def linked(rows: pa.Table, given: pa.Table) -> pa.Table:
+        out = np.zeros((4, 0), np.int64)
+        if rows.num_rows and given.num_rows:
+            blocks_ = Blocks(rows)
+            m = len(blocks_.cids)
+            node, words, sets = np.zeros(m, np.int64), Words(), [np.zeros(0, np.uint64)] * m
+            for batch in given.to_batches():
+                member = np.searchsorted(blocks_.cids, batch.column("of").to_numpy())
+                for at, of, digest, text in zip(member.tolist(), batch.column("node").to_pylist(), batch.column("digest").to_pylist(), texts_of(batch)):
+                    this = shingles(text, width, words)
+                    if not len(sets[at]) and hashlib.md5(this.tobytes()).digest() == digest:
+                        sets[at], node[at] = this, of
+            of_all, label = Sets(sets), np.arange(m)
+            links = [np.zeros((2, 0), np.int64)]
+            for i, j in blocks_.pairs(num, den):
+                for part in range(0, len(i), 4096):
+                    a, b = blocks_.member[i[part : part + 4096]], blocks_.member[j[part : part + 4096]]
+                    apart = label[a] != label[b]  # what is linked here is looked at no more
+                    a, b = a[apart], b[apart]
+                    hit = of_all.similar(a, b, num, den)
+                    if hit.any():
+                        links = [np.concatenate([*links, np.stack([a[hit], b[hit]])], axis=1)]
+                        links = [np.stack(forest(*links[0]))]
+                        label = roots(*links[0], m)
+            a, b = links[0]
+            out = np.stack([blocks_.cids[a], blocks_.cids[b], node[a], node[b]])
+            words.clear()
+            give_back()
+        return pa.table(dict(zip(("a", "b", "na", "nb"), out)))
+
+    return left.groupBy("shard").cogroup(wanted.groupBy("to")).applyInArrow(linked, _PAIR)
 
 
 def similar_texts(docs: DataFrame, *, width: int = 5, num: int = 4, den: int = 5, pivots: tuple[int, ...] = PIVOTS) -> DataFrame:
@@ -341,23 +444,23 @@ def similar_texts(docs: DataFrame, *, width: int = 5, num: int = 4, den: int = 5
         # Grams whose classes are all in one component are done.
         chosen = [F.min_by(F.struct("cid", "n", "place"), F.struct(-F.col("degree") if not k else F.lit(0), F.xxhash64(F.lit(turn), F.lit(k), "cid"))) for k in range(count)]
         grams = shared.groupBy("gram").agg(
-            F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("size"), *([F.array(*chosen).alias("pivots")] if count else [])
+            F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("size"), F.min("cid").alias("lead"), *([F.array(*chosen).alias("pivots")] if count else [])
         ).where("low <> high").drop("low", "high")
-        shared = land(shared.drop("size", "pivots").join(grams, "gram"))
+        shared = land(shared.drop("size", "lead", "pivots").join(grams, "gram"))
         if turn and shared.isEmpty():
             break
         if count:
             p = F.col("pivot")
             pairs = shared.withColumn("pivot", F.explode("pivots")).where((F.col("cid") != p["cid"]) & _may_reach(F.col("n"), F.col("place"), p["n"], p["place"], num, den))
             pairs = pairs.select(F.least("cid", p["cid"]).alias("a"), F.greatest("cid", p["cid"]).alias("b")).distinct()
+            if tested is not None:
+                pairs = pairs.join(tested.select("a", "b"), ["a", "b"], "left_anti")
+            pairs = cut_lineage(_filtered(pairs, classes, num, den))
+            tested = pairs if tested is None else tested.unionByName(pairs)
+            ids = pairs.select(F.explode(F.array("na", "nb")).alias("id")).distinct()
+            found = _verified(pairs, source.where(Bloom.of(ids, "doc_id")), width, num, den)
         else:
-            pairs = _between(shared, classes, shard_count(spark), num, den)
-        if tested is not None:
-            pairs = pairs.join(tested.select("a", "b"), ["a", "b"], "left_anti")
-        pairs = cut_lineage(_filtered(pairs, classes, num, den))
-        tested = pairs if tested is None else tested.unionByName(pairs)
-        ids = pairs.select(F.explode(F.array("na", "nb")).alias("id")).distinct()
-        found = _verified(pairs, source.where(Bloom.of(ids, "doc_id")), width, num, den)
+            found = _between(shared, classes, source, shard_count(spark, docs), width, num, den)
         links = cut_lineage(found if links is None else links.unionByName(found))
         if count:
             some = connected_components(links, rounds=1).withColumnRenamed("id", "cid")

@@ -266,6 +266,32 @@ def test_similar_texts(docs_of, monkeypatch, width, num, den, pivots, block):
     assert plain(got.collect()) == near_by_hand(rows, width, num, den)
 
 
+def test_a_family_without_links_makes_no_list_of_pairs(docs_of, monkeypatch):
+    """Variants that share most of their n-grams and still do not link: all are compared, but only pivots make pairs."""
+    monkeypatch.setattr(ngram_join, "BLOCK", 16)
+    made, filtered = [], ngram_join._filtered
+    monkeypatch.setattr(ngram_join, "_filtered", lambda pairs, *rest: made.append(pairs.count()) or filtered(pairs, *rest))
+    base = [f"w{k}" for k in range(40)]
+    rows = []
+    for n in range(60):
+        other = list(base)
+        for k in (3, 20):
+            other[k + n % 5] = f"x{n}_{k}"
+        rows.append((n, " ".join(other)))
+    rows += [(100 + n, f"{t} end") for n, t in rows if n % 20 == 7]  # only these link
+    got = ngram_join.similar_texts(docs_of(rows, 4), pivots=(1,))
+    assert plain(got.collect()) == near_by_hand(rows, 5, 4, 5)
+    assert sum(made) < 5 * len(rows)
+
+
+def test_sets_compared_in_tasks():
+    rng = np.random.default_rng(8)
+    sets = [np.unique(rng.integers(0, 60, k).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) for k in rng.integers(0, 90, 30)] + [np.zeros(0, np.uint64)] * 2
+    a, b = (x.ravel() for x in np.meshgrid(np.arange(32), np.arange(32)))
+    want = [bool(len(sets[i]) and len(sets[j]) and 2 * len(np.intersect1d(sets[i], sets[j])) >= len(np.union1d(sets[i], sets[j]))) for i, j in zip(a, b)]
+    assert ngram_join.Sets(sets).similar(a, b, 1, 2).tolist() == want
+
+
 def test_an_id_of_unlike_texts_connects_what_they_link_with(docs_of):
     one, two = " ".join(f"a{i}" for i in range(60)), " ".join(f"b{i}" for i in range(60))
     rows = [(4, one + " x"), (9, one), (9, two), (7, two + " y"), (5, "alone here and now it is")]
