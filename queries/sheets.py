@@ -255,5 +255,10 @@ def scan_order_cells(spark, sf_dir):
     """A Parquet file as cells under the names of its header row."""
     cells = scan_files(spark, f"{sf_dir}/orders.parquet").where("error is null").select("path", "row", F.posexplode("cells").alias("col", "cell"))
     names = cells.where("row = 0").select("path", "col", F.col("cell").alias("name"))
-    total = F.sum(num(F.col("cell")).cast("decimal(18,2)")).cast("double")
-    return cells.where("row > 0").join(names, ["path", "col"]).groupBy("name").agg(F.count("*").alias("rows"), F.count("cell").alias("filled"), q(total, 2).alias("total"))
+    # Cells are added up by file and column before they get their names, so that no column's cells meet in one task.
+    by_column = cells.where("row > 0").groupBy("path", "col").agg(
+        F.count("*").alias("rows"), F.count("cell").alias("filled"), F.sum(num(F.col("cell")).cast("decimal(18,2)")).alias("total")
+    )
+    whole = lambda c: F.coalesce(F.sum(c), F.lit(0)).alias(c)
+    total = F.sum("total").cast("double")
+    return by_column.join(names, ["path", "col"]).groupBy("name").agg(whole("rows"), whole("filled"), q(total, 2).alias("total"))

@@ -65,3 +65,12 @@ def test_window_stage_keeps_its_partitions(spark):
     panel = cut_lineage(monthly_panel(three_tables(spark, SF), CFG))
     vectors, _ = window_vectors(panel, CFG, ("moments",))
     assert "REPARTITION_BY_NUM" in plan(vectors)
+
+
+def test_cells_of_a_column_do_not_meet_in_one_task(spark):
+    """They are added up in the tasks that read them, before the join with their names."""
+    from queries.sheets import scan_order_cells
+
+    optimized = scan_order_cells(spark, SF)._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    joined = next(i for i, line in enumerate(optimized) if "Join Inner" in line)
+    assert "Aggregate" in "".join(optimized[joined + 1 : joined + 3])
