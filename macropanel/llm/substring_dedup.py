@@ -10,7 +10,8 @@ stretch of passages is a run, and is handled as one.
    to ask. So most of the input is never sent anywhere.
 2. The bytes under the runs that are left are sent to shards of keys, equal bytes of a task once, for the
    smallest id that has them; the task's other texts lose them without asking.
-3. A shard keeps a logarithmic family of suffix arrays. Runs come in batches by growing id; each batch gets
+3. A shard keeps a logarithmic family of suffix arrays for one part of its keys after the other (equal passages have
+   equal keys), so what it holds besides the runs is that of one part. Runs come in batches by growing id; each batch gets
    the sorted array of its suffixes (cut at `least` bytes), is merged with every level to find the passages that
    they hold already, and becomes a level; levels of like size are merged, and the smaller id stays.
 4. Each text learns the smallest id that has each of its passages, and drops the bytes under those that an
@@ -27,15 +28,15 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from .common import mix, raw_texts, shard_count, sliced, table
+from .common import give_back, mix, raw_texts, shard_count, sliced, table
 
 PIECE = 1_000_000  # bytes of text that are hashed at once
 GRAM = 16
 BATCH = 200_000  # suffixes of a batch of a shard
+PARTS = 32  # of a shard, by key, each with arrays of its own
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 
 
@@ -170,6 +171,7 @@ def _ask(docs: DataFrame, shards: int, least: int) -> DataFrame:
                 rows.append((to, local, np.stack([doc[used], sum_[used]], axis=1).tobytes(), (key[pick] << np.uint64(16) | number.astype(np.uint64)).tobytes()))
             if rows:
                 yield _batch(rows, _ASKED)
+        give_back()
 
     return _texts(docs).where("doc_id is not null").mapInArrow(run, "shard int, local boolean, docs binary, rows binary")
 
@@ -227,6 +229,8 @@ def _shared_keys(docs: DataFrame, shards: int, least: int) -> DataFrame:
         first[_starts(key, sum_)] = True
         stay = np.flatnonzero(first & shared)
         out = _by_doc(doc[stay], sum_[stay], key[stay].astype("<u8"), shards)
+        del pair, key, number, known, order, doc, sum_, shared, first
+        give_back()
         return pa.Table.from_batches([_batch(out, _ANSWER)] if out else [], pa.schema(list(_ANSWER.items())))
 
     answers = _ask(docs, shards, least).groupBy("shard").applyInArrow(run, _ANSWER_DDL)
@@ -234,7 +238,7 @@ def _shared_keys(docs: DataFrame, shards: int, least: int) -> DataFrame:
 
 
 _SPAN = np.dtype([("start", "<u4"), ("size", "<u4")])
-_HEAD = np.dtype([("doc", "<i8"), ("sum", "<i8"), ("start", "<u4"), ("size", "<u4")])
+_HEAD = np.dtype([("doc", "<i8"), ("sum", "<i8"), ("start", "<u4"), ("size", "<u4"), ("part", "u1")])
 _SENT = {"shard": pa.int32(), "head": pa.binary(), "bytes": pa.binary(), **{k: v for k, v in _ANSWER.items() if k != "bucket"}}
 
 
@@ -268,13 +272,17 @@ def _send(texts: DataFrame, shards: int, least: int) -> DataFrame:
             go = np.flatnonzero(~lost)
             head = np.zeros(len(go), _HEAD)
             head["doc"], head["sum"], head["start"], head["size"] = doc[text[go]], sum_[text[go]], inside[go], size[go]
-            shard = (mix(runs.key[pick[go]]) % np.uint64(shards)).astype(np.int64)
+            mixed = mix(runs.key[pick[go]])
+            shard = (mixed % np.uint64(shards)).astype(np.int64)
+            head["part"] = mixed // np.uint64(shards) % np.uint64(PARTS)
             for p in _parts(shard):
+                p = p[np.argsort(head["part"][p], kind="stable")]
                 out.append((int(shard[p[0]]), squeeze.compress(head[p].tobytes()), squeeze.compress(b"".join([content[i] for i in go[p].tolist()])), None, None, None))
             span = np.zeros(int(lost.sum()), _SPAN)
             span["start"], span["size"] = inside[lost], size[lost]
             out += [(b, None, None, *rest) for b, *rest in _by_doc(doc[text[lost]], sum_[text[lost]], span, shards)]
             yield _batch(out, _SENT)
+        give_back()
 
     return texts.mapInArrow(run, "shard int, head binary, bytes binary, docs binary, sizes binary, data binary")
 
@@ -320,12 +328,22 @@ class Levels:
         return np.insert(a[0], at, b[0]), np.insert(a[1], at, b[1])
 
 
+def _fed(head: np.ndarray, count: np.ndarray, least: int) -> Iterator[tuple[np.ndarray, Levels]]:
+    """Batches of runs by growing id, one part of the keys after the other, with the arrays of their part."""
+    for own in _parts(head["part"]):
+        family = Levels(least)
+        order = own[np.argsort(head["doc"][own], kind="stable")]
+        for batch in np.split(order, _starts(np.cumsum(count[order]) // BATCH)[1:]):
+            yield batch, family
+
+
 def _spans(sent: DataFrame, least: int, buckets: int) -> DataFrame:
     """Step 3: `(doc_id, sum, spans)`: the stretches of each text that earlier texts have."""
 
     def run(rows: pa.Table) -> pa.Table:
         expand = zstandard.ZstdDecompressor()
-        known = [tuple(r.values()) for r in rows.select(["shard", "docs", "sizes", "data", "head"]).to_pylist() if r.pop("head") is None]
+        known = rows.filter(pc.is_null(rows["head"])).select(["shard", "docs", "sizes", "data"])
+        known = [tuple(r.values()) for r in known.to_pylist()]
         rows = rows.filter(pc.is_valid(rows["head"]))
         if not rows.num_rows:
             return pa.Table.from_batches([_batch(known, _ANSWER)])
@@ -334,9 +352,8 @@ def _spans(sent: DataFrame, least: int, buckets: int) -> DataFrame:
         size = head["size"].astype(np.int64)
         start = np.cumsum(size) - size
         count = size - least + 1
-        family, found = Levels(least), []
-        order = np.argsort(head["doc"], kind="stable")  # batches by growing id
-        for part in np.split(order, _starts(np.cumsum(count[order]) // BATCH)[1:]):
+        found = []
+        for part, family in _fed(head, count, least):
             n = count[part]
             to = np.cumsum(n)
             inside = np.arange(int(to[-1])) - np.repeat(to - n, n)
@@ -352,6 +369,8 @@ def _spans(sent: DataFrame, least: int, buckets: int) -> DataFrame:
                 span["size"] = inside[lost[last]] - inside[lost[at]] + least
                 found.append((mine["doc"], mine["sum"], span))
         out = known + (_by_doc(*(np.concatenate(x) for x in zip(*found)), buckets) if found else [])
+        del data, head, found
+        give_back()
         return pa.Table.from_batches([_batch(out, _ANSWER)] if out else [], pa.schema(list(_ANSWER.items())))
 
     return sent.groupBy("shard").applyInArrow(run, _ANSWER_DDL).groupBy("bucket").applyInArrow(lambda rows: _unpacked(rows, 8, "spans"), "doc_id long, sum long, spans binary")
@@ -401,6 +420,7 @@ def drop_repeated_passages(docs: DataFrame, *, least: int = 50, texts: bool = Fa
                     text = b"".join([text[x:y] for x, y in zip([0, *high.tolist()], [*low.tolist(), n])])
                 out.append((doc, n, removed, spans_, hashlib.sha256(text).hexdigest(), text)[: len(names)])
             yield _batch(out, names)
+        give_back()
 
     ddl = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * texts
     return rows.join(marks, ["doc_id", "sum"], "left").mapInArrow(run, ddl)

@@ -197,6 +197,20 @@ def test_levels_grow_geometrically():
         assert all(a >= 2 * b for a, b in zip(sizes, sizes[1:]))
 
 
+def test_a_shard_holds_the_arrays_of_one_part_of_its_keys():
+    rng = np.random.default_rng(4)
+    head = np.zeros(3000, substring_dedup._HEAD)
+    head["doc"], head["part"], head["size"] = rng.integers(0, 900, 3000), rng.integers(0, substring_dedup.PARTS, 3000), 70
+    seen, last, of = [], None, {}
+    for batch, family in substring_dedup._fed(head, head["size"].astype(np.int64) - 49, 50):
+        part, docs = set(head["part"][batch].tolist()), head["doc"][batch]
+        assert len(part) == 1 and of.setdefault(min(part), family) is family
+        assert (np.diff(docs) >= 0).all() and (last is None or last[0] is not family or last[1] <= docs[0])
+        last = (family, docs[-1])
+        seen += batch.tolist()
+    assert sorted(seen) == list(range(3000)) and len({id(f) for f in of.values()}) == substring_dedup.PARTS
+
+
 @pytest.mark.parametrize("other", [1, 5, 9])
 def test_passages_of_copies_read_by_falling_ids(spark, other):
     """Of copies in one task the smallest id is compared with the unlike text of another task, whichever is read first."""
