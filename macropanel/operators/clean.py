@@ -9,6 +9,9 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from ..config import DATE, METRIC, POS, VALUE
 from .longform import series_cols
 
+# Parts of a series that meet in different tasks.
+SLOTS = 64
+
 
 def drop_sparse(
     long: DataFrame,
@@ -21,18 +24,22 @@ def drop_sparse(
     """Drop a metric when its share of missing cells is `threshold` percent or more.
 
     `raw_null` (set by `to_long`) counts empty cells; text that is no number counts only
-    with `check_after_cast`. Dates and keys are never tested.
+    with `check_after_cast`. Dates and keys are never tested. The rows of a series are dealt over
+    `SLOTS` slots, so that a long one does not meet what is kept of it in one task.
     """
     by = series_cols(keys, table)
     missing = F.col(VALUE).isNull()
     if "raw_null" in long.columns and not check_after_cast:
         missing = F.col("raw_null")
+    dealt = long.withColumn("__slot", F.pmod(F.xxhash64(DATE, VALUE), F.lit(SLOTS)))
+    whole = Window.partitionBy(*by)
     kept = (
-        long.groupBy(*by)
-        .agg((F.count_if(missing) * 100.0 / F.count(F.lit(1))).alias("__share"))
+        dealt.groupBy(*by, "__slot")
+        .agg(F.count_if(missing).alias("__missing"), F.count(F.lit(1)).alias("__rows"))
+        .withColumn("__share", F.sum("__missing").over(whole) * 100.0 / F.sum("__rows").over(whole))
         .filter(F.col("__share") < threshold)
     )
-    return long.join(kept.select(*by), by, "left_semi")
+    return dealt.join(kept.select(*by, "__slot"), [*by, "__slot"], "left_semi").select(*long.columns)
 
 
 def drop_all_null(long: DataFrame, keys: Sequence[str] = (), *, table: bool = True) -> DataFrame:

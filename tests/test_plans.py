@@ -74,3 +74,19 @@ def test_cells_of_a_column_do_not_meet_in_one_task(spark):
     optimized = scan_order_cells(spark, SF)._jdf.queryExecution().optimizedPlan().toString().splitlines()
     joined = next(i for i, line in enumerate(optimized) if "Join Inner" in line)
     assert "Aggregate" in "".join(optimized[joined + 1 : joined + 3])
+
+
+def test_rows_of_a_long_series_are_dealt_over_tasks_when_sparse_ones_go(spark):
+    from macropanel.operators import clean
+    from pyspark.sql import functions as F
+
+    rows = spark.range(4000).select(
+        F.lit("t").alias("table"), F.when(F.col("id") % 4 < 2, "full").when(F.col("id") % 4 == 2, "gappy").alias("metric"),
+        F.date_add(F.lit("2020-01-01").cast("date"), (F.col("id") % 900).cast("int")).alias("date"),
+        F.when((F.col("id") % 4 < 2) | (F.col("id") % 3 > 0), F.col("id") % 7).cast("double").alias("value"),
+    )
+    kept = clean.drop_sparse(cut_lineage(rows), threshold=20.0)
+    assert kept.columns == rows.columns
+    assert [tuple(r) for r in kept.groupBy("metric").count().collect()] == [("full", 2000)]  # a series without a name goes as before
+    joined = next(line for line in kept._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Join LeftSemi" in line)
+    assert "__slot" in joined
