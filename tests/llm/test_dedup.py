@@ -285,14 +285,9 @@ def test_a_family_without_links_makes_no_list_of_pairs(docs_of, monkeypatch):
     monkeypatch.setattr(ngram_join, "BLOCK", 16)
     made, filtered = [], ngram_join._filtered
     monkeypatch.setattr(ngram_join, "_filtered", lambda pairs, *rest: made.append(pairs.count()) or filtered(pairs, *rest))
-    base = [f"w{k}" for k in range(40)]
-    rows = []
-    for n in range(60):
-        other = list(base)
-        for k in (3, 20):
-            other[k + n % 5] = f"x{n}_{k}"
-        rows.append((n, " ".join(other)))
-    rows += [(100 + n, f"{t} end") for n, t in rows if n % 20 == 7]  # only these link
+    base = [f"w{k}" for k in range(44)]  # 40 n-grams, of which two variants share 35: a Jaccard of 35 / 45
+    rows = [(n, " ".join([*base[:20], f"x{n}", *base[21:]])) for n in range(150)]
+    rows += [(200 + n, f"{t} end") for n, t in rows if n % 50 == 7]  # only these link
     got = ngram_join.similar_texts(docs_of(rows, 4), pivots=(1,))
     assert plain(got.collect()) == near_by_hand(rows, 5, 4, 5)
     assert sum(made) < 5 * len(rows)
