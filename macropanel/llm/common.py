@@ -111,6 +111,22 @@ def hex_sha256(column: Column) -> Column:
     return F.sha2(column.cast("binary"), 256)
 
 
+#: Rows of a small table that one task gets, and the least number of tasks.
+TASK_ROWS, FEW_TASKS = 50_000, 8
+
+
+def task_count(rows: int, each: int = TASK_ROWS) -> int:
+    """Tasks for so many rows. For `coalesce`: where a shuffle has many more partitions than its rows need, starting
+    Python in each of them takes longer than the work."""
+    return max(FEW_TASKS, -(-rows // each))
+
+
+def gathered(df: DataFrame) -> DataFrame:
+    """`df` cut from its lineage, in as many tasks as its rows need."""
+    cut = cut_lineage(df)
+    return cut.coalesce(task_count(cut.count()))
+
+
 def shared_folder(spark: SparkSession) -> str:
     """A new folder below the checkpoint folder, which all executors share."""
     cut_lineage(spark.range(0))  # sets the folder where none is named
@@ -133,7 +149,8 @@ class Bloom:
 
         Sized by their number, up to 2**`most_bits` bits (8 MB).
         """
-        bits_ = min(most_bits, max(16, (16 * ids.count()).bit_length()))
+        count = ids.count()
+        bits_ = min(most_bits, max(16, (16 * count).bit_length()))
         shift = np.uint64(64 - bits_)
 
         def marks(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -151,7 +168,7 @@ class Bloom:
             both = np.bitwise_or.reduce([np.frombuffer(b, np.uint8) for b in rows["bits"].to_pylist()])
             return pa.table({"at": rows["at"].slice(0, 1), "bits": pa.array([both.tobytes()], pa.binary())})
 
-        parts = ids.mapInArrow(marks, "at int, bits binary").groupBy("at").applyInArrow(united, "at int, bits binary").collect()
+        parts = ids.coalesce(task_count(count)).mapInArrow(marks, "at int, bits binary").groupBy("at").applyInArrow(united, "at int, bits binary").collect()
         whole = np.zeros((16, (1 << bits_) // 128), np.uint8)
         for r in parts:
             whole[r["at"]] = np.frombuffer(r["bits"], np.uint8)

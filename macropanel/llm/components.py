@@ -2,7 +2,7 @@
 
 Links are first reduced to forests within partitions, then stars are formed alternately around the smaller and
 the smallest neighbours until nothing changes. Nothing but counts reaches the driver; every round is written
-to the checkpoint folder.
+to the checkpoint folder, and its tasks are as many as its links need, not as a shuffle has partitions.
 """
 
 from __future__ import annotations
@@ -15,6 +15,8 @@ from pyspark.sql import DataFrame, functions as F
 
 from macropanel.session import cut_lineage
 
+from .common import task_count
+
 BLOCK = 2_000_000  # links that a task reduces at once
 
 
@@ -75,7 +77,9 @@ def connected_components(links: DataFrame, *, rounds: int | None = None) -> Data
     """
     pairs = links.select(F.col("a").cast("long").alias("a"), F.col("b").cast("long").alias("b")).where("a <> b")
     pairs = _local(pairs)  # (a, b) with b < a
-    pairs = new = cut_lineage(pairs.distinct())
+    pairs = cut_lineage(pairs.distinct())
+    tasks = task_count(pairs.count())
+    pairs = new = pairs.coalesce(tasks)
     while rounds is None or rounds > 0:
         rounds = None if rounds is None else rounds - 1
         # Each node's larger neighbours, and itself, go to its smallest neighbour.
@@ -86,7 +90,7 @@ def connected_components(links: DataFrame, *, rounds: int | None = None) -> Data
         small_low = large.groupBy("a").agg(F.min("b").alias("low"))
         small = large.join(small_low, "a").where("b <> low").select(F.col("b").alias("a"), F.col("low").alias("b"))
         tree = large.groupBy("a").agg(F.min("b").alias("b"))
-        new = cut_lineage(_local(tree.unionByName(small)).distinct())
+        new = cut_lineage(_local(tree.unionByName(small).coalesce(tasks)).distinct()).coalesce(tasks)
         if rounds is None and not new.groupBy("a").count().where("count > 1").take(1) and not new.join(new.select(F.col("a").alias("b")).distinct(), "b", "left_semi").take(1):
             break
         pairs = new

@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from macropanel.session import cut_lineage
 
-from .common import Bloom, give_back, land, mix, shard_count, sliced, table, texts_of
+from .common import Bloom, gathered, give_back, land, mix, shard_count, sliced, table, task_count, texts_of
 from .components import connected_components, forest, roots
 
 PIECE = 4_000_000
@@ -39,6 +39,7 @@ PARTITIONS = 128  # of the suffix filter
 REMEMBERED = 200_000
 PAIRS = 200_000  # pairs that a task looks at together
 PARTNERS = 512  # pairs of one class that are verified in one place
+VERIFIED = 4096  # pairs that a task verifies
 PIVOTS = (1, 2, 2)  # of an n-gram, in each round
 BLOCK = 512  # classes of one n-gram that are compared with others at once
 ROWS = 100_000  # classes of n-grams with one lead that go to one shard
@@ -222,8 +223,9 @@ def _passes(a: dict, b: dict, num: int, den: int) -> np.ndarray:
 _PAIR = "a long, b long, na long, nb long"
 
 
-def _filtered(pairs: DataFrame, classes: DataFrame, num: int, den: int) -> DataFrame:
-    """The pairs `(a, b)` that pass the suffix filter, and their ids `na` and `nb`."""
+def _filtered(pairs: DataFrame, classes: DataFrame, num: int, den: int, rows: int) -> DataFrame:
+    """The pairs `(a, b)` that pass the suffix filter, and their ids `na` and `nb`. `rows` is the larger of the numbers
+    of pairs and classes."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -235,11 +237,11 @@ def _filtered(pairs: DataFrame, classes: DataFrame, num: int, den: int) -> DataF
     def side(s: str) -> DataFrame:
         return classes.select(F.col("cid").alias(s), F.col("node").alias(f"n{s}"), F.col("n").alias(f"n_{s}"), F.col("parts").alias(f"parts_{s}"))
 
-    return pairs.join(side("a"), "a").join(side("b"), "b").mapInArrow(run, _PAIR)
+    return pairs.join(side("a"), "a").join(side("b"), "b").coalesce(task_count(rows)).mapInArrow(run, _PAIR)
 
 
-def _verified(pairs: DataFrame, texts: DataFrame, width: int, num: int, den: int) -> DataFrame:
-    """The pairs whose texts reach the similarity. An id may have several texts: one of them has to."""
+def _verified(pairs: DataFrame, texts: DataFrame, width: int, num: int, den: int, count: int) -> DataFrame:
+    """The `count` pairs whose texts reach the similarity. An id may have several texts: one of them has to."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, group, own = Words(), None, {}
@@ -271,7 +273,7 @@ def _verified(pairs: DataFrame, texts: DataFrame, width: int, num: int, den: int
     left = dealt.select("a", "na", "salt").distinct().join(texts.withColumnRenamed("doc_id", "na"), "na")
     none = F.lit(None).cast("long")
     both = left.select("a", "salt", none.alias("b"), "na", none.alias("nb"), "text").unionByName(right)
-    return both.repartition("a", "salt").sortWithinPartitions("a", "salt", "b").mapInArrow(run, _PAIR)
+    return both.repartition("a", "salt").sortWithinPartitions("a", "salt", "b").coalesce(task_count(count, VERIFIED)).mapInArrow(run, _PAIR)
 
 
 class Blocks:
@@ -439,7 +441,7 @@ def similar_texts(docs: DataFrame, *, width: int = 5, num: int = 4, den: int = 5
     # What many others are variants of has few n-grams that no other has, so more of its prefix is shared: a good pivot.
     degrees = shared.groupBy("cid").agg(F.count("*").cast("int").alias("degree"))
     shared = shared.join(degrees, "cid").withColumn("component", F.col("cid"))
-    links = tested = None
+    links, tested, known_classes = None, None, classes.count()
     for turn, count in enumerate([*pivots, 0]):
         # Grams whose classes are all in one component are done.
         chosen = [F.min_by(F.struct("cid", "n", "place"), F.struct(-F.col("degree") if not k else F.lit(0), F.xxhash64(F.lit(turn), F.lit(k), "cid"))) for k in range(count)]
@@ -455,13 +457,14 @@ def similar_texts(docs: DataFrame, *, width: int = 5, num: int = 4, den: int = 5
             pairs = pairs.select(F.least("cid", p["cid"]).alias("a"), F.greatest("cid", p["cid"]).alias("b")).distinct()
             if tested is not None:
                 pairs = pairs.join(tested.select("a", "b"), ["a", "b"], "left_anti")
-            pairs = cut_lineage(_filtered(pairs, classes, num, den))
+            pairs = cut_lineage(pairs)
+            pairs = gathered(_filtered(pairs, classes, num, den, max(pairs.count(), known_classes)))
             tested = pairs if tested is None else tested.unionByName(pairs)
             ids = pairs.select(F.explode(F.array("na", "nb")).alias("id")).distinct()
-            found = _verified(pairs, source.where(Bloom.of(ids, "doc_id")), width, num, den)
+            found = _verified(pairs, source.where(Bloom.of(ids, "doc_id")), width, num, den, pairs.count())
         else:
             found = _between(shared, classes, source, shard_count(spark, docs), width, num, den)
-        links = cut_lineage(found if links is None else links.unionByName(found))
+        links = gathered(found if links is None else links.unionByName(found))
         if count:
             some = connected_components(links, rounds=1).withColumnRenamed("id", "cid")
             # The pivots have met all others of their gram.

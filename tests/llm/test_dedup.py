@@ -316,6 +316,36 @@ def test_components_of_few_rounds_are_connected(spark):
     assert len({r.id for r in got}) == len(got) and all(want[r.id] == want[r.component] for r in got)
 
 
+def test_few_rows_start_few_python_tasks(spark, docs_of, monkeypatch):
+    # Counted by marks that each task leaves, with many more partitions of a shuffle than the rows need.
+    started = spark.sparkContext.accumulator(0)
+
+    def counted(self, run, *args, of=type(spark.range(0)).mapInArrow, **kw):
+        def marked(batches):
+            started.add(1)
+            yield from run(batches) or ()
+
+        return of(self, marked, *args, **kw)
+
+    monkeypatch.setattr(type(spark.range(0)), "mapInArrow", counted)
+    had = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
+    base = [f"f{f}w{i}" for f in range(6) for i in range(30)]
+    docs = docs_of([(100 * f + k, " ".join([*base[30 * f : 30 * f + 30], *[f"x{f}y{k}"] * (k > 0)])) for f in range(6) for k in range(3)])
+    try:
+        for k, v in zip(had, ("120", "false")):
+            spark.conf.set(k, v)
+        got = {r.doc_id: r.component_id for r in ngram_join.similar_texts(docs).collect()}
+        assert got == {100 * f + k: 100 * f for f in range(6) for k in range(3)}
+        assert 0 < started.value < 500
+        begun = started.value
+        links = spark.createDataFrame([(i, i + 1) for i in range(50)], "a long, b long").repartition(100)
+        assert {r.component for r in connected_components(links).collect()} == {0}
+        assert started.value - begun < 200
+    finally:
+        for k, v in had.items():
+            spark.conf.set(k, v)
+
+
 def test_similar_odd_rows(odd_docs, no_docs):
     got = ngram_join.similar_texts(odd_docs).collect()
     assert len(got) == odd_docs.count() and all(r.component_id is None for r in got if r.doc_id is None)
