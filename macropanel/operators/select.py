@@ -16,8 +16,10 @@ from .columns import matrix, with_stats
 from .longform import attach
 
 ORDER = ("table_pos", "pos", "fpos", "feature")
-BLOCK = 512
+BLOCK = 2048  # features that are compared with as many others in one task
 PIVOTS = 64
+STEP = 4  # features that a round is done with, to those of the round before
+SAMPLE = 1024
 
 
 def column_order(df: DataFrame) -> Column:
@@ -77,51 +79,83 @@ def drop_correlated(
 ) -> DataFrame:
     """Drop a feature when an earlier one has |Pearson r| above `cut` with it, dropped or not.
 
-    Entities of at most `BLOCK` features are compared in one task each. Larger ones are cut into blocks of
-    like features, and only block pairs that can hold a close pair meet (`block_pairs`); a task gives back
-    only the features it found to be too close to an earlier one, never a list of pairs. A constant
-    feature correlates with nothing and stays.
+    Entities of at most `BLOCK` features are compared in one task each. Larger ones are compared in rounds: all
+    features that no earlier round found meet the first ones in order, then a stretch several times as long. Who
+    was found is not looked for again, so what is sent only grows with the square of the features that stay.
+    In a round both sides are cut into blocks of like features, and only block pairs that can hold a close pair
+    meet (`block_pairs`); a task gives back only the features it found to be too close to an earlier one, never
+    a list of pairs. A constant feature correlates with nothing and stays.
     """
     entity = list(keys) or ["__all"]
     base = cut_lineage(columns if keys else columns.withColumn("__all", F.lit(0)))
     names = [c for c in ORDER if c in columns.columns]
     schema = ", ".join(f"`{c}` {base.schema[c].dataType.simpleString()}" for c in [*entity, "feature"])
 
-    def close(pdf: pd.DataFrame, left: int = 0, right: int = 0) -> pd.DataFrame:
-        pdf = pdf.sort_values(names, kind="stable").reset_index(drop=True)
-        a, b = np.flatnonzero(pdf["block"] == left), np.flatnonzero(pdf["block"] == right)
-        hit = np.zeros(len(pdf), bool)
-        if len(a) and len(b):
-            z = matrix(pdf["z"])
-            near = np.abs(z[a] @ z[b].T) > cut
-            earlier = a[:, None] < b[None, :]
-            hit[b[(near & earlier).any(axis=0)]] = True
-            hit[a[(near & (a[:, None] > b[None, :])).any(axis=1)]] = True
-        return pdf.loc[hit, [*entity, "feature"]]
-
-    scaled = _unit_vectors(base, entity, names)
+    def close(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values([*names, "row"], kind="stable").reset_index(drop=True)
+        # A feature that is on both sides has one place in the order.
+        place = (pdf["row"] != pdf["row"].shift()).cumsum().to_numpy()
+        a, b = np.flatnonzero(~pdf["late"]), np.flatnonzero(pdf["late"])
+        if not len(a) or not len(b):
+            return pdf.loc[[], [*entity, "feature"]]
+        z = matrix(pdf["z"])
+        near = (np.abs(z[a] @ z[b].T) > cut) & (place[a][:, None] < place[b][None, :])
+        return pdf.loc[b[near.any(axis=0)], [*entity, "feature"]]
+
+    scaled = _unit_vectors(base, entity, names).withColumn("row", F.monotonically_increasing_id())
+    sides = F.explode(F.array(F.lit(False), F.lit(True)))
     largest = base.groupBy(*entity).count().agg(F.max("count")).first()[0] or 0
     if blocks is None and largest <= BLOCK:
-        near = scaled.withColumn("block", F.lit(0)).groupBy(*entity).applyInPandas(lambda pdf: close(pdf), schema)
+        near = scaled.withColumn("late", sides).groupBy(*entity).applyInPandas(close, schema)
     else:
-        blocked = _blocked(scaled, entity, blocks)
-        pairs = block_pairs(blocked, entity, cut).filter("near").drop("near")
-        side = lambda this, other: F.struct(F.col(this).alias("block"), F.col(f"lo_{other}").alias("lo"), F.col(f"hi_{other}").alias("hi"))
-        both = F.when(F.col("left") == F.col("right"), F.array(side("left", "right"))).otherwise(
-            F.array(side("left", "right"), side("right", "left"))
-        )
-        sides = pairs.select(*entity, "left", "right", F.explode(both).alias("s")).select(*entity, "left", "right", "s.*")
-        reach = _reach(cut)
-        fits = F.forall(
-            F.arrays_zip("angles", "lo", "hi"), lambda p: (p["angles"] >= p["lo"] - reach) & (p["angles"] <= p["hi"] + reach)
-        )
-        sent = blocked.join(sides, [*entity, "block"]).filter(fits).select(*entity, *names, "z", "block", "left", "right")
-        near = sent.groupBy(*entity, "left", "right").applyInPandas(
-            lambda pdf: close(pdf, pdf["left"].iloc[0], pdf["right"].iloc[0]), schema
-        ).distinct()
+        ends = []
+        while (end := BLOCK * STEP ** len(ends)) < largest:
+            ends.append(end)
+        placed = _staged(_placed(scaled, entity, blocks), entity, names, ends)
+        near = None
+        for stage in range(len(ends) + 1):
+            early, late = placed.filter(F.col("stage") == stage), placed.filter(F.col("stage") >= stage)
+            if near is not None:
+                late = late.join(near, [*entity, "feature"], "left_anti")
+            sent = _met(_blocked(early, entity, blocks), _blocked(late, entity, blocks), entity, names, cut)
+            found = cut_lineage(sent.groupBy(*entity, "left", "right").applyInPandas(close, schema).distinct())
+            near = found if near is None else near.unionByName(found)
     return base.join(near, [*entity, "feature"], "left_anti").select(columns.columns)
 
 
+def _met(early: DataFrame, late: DataFrame, entity: Sequence[str], names: Sequence[str], cut: float) -> DataFrame:
+    """Features of both sides, once for each pair of blocks that can hold a partner of theirs."""
+    pairs = cut_lineage(block_pairs(early, entity, cut, late).filter("near").drop("near"))
+    reach = _reach(cut)
+    fits = F.forall(
+        F.arrays_zip("angles", "lo", "hi"), lambda p: (p["angles"] >= p["lo"] - reach) & (p["angles"] <= p["hi"] + reach)
+    )
+
+    def side(rows: DataFrame, this: str, other: str) -> DataFrame:
+        to = pairs.select(*entity, "left", "right", F.col(this).alias("block"), F.col(f"lo_{other}").alias("lo"), F.col(f"hi_{other}").alias("hi"))
+        sent = rows.join(to, [*entity, "block"]).filter(fits).withColumn("late", F.lit(this == "right"))
+        return sent.select(*entity, *names, "row", "z", "late", "left", "right")
+
+    return side(early, "left", "right").unionByName(side(late, "right", "left"))
+
+
+def _staged(placed: DataFrame, entity: Sequence[str], names: Sequence[str], ends: Sequence[int]) -> DataFrame:
+    """`placed` with a `stage`: how many of `ends` a feature's place in the order of its entity is behind.
+
+    Places are estimated from about `SAMPLE` features of an entity, drawn by hash; who is in an earlier stage is
+    earlier in any case.
+    """
+    if not ends:
+        return placed.withColumn("stage", F.lit(0))
+    order = F.struct(*[x.alias(f"o{i}_{k}") for i, c in enumerate(names) for k, x in enumerate((F.col(c).isNull(), F.col(c)))])
+    sizes = placed.groupBy(*entity).agg(F.count(F.lit(1)).alias("n"))
+    drawn = _with(placed, sizes, entity).filter(F.pmod(F.xxhash64("feature", F.lit(2)), F.ceil(F.col("n") / SAMPLE)) == 0)
+    some = cut_lineage(drawn.groupBy(*entity, "n").agg(F.array_sort(F.collect_list(order)).alias("some")))
+    at = lambda end: F.get("some", F.floor(F.lit(end) * F.size("some") / F.col("n")).cast("int"))
+    behind = [F.when((F.lit(end) < F.col("n")) & (at(end) <= order), 1).otherwise(0) for end in ends]
+    return _with(placed, some, entity, "left").withColumn("stage", sum(behind[1:], behind[0])).drop("n", "some")
+
+
 def _unit_vectors(base: DataFrame, entity: Sequence[str], names: Sequence[str]) -> DataFrame:
     """Features as vectors of mean 0 and length 1, whose products are correlations; none for constants."""
     return with_stats(base).filter("__s > 0").select(
@@ -134,52 +168,70 @@ def _reach(cut: float) -> float:
     return math.acos(min(1.0, max(0.0, cut))) + 1e-6
 
 
-def _blocked(scaled: DataFrame, entity: Sequence[str], blocks: int | None) -> DataFrame:
-    """`scaled` with the `angles` to some of its features, the pivots, and a `block` of like features.
+def _with(rows: DataFrame, each: DataFrame, entity: Sequence[str], how: str = "inner") -> DataFrame:
+    """`rows` with what `each` has for their entity. Of a panel without keys that is one row, which goes to the rows, so
+    that they do not meet in one task."""
+    return rows.join(F.broadcast(each) if list(entity) == ["__all"] else each, list(entity), how)
 
-    A feature belongs to its nearest pivot; a pivot with many features is cut into blocks of about
-    `BLOCK` by hash. There are at most `PIVOTS` pivots, chosen by hash.
-    """
+
+def _wanted(blocks: int | None) -> Column:
+    return (F.least(F.lit(PIVOTS), F.ceil(F.count(F.lit(1)) / BLOCK)) if blocks is None else F.lit(blocks)).cast("int")
+
+
+def _placed(scaled: DataFrame, entity: Sequence[str], blocks: int | None) -> DataFrame:
+    """`scaled` with the `angles` to some of its features, the pivots: at most `PIVOTS`, chosen by hash."""
     name = F.xxhash64("feature")
-    wanted = F.least(F.lit(PIVOTS), F.ceil(F.count(F.lit(1)) / BLOCK)) if blocks is None else F.lit(blocks)
-    slots = scaled.groupBy(*entity).agg(wanted.cast("int").alias("slots"))
+    slots = scaled.groupBy(*entity).agg(_wanted(blocks).alias("slots"))
     pivots = (
-        scaled.join(slots, list(entity)).groupBy(*entity, F.pmod(name, F.col("slots")).alias("slot"))
+        _with(scaled, slots, entity).groupBy(*entity, F.pmod(name, F.col("slots")).alias("slot"))
         .agg(F.min_by("z", F.struct(name, "feature")).alias("z"))
         .groupBy(*entity).agg(F.transform(F.array_sort(F.collect_list(F.struct("slot", "z"))), lambda p: p["z"]).alias("pivots"))
     )
     product = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda t, x: t + x)
     # Angles between lines, not vectors: the sign of a correlation does not count.
     angles = F.transform("pivots", lambda p: F.acos(F.least(F.lit(1.0), F.abs(product(F.col("z"), p)))))
-    placed = cut_lineage(
-        scaled.join(pivots, list(entity)).withColumn("angles", angles).drop("pivots")
-        .withColumn("cell", F.array_position("angles", F.array_min("angles")).cast("int"))
-    )
+    return cut_lineage(_with(scaled, pivots, entity).withColumn("angles", angles).drop("pivots"))
+
+
+def _blocked(rows: DataFrame, entity: Sequence[str], blocks: int | None) -> DataFrame:
+    """`rows` with a `block` of like features, and with `angles` if they have none yet.
+
+    A feature belongs to its nearest pivot, of as many pivots as these rows fill blocks; a pivot with many
+    features is cut into blocks of about `BLOCK` by hash.
+    """
+    placed = rows if "angles" in rows.columns else _placed(rows, entity, blocks)
+    slots = placed.groupBy(*entity).agg(_wanted(blocks).alias("slots"))
+    own = F.slice("angles", F.lit(1), F.col("slots"))
+    placed = cut_lineage(_with(placed, slots, entity).withColumn("cell", F.array_position(own, F.array_min(own)).cast("int")).drop("slots"))
     parts = placed.groupBy(*entity, "cell").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("parts"))
     part = F.pmod(F.xxhash64("feature", F.lit(1)), F.col("parts"))
     return placed.join(parts, [*entity, "cell"]).withColumn("block", (F.col("cell") * (1 << 32) + part).cast("long")).drop("cell", "parts")
 
 
-def block_pairs(blocked: DataFrame, entity: Sequence[str], cut: float) -> DataFrame:
-    """All pairs of blocks `left >= right` of an entity with the ranges of their angles, and whether they are `near`.
+def block_pairs(blocked: DataFrame, entity: Sequence[str], cut: float, others: DataFrame | None = None) -> DataFrame:
+    """All pairs of blocks `left >= right` of an entity, or all of its `left` ones in `blocked` and `right` ones in
+    `others`, with the ranges of their angles, and whether they are `near`.
 
     Angles between lines obey the triangle inequality. So two features with |r| above `cut`, that is, an angle
     below acos(`cut`), have angles to each pivot that differ by no more; blocks whose ranges lie further
     apart for one of the pivots hold no such pair.
     """
-    at = blocked.select(*entity, "block", F.posexplode("angles").alias("pivot", "angle"))
-    ranges = (
-        at.groupBy(*entity, "block", "pivot").agg(F.min("angle").alias("lo"), F.max("angle").alias("hi"))
-        .groupBy(*entity, "block").agg(F.array_sort(F.collect_list(F.struct("pivot", "lo", "hi"))).alias("r"))
-        .select(*entity, "block", F.col("r.lo").alias("lo"), F.col("r.hi").alias("hi"))
-    )
-    one = lambda side: ranges.select(*entity, F.col("block").alias(side), F.col("lo").alias(f"lo_{side}"), F.col("hi").alias(f"hi_{side}"))
+
+    def one(rows: DataFrame, side: str) -> DataFrame:
+        at = rows.select(*entity, "block", F.posexplode("angles").alias("pivot", "angle"))
+        ranges = (
+            at.groupBy(*entity, "block", "pivot").agg(F.min("angle").alias("lo"), F.max("angle").alias("hi"))
+            .groupBy(*entity, "block").agg(F.array_sort(F.collect_list(F.struct("pivot", "lo", "hi"))).alias("r"))
+        )
+        return ranges.select(*entity, F.col("block").alias(side), F.col("r.lo").alias(f"lo_{side}"), F.col("r.hi").alias(f"hi_{side}"))
+
     reach = _reach(cut)
     meet = F.forall(
         F.arrays_zip("lo_left", "hi_left", "lo_right", "hi_right"),
         lambda p: (p["lo_left"] <= p["hi_right"] + reach) & (p["lo_right"] <= p["hi_left"] + reach),
     )
-    return one("left").join(one("right"), list(entity)).filter("left >= right").withColumn("near", meet)
+    pairs = one(blocked, "left").join(one(blocked if others is None else others, "right"), list(entity))
+    return (pairs.filter("left >= right") if others is None else pairs).withColumn("near", meet)
 
 
 def top_variance(

@@ -250,6 +250,28 @@ def test_correlation_filter_skips_blocks_that_are_too_far_apart(spark, monkeypat
     assert total > 300 and near < total / 3
 
 
+def test_found_features_are_not_compared_again(spark, monkeypatch):
+    monkeypatch.setattr(select, "BLOCK", 20)
+    rng = np.random.default_rng(13)
+    shapes = rng.normal(size=(30, 8))
+    m = np.concatenate([shapes, *(s + 0.02 * rng.normal(size=(20, 8)) for s in shapes)])
+    features = {f"f{i:04d}": m[at] for i, at in enumerate(rng.permutation(len(m)))}
+    r = np.abs(np.corrcoef(np.array(list(features.values()))))
+    want = {k for j, k in enumerate(features) if not (r[:j, j] > 0.6).any()}
+    sent, kind = spark.sparkContext.accumulator(0), type(spark.range(0).groupBy("id"))
+
+    def counted(self, run, schema, of=kind.applyInPandas):
+        def marked(pdf):
+            sent.add(len(pdf))
+            return run(pdf)
+
+        return of(self, marked, schema)
+
+    monkeypatch.setattr(kind, "applyInPandas", counted)
+    assert names(select.drop_correlated(packed(spark, features), cut=0.6)) == want and len(want) < 20
+    assert len(m) < sent.value < 8 * len(m)
+
+
 @pytest.mark.parametrize("cut", [0.0, 0.3, 0.999, 1.0])
 def test_block_ranges_lose_no_close_pair(spark, monkeypatch, cut):
     monkeypatch.setattr(select, "BLOCK", 7)
