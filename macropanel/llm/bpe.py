@@ -29,8 +29,8 @@ from .common import give_back, sliced, table, unused
 from .perfect_hash import PerfectHash
 
 BLOCK = 500_000  # chunks of a text that are in memory at once
-REMEMBERED = 150_000  # merged pre-tokens in each of the two generations that a worker remembers
-PIECE = 2_000_000  # bytes of text that are resolved together
+REMEMBERED = 100_000  # merged pre-tokens in each of the two generations that a worker remembers
+PIECE = 1_000_000  # bytes of text that are resolved together
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -90,6 +90,10 @@ class Vocabulary:
             out.append(found)
         return out
 
+    def forget(self) -> None:
+        """Merged pre-tokens are remembered within a task: the worker may go on with other work."""
+        self.merged, self.older = {}, {}
+
     def merge(self, piece: bytes) -> tuple[int, ...]:
         """Heap over linked bytes; an entry packs rank, start and end of the two parts it would join.
 
@@ -208,6 +212,7 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, text: str = "
         for batch in sliced(batches, PIECE, whole):
             ids = [b"".join(b.astype("<u4").tobytes() for b in blocks) for blocks in vocabulary.encode(batch.column(whole).to_pylist())]
             yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in names), pa.array(ids, pa.binary())], names=[*names, "ids"])
+        vocabulary.forget()
         give_back()
 
     return source.mapInArrow(run, schema)

@@ -32,7 +32,7 @@ from macropanel.session import cut_lineage
 from .common import Bloom, gathered, give_back, land, mix, shard_count, sliced, table, task_count, texts_of
 from .components import connected_components, forest, roots
 
-PIECE = 4_000_000
+PIECE = 1_000_000
 BITS = 20  # of the table of counts
 PART = 1 << 16
 PARTITIONS = 128  # of the suffix filter
@@ -79,10 +79,12 @@ def bucket_levels(docs: DataFrame, width: int) -> np.ndarray:
         words, total = Words(), np.zeros(1 << BITS, np.int64)
         for batch in sliced(batches, PIECE):
             found = [shingles(t, width, words) for t in texts_of(batch)]
-            total += np.bincount((np.concatenate(found) >> np.uint64(64 - BITS)).astype(np.int64), minlength=1 << BITS)
+            np.add.at(total, (np.concatenate(found) >> np.uint64(64 - BITS)).astype(np.int64), 1)
         for at, part in enumerate(np.split(total, (1 << BITS) // PART)):
             if part.any():
                 yield pa.RecordBatch.from_arrays([pa.array([at], pa.int32()), pa.array([part.astype("<u4" if part.max() < 2**32 else "<i8").tobytes()], pa.binary())], names=["part", "counts"])
+        words.clear()
+        give_back()
 
     def add(rows: pa.Table) -> pa.Table:
         total = np.zeros(PART, np.int64)
@@ -152,8 +154,8 @@ def _shared_grams(classes: DataFrame, shards: int) -> DataFrame:
             prefix = batch.column("prefix").to_pylist()
             size = np.fromiter((len(p) // 8 for p in prefix), np.int64, len(prefix))
             gram = np.frombuffer(b"".join(prefix), "<u8")
-            own = np.repeat(np.arange(len(size)), size)
-            place = np.minimum(np.arange(len(gram)) - np.repeat(np.cumsum(size) - size, size), _FAR)
+            own = np.repeat(np.arange(len(size), dtype=np.int32), size)
+            place = np.minimum(np.arange(len(gram)) - np.repeat(np.cumsum(size) - size, size), _FAR).astype(np.uint16)
             order = np.argsort(gram, kind="stable")
             first = np.flatnonzero(np.append(True, np.diff(gram[order]) != 0)) if len(order) else order
             count = np.diff(first, append=len(order))
@@ -161,7 +163,7 @@ def _shared_grams(classes: DataFrame, shards: int) -> DataFrame:
             node = np.stack([batch.column("cid").to_numpy(), batch.column("n").to_numpy()], axis=1)
             several = np.repeat(count > 1, count)
             known, some = order[several], order[nth == 0]
-            told = np.zeros(len(gram), np.int64)
+            told = np.zeros(len(gram), np.uint16)
             told[order[several]] = _TOLD
             shard = (mix(gram[some]) % np.uint64(shards)).astype(np.int64)
             by = np.argsort(shard, kind="stable")
@@ -175,6 +177,7 @@ def _shared_grams(classes: DataFrame, shards: int) -> DataFrame:
                 rows.append((to, local, node[used].astype("<i8").tobytes(), gram[pick].tobytes(), places.tobytes()))
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), _PACKED.values())], names=list(_PACKED))
+        give_back()
 
     def keep(rows: pa.Table) -> pa.Table:
         nodes, grams, numbers, places, known, n = [], [], [], [], [], 0
@@ -356,6 +359,18 @@ class Sets:
         return out
 
 
+def _slotted(dealt: DataFrame, shared: DataFrame) -> DataFrame:
+    """`dealt` with `slot`, which differs only among the n-grams of a lead with very many rows.
+
+    Only leads with several slots are looked up, at most one for each `ROWS` rows of `shared`; so they go to all tasks, and
+    the rows of a lead never meet in one.
+    """
+    slots = shared.groupBy("gram").agg(F.min("lead").alias("lead"), F.least(F.min("size"), F.lit(2 * BLOCK)).alias("size"))
+    slots = slots.groupBy("lead").agg(F.ceil(F.sum("size") / ROWS).alias("slots")).where("slots > 1")
+    slot = F.pmod(F.xxhash64("gram"), F.coalesce("slots", F.lit(1)))
+    return dealt.join(F.broadcast(slots), "lead", "left").withColumn("slot", slot).drop("slots")
+
+
 def _between(shared: DataFrame, classes: DataFrame, texts: DataFrame, shards: int, width: int, num: int, den: int) -> DataFrame:
     """A forest of links `(a, b, na, nb)` between classes of unlike components that share a prefix n-gram.
 
@@ -367,12 +382,8 @@ def _between(shared: DataFrame, classes: DataFrame, texts: DataFrame, shards: in
     own = F.pmod(F.xxhash64(F.lit(3), "cid"), blocks).cast("int")
     dealt = shared.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
     dealt = dealt.select("gram", "cid", "n", "place", "component", "lead", "own", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"))
-    # A lead with very many n-grams has several shards.
-    slots = shared.groupBy("gram").agg(F.min("lead").alias("lead"), F.least(F.min("size"), F.lit(2 * BLOCK)).alias("size"))
-    slots = slots.groupBy("lead").agg(F.ceil(F.sum("size") / ROWS).alias("slots"))
-    slot = F.pmod(F.xxhash64("gram"), F.col("slots"))
-    dealt = dealt.join(slots, "lead").withColumn("shard", F.pmod(F.xxhash64("lead", "low", "high", slot), F.lit(8 * shards)).cast("int"))
-    dealt = dealt.drop("lead", "slots").join(classes.select("cid", "parts"), "cid")
+    dealt = _slotted(dealt, shared).withColumn("shard", F.pmod(F.xxhash64("lead", "low", "high", "slot"), F.lit(8 * shards)).cast("int"))
+    dealt = dealt.drop("lead", "slot").join(classes.select("cid", "parts"), "cid")
     names = ["shard", "gram", "cid", "n", "place", "component", "own", "low", "high", "parts"]
 
     def partners(rows: pa.Table) -> pa.Table:

@@ -21,9 +21,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from .common import sliced, table, unused
+from .common import give_back, sliced, table, unused
 
-PIECE = 4_000_000
+PIECE = 1_000_000
 STARTS = range(4, 9)  # lengths of the beginnings that are features
 REMEMBERED = 150_000  # tokens whose features a worker remembers
 _LETTERS = re.compile(r"[^\W\d_]+")
@@ -124,6 +124,8 @@ def _feature_counts(rows: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays(
                 [pa.array(part, pa.string()), pa.array([count[1][f] for f in part], pa.int64())], names=["feature", "toxic"]
             )
+        count, names = (), []
+        give_back()
 
     toxic = rows.where("label = 1").mapInArrow(run, "feature string, toxic long").groupBy("feature").agg(F.sum("toxic").alias("toxic"))
     return toxic.where("toxic >= 3")
@@ -140,6 +142,7 @@ def _clean_counts(rows: DataFrame, features: list[str]) -> Counter:
                 count.update({f for t in set(text.lower().split()) for f in token_features(t)} & have)
         if count:
             yield pa.RecordBatch.from_arrays([pa.array(list(count)), pa.array(list(count.values()), pa.int64())], names=["feature", "clean"])
+        give_back()
 
     found = rows.where("label = 0").select("text").mapInArrow(run, "feature string, clean long").groupBy("feature").agg(F.sum("clean").alias("clean"))
     return Counter({r["feature"]: r["clean"] for r in found.collect()})  # at most as many rows as features
@@ -173,6 +176,8 @@ def fit(docs: DataFrame, labels: DataFrame, *, max_rows: int = 8_000, max_featur
                     ends.append(np.cumsum([len(x) for x in found]).astype("<i4").tobytes() if found else b"")
                     have.append(np.array([i for x in found for i in x], "<i4").tobytes())
                 yield pa.RecordBatch.from_arrays([batch.column("label"), pa.array(ends, pa.binary()), pa.array(have, pa.binary())], names=["label", "ends", "have"])
+            shared.value.tokens.clear()
+            give_back()
 
         sample = rows.mapInArrow(bags, "label int, ends binary, have binary").toArrow()
     finally:
@@ -225,6 +230,7 @@ def score(docs: DataFrame, model: Model, *, to: str = "score") -> DataFrame:
             found = [own.score(t) for t in batch.column(whole).to_pylist()]
             yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in names), pa.array(found, pa.float64())], names=[*names, to])
         own.tokens.clear()  # the worker may go on with other work
+        give_back()
 
     return docs.withColumn(whole, F.coalesce("text", F.lit(""))).mapInArrow(run, schema)
 

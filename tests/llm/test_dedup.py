@@ -388,3 +388,21 @@ def test_bounds_hold():
     i, j, again = embedding_dedup.tile_links(x, x, 0.3, True)
     assert set(zip(i.tolist(), j.tolist())) == {(a, b) for a, b in np.argwhere(x @ x.T >= 0.3).tolist() if a < b}
     assert 0 < again < 300 * 299 / 2 / 10
+
+
+def test_rows_of_one_lead_do_not_meet_before_they_have_shards(spark, monkeypatch):
+    monkeypatch.setattr(ngram_join, "ROWS", 100)
+    sizes = [(gram, cid, size, lead) for lead, grams, size in ((0, 400, 3), (10_000, 5, 10)) for gram in range(lead, lead + grams) for cid in range(lead, lead + size)]
+    shared = spark.createDataFrame(sizes, "gram long, cid long, size long, lead long")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        slotted = ngram_join._slotted(shared, shared)
+        plan = slotted._jdf.queryExecution().executedPlan().toString()
+        got = slotted.collect()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert "SortMergeJoin" not in plan and "BroadcastHashJoin" in plan
+    assert sorted((r.gram, r.cid, r["size"], r.lead) for r in got) == sorted(sizes)
+    assert {r.slot for r in got if r.lead == 0} == set(range(12)) and {r.slot for r in got if r.lead} == {0}
+    assert all(len({r.slot for r in got if r.gram == g}) == 1 for g in range(400))

@@ -2,6 +2,7 @@ import hashlib
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import tiktoken
 from hypothesis import given, settings, strategies as st
@@ -55,3 +56,14 @@ def test_report_and_round_trip(spark, odd_docs, no_docs):
     assert bpe.token_report(no_docs, RANKS, PATTERN).count() == 0
     back = bpe.decode(bpe.encode(odd_docs, RANKS, PATTERN), RANKS, PATTERN).collect()
     assert all(bytes(r.decoded) == (r.text or "").encode() and r.size == 7 for r in back) and len(back) == odd_docs.count()
+
+
+def test_workers_keep_no_merged_pre_tokens_after_a_task(spark, odd_docs):
+    def left(batches):
+        for batch in batches:
+            held = sum(len(v.merged) + len(v.older) for v in bpe._LOADED.values())
+            yield pa.RecordBatch.from_arrays([pa.array([held] * batch.num_rows, pa.int64())], names=["held"])
+
+    assert bpe.encode(odd_docs, RANKS, PATTERN).count() == odd_docs.count()
+    bpe.encode(odd_docs, RANKS, PATTERN).write.format("noop").mode("overwrite").save()
+    assert spark.range(64).repartition(8).mapInArrow(left, "held long").groupBy().max("held").first()[0] == 0
