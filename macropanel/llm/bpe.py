@@ -7,17 +7,22 @@ merged until no pair is in the vocabulary.
 
 Encoding is a map over rows: nothing is shuffled. A task holds the chunks of `PIECE` bytes of text, or
 of one longer text, and resolves them block by block. A pre-token never reaches past a space that
-stands before something else than white space; so texts are cut there first, and equal chunks of
-a task's texts go through the pattern once.
+stands before something else than white space; so texts are cut there first. A worker numbers the chunks
+it meets and keeps their ids, so that equal chunks go through pattern and merge once while they are
+remembered. After `PIECE` bytes that leave more than `CHUNKS` (`MANY` in `token_report`) or eight times as
+many ids, the most used ones stay, half as many of each, and none that is `LONG`.
 """
 
 from __future__ import annotations
 
 import base64
 import hashlib
+import re
+from collections import defaultdict
 from collections.abc import Iterable, Iterator
 from heapq import heapify, heappop, heappush
-from itertools import islice
+from itertools import count, islice
+from struct import pack
 
 import numpy as np
 import pyarrow as pa
@@ -29,8 +34,11 @@ from .common import give_back, sliced, table, unused
 from .perfect_hash import PerfectHash
 
 BLOCK = 500_000  # chunks of a text that are in memory at once
-REMEMBERED = 100_000  # merged pre-tokens in each of the two generations that a worker remembers
+CHUNKS = 150_000  # chunks that a worker remembers, and thrice the merged pre-tokens in each of their two generations
+MANY = 400_000  # the same where memory is not shared with other work
+LONG = 64  # ids of a chunk that is not worth remembering: texts without spaces are a few long chunks
 PIECE = 1_000_000  # bytes of text that are resolved together
+NO_CUT = re.compile(r" (?:\s|\Z)")  # a space that begins no chunk
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -61,15 +69,14 @@ class Vocabulary:
         self.length = np.fromiter(map(len, parts), np.int64, size)
         self.first = np.cumsum(self.length) - self.length
         self.pair = [ranks.get(bytes((a, b)), -1) for a in range(256) for b in range(256)]
-        self.merged: dict[bytes, bytes] = {}
-        self.older: dict[bytes, bytes] = {}
+        self.forget()
 
     @staticmethod
     def _keys(tokens: list[bytes]) -> np.ndarray:
         digest = xxhash.xxh3_64_intdigest
         return np.fromiter((digest(t) for t in tokens), np.uint64, len(tokens))
 
-    def resolve(self, pieces: list[bytes]) -> list[bytes]:
+    def resolve(self, pieces: list[bytes], remembered: int = CHUNKS // 3) -> list[bytes]:
         """The ids of each distinct pre-token, as little-endian unsigned 32-bit integers."""
         slots = self.hash.slots(self._keys(pieces))
         ids = self.id_at[slots].astype("<u4").tobytes()
@@ -83,16 +90,24 @@ class Vocabulary:
             if found is None:
                 found = self.older.get(piece)
                 if found is None:
-                    found = b"".join([x.to_bytes(4, "little") for x in self.merge(piece)])
-                if len(self.merged) >= REMEMBERED:
+                    merged = self.merge(piece)
+                    found = pack(f"<{len(merged)}I", *merged)
+                if len(self.merged) >= remembered:
                     self.older, self.merged = self.merged, {}
                 self.merged[piece] = found
             out.append(found)
         return out
 
     def forget(self) -> None:
-        """Merged pre-tokens are remembered within a task: the worker may go on with other work."""
-        self.merged, self.older = {}, {}
+        """Merged pre-tokens and chunks are remembered within a task: the worker may go on with other work."""
+        self.merged: dict[bytes, bytes] = {}
+        self.older: dict[bytes, bytes] = {}
+        self._remember([], np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int64))
+
+    def _remember(self, chunks: list[str], ids: np.ndarray, length: np.ndarray, uses: np.ndarray) -> None:
+        """These chunks and no others: their ids one behind the other, how many each has, and how often each was used."""
+        self.number: dict[str, int] = defaultdict(count(len(chunks)).__next__, zip(chunks, range(len(chunks))))
+        self.chunk_ids, self.chunk_length, self.uses = ids, length, uses
 
     def merge(self, piece: bytes) -> tuple[int, ...]:
         """Heap over linked bytes; an entry packs rank, start and end of the two parts it would join.
@@ -105,66 +120,84 @@ class Vocabulary:
         low = (1 << bits) - 1
         end = list(range(1, n + 1))  # of the part that starts here; 0: no part starts here any more
         before = list(range(-1, n))
-        heap = [(r << bits | i) << bits | i + 2 for i, (a, b) in enumerate(zip(piece, piece[1:])) if (r := pair[a << 8 | b]) >= 0]
+        heap, at = [], 2
+        for a, b in zip(piece, piece[1:]):
+            if (r := pair[a << 8 | b]) >= 0:
+                heap.append(r << 2 * bits | at)
+            at += low + 2  # the next start and the next end
         heapify(heap)
         while heap:
             entry = heappop(heap)
-            stop, i = entry & low, entry >> bits & low
+            i = entry >> bits & low
             middle = end[i]
+            stop = entry & low
             if not middle or middle >= stop or end[middle] != stop:
                 continue
-            end[i], end[middle] = stop, 0
+            end[i] = stop
+            end[middle] = 0
             if stop < n:
                 before[stop] = i
-                if (r := rank(piece[i : end[stop]])) is not None:
-                    heappush(heap, (r << bits | i) << bits | end[stop])
+                after = end[stop]
+                if (r := rank(piece[i:after])) is not None:
+                    heappush(heap, (r << bits | i) << bits | after)
             p = before[i]
             if p >= 0 and (r := rank(piece[p:stop])) is not None:
                 heappush(heap, (r << bits | p) << bits | stop)
-        out, i = [], 0
-        while i < n:
-            out.append(self.ranks[piece[i : end[i]]])
-            i = end[i]
-        return tuple(out)
+        return tuple([self.ranks[piece[i:e]] for i, e in enumerate(end) if e])
 
     @staticmethod
     def chunks(text: str) -> list[str]:
-        """The text cut before each space that stands before something else than white space."""
+        """The text cut before each space that stands before something else than white space.
+
+        These spaces are left out; the first chunk, which has none, gets one in front to tell it from the others.
+        """
         parts = text.split(" ")
+        parts[0] = " " + parts[0]
+        if not NO_CUT.search(text):
+            return parts
         out = parts[:1]
-        if any(not p or p[0].isspace() for p in islice(parts, 1, None)):
-            for p in islice(parts, 1, None):
-                if p and not p[0].isspace():
-                    out.append(" " + p)
-                else:
-                    out[-1] += " " + p
-        else:
-            out += [" " + p for p in islice(parts, 1, None)]
+        for p in islice(parts, 1, None):
+            if p and not p[0].isspace():
+                out.append(p)
+            else:
+                out[-1] += " " + p
         return out
 
-    def encode(self, texts: list[str]) -> Iterator[list[np.ndarray]]:
-        """For each text the blocks of its ids. Pre-tokens are resolved once for all texts given."""
-        number: dict[str, int] = {}
+    def encode(self, texts: list[str], most: int = CHUNKS) -> Iterator[list[np.ndarray]]:
+        """For each text the blocks of its ids. Chunks that are not remembered are resolved once for all texts given."""
+        if len(self.number) != len(self.uses):  # an earlier call did not come to its end
+            self.forget()
         codes: list[tuple[int, np.ndarray]] = []
         for row, text in enumerate(texts):
             chunks = self.chunks(text)
             for at in range(0, len(chunks), BLOCK):
                 block = chunks[at : at + BLOCK]
-                for chunk in set(block).difference(number):
-                    number[chunk] = len(number)
-                codes.append((row, np.fromiter(map(number.__getitem__, block), np.int32, len(block))))
-        pieces = [self.pattern.findall(c) for c in number]
-        distinct = list({p for found in pieces for p in found})
-        ids = dict(zip(distinct, self.resolve([p.encode() for p in distinct])))
-        coded = [b"".join([ids[p] for p in found]) for found in pieces]
-        length = np.fromiter(map(len, coded), np.int64, len(coded)) // 4
-        flat = np.frombuffer(b"".join(coded), "<u4")
-        first = np.cumsum(length) - length
+                codes.append((row, np.fromiter(map(self.number.__getitem__, block), np.int32, len(block))))
+        self._resolve_chunks([c[1:] if c[0] == " " else " " + c for c in islice(self.number, len(self.uses), None)], most // 3)
+        first = np.cumsum(self.chunk_length) - self.chunk_length
         out: list[list[np.ndarray]] = [[] for _ in texts]
         for row, code in codes:
-            out[row].append(_gather(flat, first[code], length[code]))
+            out[row].append(_gather(self.chunk_ids, first[code], self.chunk_length[code]))
+            np.add.at(self.uses, code, 1)
+        if len(self.number) > most or len(self.chunk_ids) > 8 * most:
+            short = np.flatnonzero(self.chunk_length < LONG)
+            kept = short[np.argsort(-self.uses[short], kind="stable")][: most // 2]
+            kept = np.sort(kept[np.cumsum(self.chunk_length[kept]) <= 4 * most])
+            chunks, length = list(self.number), self.chunk_length[kept]
+            self._remember([chunks[k] for k in kept.tolist()], _gather(self.chunk_ids, first[kept], length), length, self.uses[kept] // 2)
         yield from out
 
+    def _resolve_chunks(self, chunks: list[str], remembered: int) -> None:
+        """The ids of new chunks, behind those of the chunks remembered."""
+        pieces = [self.pattern.findall(c) for c in chunks]
+        distinct = list({p for found in pieces for p in found})
+        ids = dict(zip(distinct, self.resolve([p.encode() for p in distinct], remembered)))
+        coded = [ids[found[0]] if len(found) == 1 else b"".join([ids[p] for p in found]) for found in pieces]
+        length = np.fromiter(map(len, coded), np.int64, len(coded)) // 4
+        self.chunk_ids = np.concatenate([self.chunk_ids, np.frombuffer(b"".join(coded), "<u4")])
+        self.chunk_length = np.concatenate([self.chunk_length, length])
+        self.uses = np.concatenate([self.uses, np.zeros(len(coded), np.int64)])
+
     def decode(self, ids: np.ndarray) -> bytes:
         return _gather(self.bytes, self.first[ids], self.length[ids]).tobytes()
 
@@ -250,7 +283,7 @@ def token_report(docs: DataFrame, ranks: dict[bytes, int], pattern: str) -> Data
         vocabulary = shared.load()
         for batch in sliced(batches, PIECE):
             counts, coded, decoded = [], [], []
-            for blocks in vocabulary.encode(batch.column("text").to_pylist()):
+            for blocks in vocabulary.encode(batch.column("text").to_pylist(), MANY):
                 ids, back, n = hashlib.sha256(), hashlib.sha256(), 0
                 for block in blocks:
                     ids.update(block.astype("<u4").tobytes())

@@ -68,3 +68,57 @@ def test_a_task_leaves_no_merged_pre_tokens_behind(docs_of, monkeypatch):
     ids = [x for batch in run(iter(source.toArrow().to_batches())) for x in batch.column("ids").to_pylist()]
     assert len(ids) == 8 and all(ids)
     assert [(v.merged, v.older) for v in bpe._LOADED.values()] == [({}, {})]
+
+
+class Counted:
+    """A pattern that counts what goes through it."""
+
+    def __init__(self, pattern):
+        self.pattern, self.seen = pattern, []
+
+    def findall(self, text):
+        self.seen.append(text)
+        return self.pattern.findall(text)
+
+
+def test_chunks_go_through_the_pattern_once_while_remembered():
+    own = bpe.Vocabulary(RANKS, PATTERN)
+    own.pattern = Counted(own.pattern)
+    texts = ["bcdfg qxzvv, wkrtz. bcdfg", "qxzvv, bcdfg", " bcdfg", ""]
+    want = [LIBRARY.encode_ordinary(t) for t in texts]
+    for _ in range(3):  # pieces of a task's text
+        assert [[x for block in blocks for x in block.tolist()] for blocks in own.encode(texts)] == want
+    assert len(own.pattern.seen) == len(set(own.pattern.seen))
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.lists(st.text(st.sampled_from(" \nab'l1.é"), max_size=30), max_size=4), max_size=6), st.integers(0, 6))
+def test_ids_where_few_chunks_are_remembered(pieces, most):
+    VOCABULARY.forget()
+    for texts in pieces:
+        got = [[x for block in blocks for x in block.tolist()] for blocks in VOCABULARY.encode(texts, most)]
+        assert got == [LIBRARY.encode_ordinary(t) for t in texts]
+        assert len(VOCABULARY.number) == len(VOCABULARY.uses) == len(VOCABULARY.chunk_length) <= most
+        assert len(VOCABULARY.chunk_ids) == VOCABULARY.chunk_length.sum() <= 8 * most
+
+
+def test_long_chunks_are_not_remembered_beyond_their_share():
+    own = bpe.Vocabulary(RANKS, PATTERN)
+    rng = random.Random(5)
+    for _ in range(6):
+        texts = ["short " + "".join(rng.choices("日本語文字", k=400)) for _ in range(10)]
+        assert [[x for block in blocks for x in block.tolist()] for blocks in own.encode(texts, 500)] == [LIBRARY.encode_ordinary(t) for t in texts]
+        assert len(own.chunk_ids) <= 4000 and " short" in own.number
+
+
+def test_the_most_used_chunks_stay_and_none_after_a_task_or_a_failure(monkeypatch):
+    own = bpe.Vocabulary(RANKS, PATTERN)
+    list(own.encode(["often", *[f"often w{i}" for i in range(9)]], 4))
+    assert " often" in own.number and len(own.number) == 2
+    with monkeypatch.context() as broken:
+        broken.setattr(own, "resolve", lambda *_: 1 / 0)
+        with pytest.raises(ZeroDivisionError):
+            list(own.encode(["new words"]))
+    assert [b.tolist() for b in next(own.encode(["new words often"]))] == [LIBRARY.encode_ordinary("new words often")]
+    own.forget()
+    assert (own.number, own.merged, own.older) == ({}, {}, {}) and not len(own.chunk_ids) and not len(own.uses)
